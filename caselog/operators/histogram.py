@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from caselog.constants import SMALL_ROWS
 from caselog.functions.columns import number_or_null
-from caselog.operators.ordered import Ordered
+from caselog.operators.ordered import Ordered, Total
 from caselog.session import cut
 
 
@@ -73,7 +73,7 @@ class Histogram:
         """(name, value, n, before, upto): rows below the value, and up to it."""
         longest = max(s.distinct for s in self.summaries.values())
         running = Ordered(self.values, ["name"], ["value"], longest, self.limit)
-        return running.total("upto", F.col("n")).result().withColumn(
+        return running.add(upto=Total(F.col("n"))).result().withColumn(
             "before", F.col("upto") - F.col("n"))
 
     def smallest(self, count: int) -> DataFrame:

@@ -2,14 +2,15 @@
 
 While every key's rows fit one task, these are plain window functions. Once a
 key is too long for that, the rows are sorted globally by (key, order): the sort
-splits a long key over many partitions, each partition runs its own window, and
-what one partition hands on to the next travels in a table with one row per
-partition. Both ways give the same values.
+splits a long key over many partitions, each partition runs the same windows on
+its part of a key, and what the earlier parts hand on is added from a table that
+has a row only where a key continues from the partition before. Both ways give
+the same values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,112 +18,128 @@ from pyspark.sql import functions as F
 from caselog.constants import SMALL_ROWS
 from caselog.session import cut
 
-PART, ROW, START = "__part", "__row", "__start"
+PART, ROW, AT, BEFORE = "__part", "__row", "__at", "__before"
 
 
-class Ordered:
-    """`df` ordered by `order` inside `keys`; `longest` is the longest key's row count.
+@dataclass(frozen=True)
+class Position:
+    """0-based position inside the key."""
+
+    def local(self, so_far) -> Column:
+        return F.col(AT) - 1
+
+    def summary(self) -> Column:
+        return F.lit(None)
+
+    def carried(self, summary: str, before) -> Column:
+        return F.lit(None)
+
+    def combined(self, local: Column, carry: Column) -> Column:
+        return local + F.coalesce(BEFORE, F.lit(0))
+
+
+@dataclass(frozen=True)
+class Total:
+    """Running sum of an amount, this row included."""
+
+    amount: Column
+
+    def local(self, so_far) -> Column:
+        return F.sum(self.amount).over(so_far)
+
+    def summary(self) -> Column:
+        return F.sum(self.amount)
+
+    def carried(self, summary: str, before) -> Column:
+        return F.sum(summary).over(before)
+
+    def combined(self, local: Column, carry: Column) -> Column:
+        return F.when(carry.isNull(), local).when(local.isNull(), carry).otherwise(local + carry)
+
+
+@dataclass(frozen=True)
+class Previous:
+    """The column's value in the row before, null at the start of a key."""
+
+    column: str
+
+    def local(self, so_far) -> Column:
+        value = F.struct(F.col(self.column).alias("v"))
+        return F.last(value).over(so_far.rowsBetween(-1, -1))
+
+    def summary(self) -> Column:
+        return F.max_by(F.struct(F.col(self.column).alias("v")), ROW)
+
+    def carried(self, summary: str, before) -> Column:
+        return F.last(summary).over(before)
+
+    def combined(self, local: Column, carry: Column) -> Column:
+        return F.coalesce(local, carry)
+
+
+@dataclass(frozen=True)
+class LastFlagged:
+    """1-based position of the last flagged row so far."""
+
+    flag: str
 
-    Each method adds one column and returns self; `result()` ends the chain.
-    """
+    def local(self, so_far) -> Column:
+        return F.max(F.when(F.col(self.flag), F.col(AT))).over(so_far)
+
+    def summary(self) -> Column:
+        return F.max(F.when(F.col(self.flag), F.col(AT)))
+
+    def carried(self, summary: str, before) -> Column:
+        return F.max(F.col(summary) + F.coalesce(BEFORE, F.lit(0))).over(before)
+
+    def combined(self, local: Column, carry: Column) -> Column:
+        return F.coalesce(local + F.coalesce(BEFORE, F.lit(0)), carry)
+
+
+class Ordered:
+    """`df` ordered by `order` inside `keys`; `longest` is the longest key's row count."""
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[Column | str],
                  longest: int, limit: int = SMALL_ROWS):
-        self.columns = list(df.columns)
+        self.keys = keys
         self.split = longest > limit
-        if not self.split:
-            self.df = df
-            self.window = Window.partitionBy(*keys).orderBy(*order)
-            return
-        # The checkpoint fixes the row numbers: a sort that runs again after a
-        # loss may place its partition borders elsewhere.
-        fixed = cut(df.orderBy(*keys, *order).withColumn(ROW, F.monotonically_increasing_id()))
-        self.df = fixed.withColumn(PART, F.shiftright(ROW, 33))
-        self.window = Window.partitionBy(PART).orderBy(ROW)
-        self._row_before("__prev", [F.col(k) for k in keys])
-        same = F.lit(True)
-        for i, key in enumerate(keys):
-            same = same & F.col("__prev")[f"c{i}"].eqNullSafe(F.col(key))
-        self.df = self.df.withColumn(
-            START, F.col("__prev").isNull() | ~same
-        ).drop("__prev")
-
-    def position(self, name: str) -> Ordered:
-        """0-based position inside the key."""
-        if self.split:
-            self.total(name, F.lit(1).cast("long"))
-            self.df = self.df.withColumn(name, F.col(name) - 1)
-        else:
-            self.df = self.df.withColumn(name, F.row_number().over(self.window).cast("long") - 1)
-        return self._added(name)
-
-    def previous(self, name: str, column: str) -> Ordered:
-        """The column's value in the row before, null at the start of a key."""
         if self.split:
-            self._row_before("__prev", [F.col(column)])
-            value = F.when(~F.col(START), F.col("__prev.c0"))
-            self.df = self.df.withColumn(name, value).drop("__prev")
+            # The checkpoint fixes the row numbers: a sort that runs again after a
+            # loss may place its partition borders elsewhere.
+            fixed = cut(df.orderBy(*keys, *order).withColumn(ROW, F.monotonically_increasing_id()))
+            self.df = fixed.withColumn(PART, F.shiftright(ROW, 33))
+            self.window = Window.partitionBy(PART, *keys).orderBy(ROW)
         else:
-            self.df = self.df.withColumn(name, F.lag(column).over(self.window))
-        return self._added(name)
-
-    def total(self, name: str, amount: Column) -> Ordered:
-        """Running sum of a non-negative amount inside the key, this row included."""
-        if self.split:
-            self.df = self.df.withColumn("__amount", amount)
-            self._carry("__sum", F.col("__amount"), F.sum, lambda a, b: a + b)
-            base = F.when(F.col(START), F.col("__sum") - F.col("__amount"))
-            self._carry("__base", base, F.max, F.greatest)
-            self.df = self.df.withColumn(name, F.col("__sum") - F.col("__base")).drop(
-                "__amount", "__sum", "__base")
-        else:
-            self.df = self.df.withColumn(name, F.sum(amount).over(self._so_far()))
-        return self._added(name)
+            self.df = df
+            self.window = Window.partitionBy(*keys).orderBy(*order)
 
-    def since(self, name: str, flag: str) -> Ordered:
-        """Rows since the last flagged row; the first row of a key must be flagged."""
+    def add(self, **wanted) -> Ordered:
+        """Add columns; those added together share one pass."""
+        so_far = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = self.df.withColumn(AT, F.row_number().over(self.window).cast("long"))
+        local = rows.withColumns({name: w.local(so_far) for name, w in wanted.items()})
         if self.split:
-            self._carry("__at", F.lit(1).cast("long"), F.sum, lambda a, b: a + b)
-            self._carry("__last", F.when(F.col(flag), F.col("__at")), F.max, F.greatest)
-        else:
-            self.df = self.df.withColumn("__at", F.row_number().over(self.window).cast("long"))
-            last = F.max(F.when(F.col(flag), F.col("__at"))).over(self._so_far())
-            self.df = self.df.withColumn("__last", last)
-        self.df = self.df.withColumn(name, F.col("__at") - F.col("__last")).drop("__at", "__last")
-        return self._added(name)
-
-    def result(self) -> DataFrame:
-        return self.df.select(*self.columns)
-
-    def _added(self, name: str) -> Ordered:
-        self.columns.append(name)
+            local = self._carry(rows, local, wanted)
+        plain = {n: F.col(n)["v"] for n, w in wanted.items() if isinstance(w, Previous)}
+        self.df = local.withColumns(plain).drop(AT) if plain else local.drop(AT)
         return self
 
-    def _so_far(self):
-        return self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def _carry(self, name: str, value: Column, fold: Callable, combine: Callable) -> None:
-        """Running `fold` over the whole order: inside the partition, plus what precedes it."""
-        totals = self.df.groupBy(PART).agg(fold(value).alias("__total"))
-        before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.select(PART, fold("__total").over(before).alias("__carry"))
-        inside, outside = F.col(name), F.col("__carry")
-        self.df = (
-            self.df.withColumn(name, fold(value).over(self._so_far()))
-            .join(F.broadcast(carry), PART, "left")
-            .withColumn(name, F.when(outside.isNull(), inside).when(inside.isNull(), outside)
-                        .otherwise(combine(inside, outside)))
-            .drop("__carry")
+    def _carry(self, rows: DataFrame, local: DataFrame, wanted: dict) -> DataFrame:
+        parts = rows.groupBy(PART, *self.keys).agg(
+            F.count(F.lit(1)).alias("__rows"),
+            *[w.summary().alias(f"__s_{name}") for name, w in wanted.items()])
+        before = Window.partitionBy(*self.keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+        carry = (
+            parts.withColumn(BEFORE, F.sum("__rows").over(before))
+            .withColumns({f"__c_{n}": w.carried(f"__s_{n}", before) for n, w in wanted.items()})
+            .filter(F.col(BEFORE).isNotNull())
+            .select(PART, *self.keys, BEFORE, *[f"__c_{n}" for n in wanted])
         )
+        # At most one key continues into a partition: one row per partition.
+        joined = local.join(F.broadcast(carry), [PART, *self.keys], "left")
+        return joined.withColumns(
+            {n: w.combined(F.col(n), F.col(f"__c_{n}")) for n, w in wanted.items()}
+        ).drop(BEFORE, *[f"__c_{n}" for n in wanted])
 
-    def _row_before(self, name: str, values: list[Column]) -> None:
-        """Struct (c0, c1, ...) of `values` in the row before, across partition borders."""
-        packed = F.struct(F.lit(True).alias("any"), *[v.alias(f"c{i}") for i, v in enumerate(values)])
-        lasts = self.df.groupBy(PART).agg(F.max_by(packed, ROW).alias("__end"))
-        carry = lasts.select(PART, F.lag("__end").over(Window.orderBy(PART)).alias("__carry"))
-        self.df = (
-            self.df.withColumn(name, F.lag(packed).over(self.window))
-            .join(F.broadcast(carry), PART, "left")
-            .withColumn(name, F.coalesce(name, "__carry"))
-            .drop("__carry")
-        )
+    def result(self) -> DataFrame:
+        return self.df.drop(PART, ROW)
