@@ -46,8 +46,8 @@ def steps(df: DataFrame, log: EventLog, vec: Column | str = "vec", profile: Case
         F.col(log.case).alias("case"), "step", float_vec(as_column(vec)).alias("vec"))
 
 
-def constant_vec(value: float, width: int) -> Column:
-    return F.array_repeat(F.lit(value).cast("float"), width)
+def constant_vec(value: float, width: int, kind: str = "float") -> Column:
+    return F.array_repeat(F.lit(value).cast(kind), width)
 
 
 def end_steps(lengths: DataFrame, width: int) -> DataFrame:
@@ -55,7 +55,8 @@ def end_steps(lengths: DataFrame, width: int) -> DataFrame:
     return lengths.select("case", F.col("len").alias("step"), constant_vec(0.0, width).alias("vec"))
 
 
-def pad_steps(lengths: DataFrame, width: int, size: int, value: float = PAD_NUMBER) -> DataFrame:
+def pad_steps(lengths: DataFrame, width: int, size: int, value: float = PAD_NUMBER,
+              kind: str = "float") -> DataFrame:
     """(case, step, vec): padding from each case's length up to `size`.
 
     Two expansions, so that no array grows with the padding.
@@ -66,7 +67,7 @@ def pad_steps(lengths: DataFrame, width: int, size: int, value: float = PAD_NUMB
     return (
         lengths.filter(first < size).select("case", blocks.alias("from"))
         .select("case", inside.alias("step"))
-        .select("case", "step", constant_vec(value, width).alias("vec"))
+        .select("case", "step", constant_vec(value, width, kind).alias("vec"))
     )
 
 

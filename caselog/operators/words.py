@@ -68,12 +68,12 @@ def padded_text(df: DataFrame, log: EventLog, text: str, index: WordIndex, eos:
     words = text_steps(df, log, text, index, profile, limit)
     filled = words.groupBy("case", "step").agg(
         F.array_sort(F.collect_list(F.struct("place", "word_id"))).alias("items"))
-    ids = F.transform("items", lambda i: i["word_id"].cast("float"))
-    blank = F.lit(PAD_WORD).cast("float")
+    ids = F.col("items.word_id")
+    blank = F.lit(PAD_WORD).cast("long")
     vec = F.concat(ids, F.array_repeat(blank, F.lit(width) - F.size("items")))
     wordy = filled.select("case", "step", vec.alias("vec"))
     lengths = log_lengths(df, log)
     empty = with_steps(df, log, profile, limit).filter(F.coalesce(F.size(word_tokens(text)), F.lit(0)) == 0).select(
         F.col(log.case).alias("case"), "step", F.array_repeat(blank, width).alias("vec"))
     return wordy.unionByName(empty).unionByName(
-        pad_steps(lengths, width, profile.longest + int(eos), PAD_WORD))
+        pad_steps(lengths, width, profile.longest + int(eos), PAD_WORD, "long"))
