@@ -10,6 +10,8 @@ from caselog.operators import embedding as e
 from caselog.operators.sequence import with_steps
 from caselog.plans.duration import two_phase
 from caselog.plans.features import with_placeholder
+from caselog.session import scratch_table
+from caselog.sources.tables import read_table, write_table
 from caselog.sources.views import EVENTS, event_log
 
 FEATURES = ["resource", "dummyf"]
@@ -94,6 +96,14 @@ def duration_embedding(spark, folder):
     return e.duration_embedding(binned(spark, folder), EVENTS).select("event_id", "key", r6("score", "score"))
 
 
+@query("embedding_roundtrip", DURATION + "SELECT case_id, event_id, key, round(score, 6) AS score FROM embedded")
+def embedding_roundtrip(spark, folder):
+    """Written in long form, read back: the hand-over between two jobs."""
+    path = scratch_table(spark, "embedding")
+    write_table(e.duration_embedding(binned(spark, folder), EVENTS).select("case_id", "event_id", "key", "score"), path)
+    return read_table(spark, path).withColumn("score", F.round("score", 6))
+
+
 @query("duration_embedding_plain", with_(EV, """keyed AS (
   SELECT *, CAST(CAST(duration_min AS BIGINT) AS VARCHAR) AS key FROM ev)""", TOKENS) + """
 SELECT event_id, key, round(score, 6) AS score FROM embedded""")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselog.catalog.registry import cells, long, query, r6
+from caselog.catalog.registry import cells, long, query
 from caselog.catalog.sql import CASES, EV, TURNS, WORDS, with_
 from caselog.operators import encode as c
 from caselog.operators.words import WordIndex, padded_text, text_steps
-from caselog.sources.views import EVENTS, TURNS as TURN_LOG, customer_cases, event_log, turn_log
+from caselog.sources.views import TURNS as TURN_LOG, customer_cases, event_log, turn_log
 
 CATEGORIES = ["activity", "resource"]
 NUMBERS = ["amount", "duration_min"]
@@ -175,5 +175,3 @@ def role_sequence(spark, folder):
     rows = text_steps(log, TURN_LOG, "role", WordIndex(log, TURN_LOG, "role"))
     return rows.select(F.col("case").alias("case_id"), "step", "word_id")
 
-
-__all__ = ["CATEGORIES", "EVENTS", "NUMBERS", "r6", "vector_sql"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselog.catalog.registry import long, query, r6
+from caselog.catalog.registry import query, r6
 from caselog.catalog.sql import CASES, EV, LI, PRED, TURNS, WORDS, with_
 from caselog.functions.columns import (
     argmax,
@@ -15,13 +15,11 @@ from caselog.functions.columns import (
     pair_tokens,
     word_tokens,
 )
-from caselog.operators.embedding import duration_embedding
-from caselog.plans.duration import two_phase, with_minutes
+from caselog.plans.duration import with_minutes
 from caselog.plans.features import with_placeholder
 from caselog.session import scratch_table
 from caselog.sources.tables import read_table, write_table
 from caselog.sources.views import (
-    EVENTS,
     customer_cases,
     event_log,
     line_log,
@@ -49,14 +47,6 @@ def read_case_csv(spark, folder):
     return read_table(spark, path, CASE_SCHEMA).withColumn("balance", F.round("balance", 6))
 
 
-@query("embedding_roundtrip")
-def embedding_roundtrip(spark, folder):
-    path = scratch_table(spark, "embedding")
-    binned = two_phase(event_log(spark, folder), "duration_min").events
-    write_table(duration_embedding(binned, EVENTS).select("case_id", "event_id", "key", "score"), path)
-    return read_table(spark, path).withColumn("score", F.round("score", 6))
-
-
 @query("project_log", with_(EV) + """
 SELECT case_id, event_id, activity, round(duration_s, 6) AS duration_s FROM ev""")
 def project_log(spark, folder):
@@ -149,5 +139,3 @@ def argmax_truth(spark, folder):
     rows = with_probability(order_predictions(spark, folder))
     return rows.select("case_id", argmax("truth_vec").alias("truth_id"))
 
-
-__all__ = ["LABELS", "long", "with_probability"]
