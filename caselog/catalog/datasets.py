@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselog.catalog.embedding import BINNED, DURATION_KEYS, TOKENS, VOCABULARY, binned
+from caselog.catalog.embedding import BINNED, DURATION_KEYS, TOKENS, VOCABULARY, duration_keyed
 from caselog.catalog.encoding import CATEGORIES, NUMBERS, vector_sql
 from caselog.catalog.registry import long, query
 from caselog.catalog.sql import CASES, EV, with_
 from caselog.log import case_table
 from caselog.operators import dataset as d
-from caselog.operators.embedding import dense, duration_embedding, vocabulary_list
+from caselog.operators.embedding import dense, embedded, vocabulary_list
 from caselog.operators.encode import encoded_labels, fit_vectors
 from caselog.operators.sequence import with_steps
 from caselog.sources.views import EVENTS, customer_cases, event_log
@@ -45,15 +45,15 @@ def assemble_inputs(spark, folder):
     """All inputs joined by case; steps are shown summed per case and slot."""
     log = event_log(spark, folder)
     vectors = fit_vectors(log, CATEGORIES, NUMBERS, True, True)
-    durations = duration_embedding(binned(spark, folder), EVENTS)
-    keys = vocabulary_list(binned(spark, folder).select(F.col("bin").cast("long").cast("string").alias("key")))
+    keyed = duration_keyed(spark, folder)
+    keys, durations = vocabulary_list(keyed), embedded(keyed, EVENTS)
     events = with_steps(log, EVENTS).select(F.col("case_id").alias("case"), "step", vectors.vector().alias("vec"))
-    embedded = with_steps(durations, EVENTS).select(F.col("case_id").alias("case"), "step", dense(keys).alias("vec"))
+    scores = with_steps(durations, EVENTS).select(F.col("case_id").alias("case"), "step", dense(keys).alias("vec"))
     cases = customer_cases(spark, folder)
     attributes = fit_vectors(cases, ["nation"], ["balance"])
     table = encoded_labels(cases, "result").select(
         F.col("case_id").alias("case"), "label_id", attributes.vector().alias("features"))
-    joined = d.assembled({"event": events, "duration": embedded}, table)
+    joined = d.assembled({"event": events, "duration": scores}, table)
     labels = joined.cases.select("case", "label_id")
     parts = [joined.steps.select("case", F.lit(name).alias("input"), F.posexplode(name).alias("slot", "value"))
              for name in ("event", "duration")]

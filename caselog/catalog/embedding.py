@@ -127,8 +127,8 @@ def embedding_vocab(spark, folder):
 @query("embedding_slots", with_(*BINNED, DURATION_KEYS, TOKENS, VOCABULARY) + """
 SELECT event_id, slot, round(score, 6) AS score FROM embedded JOIN vocab USING (key)""")
 def embedding_slots(spark, folder):
-    embedded = e.duration_embedding(binned(spark, folder), EVENTS)
-    rows = e.slotted(embedded, e.vocabulary(duration_keyed(spark, folder)))
+    keyed = duration_keyed(spark, folder)
+    rows = e.slotted(e.embedded(keyed, EVENTS), e.vocabulary(keyed))
     return rows.select("event_id", "slot", r6("score", "score"))
 
 
@@ -138,9 +138,8 @@ WIDE_KEYS = ["", "r1", "r2", "r3", "r4", "r5", "r6"]
 @query("embedding_wide", FEATURE + "SELECT event_id, " + ", ".join(
     f"round(CASE WHEN key = '{k}' THEN score ELSE 0 END, 6) AS key_{k}" for k in WIDE_KEYS) + " FROM embedded")
 def embedding_wide(spark, folder):
-    embedded = e.feature_embedding(with_placeholder(event_log(spark, folder)), EVENTS, FEATURES)
-    rows = e.wide(embedded, e.vocabulary_list(e.feature_keyed(
-        with_placeholder(event_log(spark, folder)), EVENTS, FEATURES)))
+    keyed = e.feature_keyed(with_placeholder(event_log(spark, folder)), EVENTS, FEATURES)
+    rows = e.wide(e.embedded(keyed, EVENTS), e.vocabulary_list(keyed))
     return rows.select("event_id", *[r6(c, c) for c in rows.columns if c.startswith("key_")])
 
 
@@ -148,6 +147,6 @@ def embedding_wide(spark, folder):
 SELECT event_id, v.slot, round(CASE WHEN embedded.key = v.key THEN score ELSE 0 END, 6) AS value
 FROM embedded, vocab v""")
 def embedding_dense(spark, folder):
-    embedded = e.duration_embedding(binned(spark, folder), EVENTS)
-    keys = e.vocabulary_list(duration_keyed(spark, folder))
-    return cells(embedded.withColumn("vec", e.dense(keys)), ["event_id"])
+    keyed = duration_keyed(spark, folder)
+    keys = e.vocabulary_list(keyed)
+    return cells(e.embedded(keyed, EVENTS).withColumn("vec", e.dense(keys)), ["event_id"])

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselog.catalog.embedding import binned
+from caselog.catalog.embedding import duration_keyed
 from caselog.catalog.encoding import CATEGORIES, NUMBERS, vector_sql
-from caselog.catalog.registry import cells, query
+from caselog.catalog.registry import query
 from caselog.catalog.sql import EV, with_
 from caselog.operators import predict as p
-from caselog.operators.embedding import duration_embedding
+from caselog.operators.embedding import embedded, vocabulary_list
 from caselog.operators.encode import fit_vectors
 from caselog.plans import outcome
 from caselog.sources.views import EVENTS, customer_cases, event_log
 
 
-def prepared(spark, folder, embedded=False):
-    events = duration_embedding(binned(spark, folder), EVENTS) if embedded else event_log(spark, folder)
+def prepared(spark, folder, with_embedding=False):
+    events, keys = event_log(spark, folder), None
+    if with_embedding:
+        keyed = duration_keyed(spark, folder)
+        events, keys = embedded(keyed, EVENTS), vocabulary_list(keyed)
     return outcome.prepare(events, customer_cases(spark, folder), EVENTS, "result",
-                           CATEGORIES, NUMBERS, ["nation"], ["balance"], embedded)
+                           CATEGORIES, NUMBERS, ["nation"], ["balance"], keys)
 
 
 @query("flatten_sequences", with_(EV, vector_sql("ev", ["event_id"], CATEGORIES, NUMBERS, "<NO_DESC>"), """
@@ -31,7 +34,8 @@ SELECT case_id, slot, round(avg(value), 6) AS mean, round(arg_max(value, (start_
 FROM rated WHERE valid GROUP BY case_id, slot""")
 def flatten_sequences(spark, folder):
     log = event_log(spark, folder)
-    flat = p.flat_cases(fit_vectors(log, CATEGORIES, NUMBERS, True, True).apply(log), EVENTS)
+    vectors = fit_vectors(log, CATEGORIES, NUMBERS, True, True)
+    flat = p.flat_cases(vectors.apply(log), EVENTS, "vec", vectors.is_valid())
     rows = flat.select(F.col("case").alias("case_id"), "len",
                        F.posexplode(F.arrays_zip("mean", "last")).alias("slot", "both"))
     return rows.select("case_id", F.col("slot").cast("long").alias("slot"), F.round("both.mean", 6).alias("mean"),

@@ -32,7 +32,11 @@ def long(column, name: str):
 
 
 def cells(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
-    """One row per array element: (keys, slot, value), rounded."""
-    rows = df.select(*keys, F.posexplode(vec).alias("slot", "value"))
+    """One row per array element: (keys, slot, value), rounded.
+
+    The arrays are never empty; the outer form keeps Spark from deriving a filter
+    on their size, which would evaluate them twice.
+    """
+    rows = df.select(*keys, F.posexplode_outer(vec).alias("slot", "value"))
     return rows.select(*keys, F.col("slot").cast("long").alias("slot"),
                        F.round(F.col("value").cast("double"), 6).alias("value"))

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caselog.catalog.embedding import DURATION_KEYS, BINNED, FEATURE_KEYS, FEATURES, TOKENS, VOCABULARY, binned
+from caselog.catalog.embedding import (
+    BINNED,
+    DURATION_KEYS,
+    FEATURE_KEYS,
+    FEATURES,
+    TOKENS,
+    VOCABULARY,
+    duration_keyed,
+)
 from caselog.catalog.encoding import CATEGORIES, NUMBERS, vector_sql
 from caselog.catalog.registry import cells, query
 from caselog.catalog.sql import EV, LI, TURNS, WORDS, float6, with_
 from caselog.operators import sequence as q
-from caselog.operators.embedding import duration_embedding, feature_embedding
+from caselog.operators.embedding import embedded, feature_keyed, vocabulary_list
 from caselog.operators.encode import fit_vectors
 from caselog.operators.words import WordIndex, padded_text
 from caselog.plans.features import embedding_layer, with_placeholder
@@ -19,7 +27,10 @@ LINE_CATEGORIES, LINE_NUMBERS = ["l_returnflag", "l_linestatus"], ["l_discount",
 LINE_ORDER = "start_ts, l_linenumber, l_partkey, l_suppkey"
 
 # One narrow vector per event, for the plain sequence operators.
-NARROW = F.array("amount", "duration_min")
+def narrow():
+    return F.array("amount", "duration_min")
+
+
 STEPS = """placed AS (
   SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY start_ts, event_id) - 1 AS step FROM ev),
 lengths AS (SELECT case_id, count(*) AS len FROM ev GROUP BY case_id),
@@ -49,7 +60,7 @@ SHOW = f"SELECT case_id, step, CAST(slot AS BIGINT) AS slot, {float6('value')} A
 
 @query("sequences", with_(EV, STEPS) + SHOW + "narrow")
 def sequences(spark, folder):
-    return named(q.steps(event_log(spark, folder), EVENTS, NARROW))
+    return named(q.steps(event_log(spark, folder), EVENTS, narrow()))
 
 
 @query("sequence_rows", with_(EV, STEPS) + """
@@ -66,12 +77,12 @@ def sequence_rows(spark, folder):
 
 @query("padded_sequences", with_(EV, STEPS, padded_sql(False, "narrow")) + SHOW + "dense")
 def padded_sequences(spark, folder):
-    return named(q.padded_log(event_log(spark, folder), EVENTS, 2, NARROW, False))
+    return named(q.padded_log(event_log(spark, folder), EVENTS, 2, narrow(), False))
 
 
 @query("eos_sequences", with_(EV, STEPS, padded_sql(True, "narrow")) + SHOW + "dense")
 def eos_sequences(spark, folder):
-    return named(q.padded_log(event_log(spark, folder), EVENTS, 2, NARROW, True))
+    return named(q.padded_log(event_log(spark, folder), EVENTS, 2, narrow(), True))
 
 
 def _encoded(view, key, order, categories, numbers, missing, median):
@@ -111,13 +122,14 @@ lengths AS (SELECT case_id, count(*) AS len FROM ev GROUP BY case_id),
 
 @query("duration_embedding_layer", with_(*BINNED, DURATION_KEYS, TOKENS, _layer(False)) + SHOW + "dense")
 def duration_embedding_layer(spark, folder):
-    return named(embedding_layer(duration_embedding(binned(spark, folder), EVENTS), EVENTS, eos=False))
+    keyed = duration_keyed(spark, folder)
+    return named(embedding_layer(embedded(keyed, EVENTS), EVENTS, vocabulary_list(keyed), eos=False))
 
 
 @query("feature_embedding_layer", with_(EV, FEATURE_KEYS, TOKENS, _layer(True)) + SHOW + "dense")
 def feature_embedding_layer(spark, folder):
-    log = with_placeholder(event_log(spark, folder))
-    return named(embedding_layer(feature_embedding(log, EVENTS, FEATURES), EVENTS, eos=True))
+    keyed = feature_keyed(with_placeholder(event_log(spark, folder)), EVENTS, FEATURES)
+    return named(embedding_layer(embedded(keyed, EVENTS), EVENTS, vocabulary_list(keyed), eos=True))
 
 
 # -- simultaneous events --------------------------------------------------------------------------

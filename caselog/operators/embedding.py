@@ -127,8 +127,8 @@ def feature_embedding(df: DataFrame, log: EventLog, features: list[str], separat
 
 
 def vocabulary(events: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """(key, slot): the distinct keys in text order, numbered from 0."""
-    keys = events.filter(F.col("key").isNotNull()).select("key").distinct()
+    """(key, slot): the distinct keys of a keyed log in text order, numbered from 0."""
+    keys = cut(events.filter(F.col("key").isNotNull()).select("key").distinct())
     return Ordered(keys, [], ["key"], keys.count(), limit).add(slot=Position()).result()
 
 
@@ -138,7 +138,7 @@ def slotted(events: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def vocabulary_list(events: DataFrame, limit: int = DENSE_WIDTH) -> list[str]:
-    """The vocabulary on the driver, for the dense forms; fails beyond `limit` keys."""
+    """The vocabulary of a keyed log on the driver, for the dense forms; fails beyond `limit` keys."""
     keys = events.filter(F.col("key").isNotNull()).select("key").distinct()
     found = [r["key"] for r in keys.limit(limit + 1).collect()]
     if len(found) > limit:

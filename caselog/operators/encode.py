@@ -178,6 +178,21 @@ class Vectors:
     def apply(self, df: DataFrame, name: str = "vec") -> DataFrame:
         return df.withColumn(name, self.vector())
 
+    def is_valid(self) -> Column:
+        """Whether the vector holds anything but -1, from the raw columns.
+
+        Only masked blocks and missing numbers give -1: any other one makes the
+        vector valid.
+        """
+        known = F.lit(False)
+        for c, values in self.onehot.categories.items():
+            masked = self.onehot.missing is not None and self.onehot.missing in values
+            marker = F.col(c).cast("string").eqNullSafe(F.lit(self.onehot.missing))
+            known = known | (~marker if masked else F.lit(True))
+        for c in self.numbers.low:
+            known = known | (missing_to_null(c).isNotNull() if self.numbers.fill is None else F.lit(True))
+        return known
+
 
 def fit_vectors(df: DataFrame, categories: list[str], numbers: list[str],
                 mask_categories: bool = False, mask_numbers: bool = False,

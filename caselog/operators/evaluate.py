@@ -6,7 +6,7 @@ counts, which have at most labels x labels rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselog.functions.columns import as_column
@@ -99,9 +99,9 @@ def cross_entropy(predictions: DataFrame, probability: str, truth_id: str) -> Da
 def best_epoch(history: DataFrame, order: str, metric: str) -> DataFrame:
     """One row (epoch, best): number, from 1, of the first epoch with the largest metric.
 
-    A training history has one row per epoch, so a single ordered window is enough.
+    `order` is unique; the number is the count of epochs up to the best one, so
+    nothing is sorted.
     """
-    numbered = history.select(F.row_number().over(Window.orderBy(order)).alias("epoch"), F.col(metric).alias("metric"))
-    return numbered.agg(
-        F.min_by("epoch", F.struct(-F.col("metric"), F.col("epoch"))).cast("long").alias("epoch"),
-        F.max("metric").alias("best"))
+    first = history.agg(F.min_by(order, F.struct(-F.col(metric), F.col(order)))).scalar()
+    upto = F.when(F.col(order) <= first, 1)
+    return history.agg(F.count(upto).alias("epoch"), F.max(metric).alias("best"))

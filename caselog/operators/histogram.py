@@ -48,6 +48,7 @@ class Histogram:
         )
         self.rows = cut(counts)
         self.summaries = self._summaries()
+        self._cumulative: DataFrame | None = None
 
     def _summaries(self) -> dict[str, Summary]:
         rows = self.rows.groupBy("name").agg(
@@ -70,11 +71,16 @@ class Histogram:
         return self.rows.filter(F.col("value").isNotNull())
 
     def cumulative(self) -> DataFrame:
-        """(name, value, n, before, upto): rows below the value, and up to it."""
-        longest = max(s.distinct for s in self.summaries.values())
-        running = Ordered(self.values, ["name"], ["value"], longest, self.limit)
-        return running.add(upto=Total(F.col("n"))).result().withColumn(
-            "before", F.col("upto") - F.col("n"))
+        """(name, value, n, before, upto): rows below the value, and up to it.
+
+        Ordered once and kept, so that later questions only filter this table.
+        """
+        if self._cumulative is None:
+            longest = max(s.distinct for s in self.summaries.values())
+            running = Ordered(self.values, ["name"], ["value"], longest, self.limit)
+            self._cumulative = cut(running.add(upto=Total(F.col("n"))).result().withColumn(
+                "before", F.col("upto") - F.col("n")))
+        return self._cumulative
 
     def smallest(self, count: int) -> DataFrame:
         """The `count` smallest distinct values of a single-column histogram."""

@@ -14,7 +14,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselog.functions.columns import argmax
@@ -22,14 +22,17 @@ from caselog.log import EventLog, with_case
 from caselog.operators.sequence import is_valid
 
 
-def flat_cases(df: DataFrame, log: EventLog, vec: str = "vec") -> DataFrame:
+def flat_cases(df: DataFrame, log: EventLog, vec: str = "vec", valid: Column | None = None) -> DataFrame:
     """(case, mean, last, len): mean and last vector of the valid events, and their number.
 
     All three are aggregates with map-side partials: a case is never ordered or
-    collected, however long it is.
+    collected, however long it is. `valid` may give the condition on raw columns,
+    which is cheaper than looking at the vector.
     """
-    valid = with_case(df, log).filter(is_valid(F.col(vec).cast("array<float>")))
-    return valid.groupBy(F.col(log.case).alias("case")).agg(
+    if valid is None:
+        valid = is_valid(F.col(vec).cast("array<float>"))
+    events = with_case(df, log).filter(valid)
+    return events.groupBy(F.col(log.case).alias("case")).agg(
         vector_to_array(Summarizer.mean(array_to_vector(F.col(vec)))).alias("mean"),
         F.max_by(vec, log.order_key()).alias("last"),
         F.count(F.lit(1)).alias("len"),

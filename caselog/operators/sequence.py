@@ -14,6 +14,7 @@ from caselog.constants import CASE_ROWS, CHUNK_STEPS, PAD_NUMBER
 from caselog.functions.columns import as_column
 from caselog.log import CaseProfile, EventLog, case_lengths, case_profile, with_case
 from caselog.operators.ordered import LastFlagged, Ordered, Position, Previous, Total
+from caselog.session import cut
 
 PAD_BLOCK = 100_000
 
@@ -71,11 +72,6 @@ def pad_steps(lengths: DataFrame, width: int, size: int, value: float = PAD_NUMB
     )
 
 
-def step_lengths(step_rows: DataFrame) -> DataFrame:
-    """(case, len) of step rows, where steps are not the log's events."""
-    return step_rows.groupBy("case").agg(F.count(F.lit(1)).alias("len"))
-
-
 def with_end(step_rows: DataFrame, lengths: DataFrame, width: int) -> DataFrame:
     return step_rows.unionByName(end_steps(lengths, width))
 
@@ -166,8 +162,10 @@ def padded_stacked_log(df: DataFrame, log: EventLog, width: int, vec: Column | s
                        limit: int = CASE_ROWS) -> DataFrame:
     """(case, step, vec): padded sequences with simultaneous events in one step."""
     most = largest_cooccurrence(df, log).first()["max_cooccur"] or 1
-    rows = stacked_steps(df, log, width, most, vec, limit=limit)
-    lengths = step_lengths(rows.select("case"))
+    profile = case_profile(df, log)
+    rows = stacked_steps(df, log, width, most, vec, profile, limit)
+    lengths = cut(stacked_events(df, log, profile, limit).groupBy(F.col(log.case).alias("case")).agg(
+        (F.max("step") + 1).alias("len")))
     longest = lengths.agg(F.max("len").alias("n")).first()["n"] or 0
     return padded(rows, lengths, width * most, longest, eos)
 

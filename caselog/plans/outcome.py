@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caselog.log import EventLog
 from caselog.operators.dataset import fit_stratified
-from caselog.operators.embedding import dense, vocabulary_list
+from caselog.operators.embedding import dense
 from caselog.operators.encode import OneHot, fit_labels, fit_vectors, label_id
 from caselog.operators.evaluate import classification_report, confusion_matrix
 from caselog.operators.predict import feature_vectors, fit_classifier, flat_cases, scored, tune_classifier
@@ -35,16 +35,18 @@ class Prepared:
 def prepare(events: DataFrame, cases: DataFrame, log: EventLog, label: str,
             event_categories: list[str], event_numbers: list[str],
             case_categories: list[str], case_numbers: list[str],
-            embedded: bool = False, test_share: float = 0.2, seed: int = 42) -> Prepared:
+            keys: list[str] | None = None, test_share: float = 0.2, seed: int = 42) -> Prepared:
     """Encode events and cases and join them by case.
 
-    With `embedded` the events carry `key` and `score`, which join the vector.
+    With `keys`, the vocabulary of an embedding, the events carry `key` and `score`,
+    which join the vector.
     """
     vectors = fit_vectors(events, event_categories, event_numbers, True, True)
-    vec = vectors.vector()
-    if embedded:
-        vec = F.concat(vec, dense(vocabulary_list(events)))
-    flat = flat_cases(events.withColumn("vec", vec), log)
+    vec, valid = vectors.vector(), vectors.is_valid()
+    if keys is not None:
+        # An embedded event has no -1 among its scores.
+        vec, valid = F.concat(vec, dense(keys)), F.lit(True)
+    flat = flat_cases(events.withColumn("vec", vec), log, "vec", valid)
     labels = fit_labels(cases, label)
     attributes = fit_vectors(cases, case_categories, case_numbers)
     table = cases.filter(F.col(label).isNotNull()).select(
