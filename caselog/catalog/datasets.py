@@ -55,11 +55,15 @@ def assemble_inputs(spark, folder):
         F.col("case_id").alias("case"), "label_id", attributes.vector().alias("features"))
     joined = d.assembled({"event": events, "duration": scores}, table)
     labels = joined.cases.select("case", "label_id")
-    parts = [joined.steps.select("case", F.lit(name).alias("input"), F.posexplode(name).alias("slot", "value"))
-             for name in ("event", "duration")]
-    parts.append(joined.cases.select("case", F.lit("case").alias("input"), F.posexplode("features").alias("slot", "value")))
-    rows = parts[0].unionAll(parts[1]).unionAll(parts[2])
-    sums = rows.groupBy("case", "input", "slot").agg(F.round(F.sum("value"), 4).alias("total"))
+
+    def labelled(column, name):
+        return F.transform(column, lambda x, i: F.struct(
+            F.lit(name).alias("input"), i.alias("slot"), x.cast("double").alias("value")))
+
+    both = F.concat(labelled("event", "event"), labelled("duration", "duration"))
+    steps = joined.steps.select("case", F.explode(both).alias("cell"))
+    rows = steps.unionAll(joined.cases.select("case", F.explode(labelled("features", "case")).alias("cell")))
+    sums = rows.groupBy("case", "cell.input", "cell.slot").agg(F.round(F.sum("cell.value"), 4).alias("total"))
     return sums.join(labels, "case").select(
         F.col("case").alias("case_id"), "label_id", "input", long(F.col("slot"), "slot"), "total")
 

@@ -174,16 +174,10 @@ def bin_starts(cumulative: DataFrame, pairs: list[tuple[int, int, int]],
     if not live:
         live, below = [(t, q, rank) for t, q, rank in pairs], {t: valid - 1 for t in t_cuts}
         cumulative = cumulative.filter(F.lit(False))
-    options = F.array(*[
-        F.struct(
-            F.lit(rank).alias("rank"), F.lit(t).alias("t_cut"), F.lit(q).alias("q_bins"),
-            F.lit(below[t]).cast("long").alias("below"),
-            F.lit(valid - below[t]).cast("long").alias("long_rows"),
-        )
-        for t, q, rank in live
-    ])
-    rows = cumulative.select("value", "before", "upto", F.explode(options).alias("p")).select(
-        "value", "before", "upto", "p.*")
+    options = ", ".join(f"({rank}, {t}, {q}, {below[t]}L, {valid - below[t]}L)" for t, q, rank in live)
+    fields = "array<struct<rank:int,t_cut:int,q_bins:int,below:bigint,long_rows:bigint>>"
+    rows = cumulative.select(
+        "value", "before", "upto", F.expr(f"inline(cast(array({options}) as {fields}))"))
     last = hist.summary.highest
     first = F.expr("((before - below) * q_bins + long_rows - 1) div long_rows")
     after = F.expr("((upto - below) * q_bins + long_rows - 1) div long_rows")

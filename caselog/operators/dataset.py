@@ -38,9 +38,10 @@ def assembled(inputs: dict[str, DataFrame], cases: DataFrame) -> Assembled:
     """
     named = [rows.select("case", "step", F.col("vec").alias(name)) for name, rows in inputs.items()]
     joined = reduce(lambda a, b: a.join(b, ["case", "step"]), named)
+    present = [rows.select("case").distinct() for rows in inputs.values()]
     return Assembled(
         joined.join(cases.select("case"), "case", "left_semi"),
-        cases.join(joined.select("case").distinct(), "case", "left_semi"),
+        reduce(lambda a, b: a.join(b, "case", "left_semi"), present, cases),
     )
 
 
