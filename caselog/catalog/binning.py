@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caselog.catalog.registry import long, query, r6
-from caselog.catalog.sql import EV, LI, cutoff_edges, two_phase as two_phase_sql, with_
+from caselog.catalog.sql import EV, LI, cutoff_edges, quantile_shares, two_phase as two_phase_sql, with_
 from caselog.operators import binning as b
 from caselog.operators.histogram import Histogram
 from caselog.plans.duration import BinaryBinning
@@ -36,20 +36,30 @@ def bin_cutoff(spark, folder):
     return b.cutoff_bins(minutes(spark, folder), "duration_min", CUT, POINTS).select("event_id", "bin", "bin_range")
 
 
-@query("bin_guards", with_(EV, LI) + """
+def repeated(view, column, cut, points):
+    """Whether two of the quantiles are equal."""
+    shares = quantile_shares(points)
+    return (f"(SELECT len(list_distinct(v)) < len(v) FROM (SELECT quantile_cont({column}, [{shares}]) AS v "
+            f"FROM {view} WHERE {column} >= {cut}))")
+
+
+@query("bin_guards", with_(EV, LI, "known AS (SELECT amount FROM ev WHERE amount <> -1)") + f"""
 SELECT 'duration_min' AS col, 'ok' AS guard, count(DISTINCT CASE WHEN duration_min < 60 THEN duration_min END) AS short_values,
-  count(DISTINCT CASE WHEN duration_min < 60 THEN duration_min END) > 50 AS many_short_bins FROM ev
+  count(DISTINCT CASE WHEN duration_min < 60 THEN duration_min END) > 50 AS many_short_bins,
+  {repeated('ev', 'duration_min', 60, 24)} AS duplicate_quantiles FROM ev
 UNION ALL SELECT 'missing', 'has_null', count(DISTINCT CASE WHEN amount < 60 AND amount <> -1 THEN amount END),
-  count(DISTINCT CASE WHEN amount < 60 AND amount <> -1 THEN amount END) > 50 FROM ev
-UNION ALL SELECT 'resource', 'not_numeric', 0, false
-UNION ALL SELECT 'one', 'one_value', count(DISTINCT qty - qty + 7), false FROM li
-UNION ALL SELECT 'few', 'few_points', count(DISTINCT CASE WHEN qty < 60 THEN qty END), false FROM li""")
+  count(DISTINCT CASE WHEN amount < 60 AND amount <> -1 THEN amount END) > 50, {repeated("known", "amount", 60, 24)} FROM ev
+UNION ALL SELECT 'resource', 'not_numeric', 0, false, false
+UNION ALL SELECT 'qty', 'ok', count(DISTINCT CASE WHEN qty < 10 THEN qty END), false,
+  {repeated('li', 'qty', 10, 60)} FROM li
+UNION ALL SELECT 'one', 'one_value', count(DISTINCT CASE WHEN qty - qty + 7 < 60 THEN 7 END), false, false FROM li
+UNION ALL SELECT 'few', 'few_points', count(DISTINCT CASE WHEN qty < 60 THEN qty END), false, false FROM li""")
 def bin_guards(spark, folder):
     events = event_log(spark, folder).withColumn("missing", F.nullif("amount", F.lit(-1.0)))
     lines = line_log(spark, folder).withColumn("one", F.col("qty") - F.col("qty") + 7).withColumn("few", F.col("qty"))
-    rows = [(events, "duration_min", 24), (events, "missing", 24), (events, "resource", 24),
-            (lines, "one", 24), (lines, "few", 1)]
-    parts = [b.cutoff_guards(df, c, 60, n).select(F.lit(c).alias("col"), "*") for df, c, n in rows]
+    rows = [(events, "duration_min", 60, 24), (events, "missing", 60, 24), (events, "resource", 60, 24),
+            (lines, "qty", 10, 60), (lines, "one", 60, 24), (lines, "few", 60, 1)]
+    parts = [b.cutoff_guards(df, c, cut, n).select(F.lit(c).alias("col"), "*") for df, c, cut, n in rows]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionAll(part)

@@ -43,9 +43,13 @@ def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+def quantile_shares(points: int) -> str:
+    return ", ".join(f"CAST('{float(p)!r}' AS DOUBLE)" for p in np.linspace(0, 1, points))
+
+
 def cutoff_edges(view: str, column: str, cut: int, points: int) -> str:
     """CTE `edges` (lower, upper) of the fixed-cut quantile bins."""
-    shares = ", ".join(f"CAST('{float(p)!r}' AS DOUBLE)" for p in np.linspace(0, 1, points))
+    shares = quantile_shares(points)
     return f"""whole AS (
   SELECT DISTINCT trunc(v) AS v FROM (
     SELECT unnest(quantile_cont({column}, [{shares}])) AS v FROM {view} WHERE {column} >= {cut})

@@ -90,9 +90,11 @@ def cutoff_guards(df: DataFrame, duration: str, cut: float, points: int) -> Data
             F.when(F.count(F.lit(1)) == 0, "empty").otherwise("not_numeric").alias("guard"),
             F.lit(0).cast("long").alias("short_values"),
             F.lit(False).alias("many_short_bins"),
+            F.lit(False).alias("duplicate_quantiles"),
         )
-    counts = df.groupBy(number_or_null(duration).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.agg(
+    hist = Histogram(df, duration)
+    quantiles = _quantiles_from(hist, cut, points) if points >= 2 else []
+    sizes = hist.rows.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("value").alias("distinct"),
         F.count(F.when(F.col("value") < F.lit(float(cut)), 1)).alias("short_values"),
@@ -107,6 +109,7 @@ def cutoff_guards(df: DataFrame, duration: str, cut: float, points: int) -> Data
     return sizes.select(
         guard.alias("guard"), "short_values",
         (F.col("short_values") > MANY_SHORT_BINS).alias("many_short_bins"),
+        F.lit(len(set(quantiles)) < len(quantiles)).alias("duplicate_quantiles"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselog.constants import DENSE_WIDTH, SMALL_ROWS
-from caselog.functions.columns import as_column
+from caselog.functions.columns import as_column, by_value
 from caselog.operators.ordered import Ordered, Position
 
 HASH_BUCKET = 4      # leading hex digits: 65,536 buckets
@@ -55,7 +55,10 @@ def case_hash(case: Column | str, seed: int = 42) -> Column:
 
 @dataclass(frozen=True)
 class StratifiedSplit:
-    """Training cases of a class are those up to the class's hash threshold."""
+    """Training cases of a class are those up to the class's hash threshold.
+
+    A case without label, or with a label unknown to the fit, belongs to no part.
+    """
 
     case: str
     label: str
@@ -63,15 +66,13 @@ class StratifiedSplit:
     thresholds: dict
 
     def is_train(self) -> Column:
-        h = case_hash(self.case, self.seed)
-        train = F.lit(None).cast("boolean")
-        for value, threshold in self.thresholds.items():
-            inside = h <= F.lit(threshold) if threshold else F.lit(False)
-            train = F.when(F.col(self.label) == F.lit(value), inside).otherwise(train)
-        return train
+        # '' sorts before every hash: a class without training cases.
+        last = by_value(self.label, {v: h or "" for v, h in self.thresholds.items()})
+        return case_hash(self.case, self.seed) <= last
 
     def apply(self, df: DataFrame, name: str = "split") -> DataFrame:
-        return df.withColumn(name, F.when(self.is_train(), "train").otherwise("test"))
+        train = self.is_train()
+        return df.withColumn(name, F.when(train, "train").when(~train, "test"))
 
 
 def class_quotas(cases: DataFrame, label: str, test_share: float = 0.2) -> DataFrame:
@@ -101,10 +102,10 @@ def fit_stratified(cases: DataFrame, case: str, label: str, test_share: float =
     Hash-prefix counts tell the bucket in which the quota ends; only that bucket's
     cases (about 1 in 65,536 of a class) are ranked.
     """
-    quotas = class_quotas(cases, label, test_share)
-    found = quotas.limit(DENSE_WIDTH + 1).collect()
-    if len(found) > DENSE_WIDTH:
+    classes = cases.filter(F.col(label).isNotNull()).select(label).distinct()
+    if classes.limit(DENSE_WIDTH + 1).count() > DENSE_WIDTH:
         raise ValueError(f"more than {DENSE_WIDTH} classes")
+    found = class_quotas(cases, label, test_share).collect()
     if any(r["n"] < 2 for r in found):
         raise ValueError("a class with a single case cannot be split")
     train = {r["label"]: r["train"] for r in found}
@@ -114,9 +115,7 @@ def fit_stratified(cases: DataFrame, case: str, label: str, test_share: float =
     prefix = F.substring("h", 1, HASH_BUCKET)
     so_far = Window.partitionBy("label").orderBy("prefix").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    quota = F.lit(None).cast("long")
-    for value, rows in train.items():
-        quota = F.when(F.col("label") == F.lit(value), F.lit(rows).cast("long")).otherwise(quota)
+    quota = by_value("label", train).cast("long")
     ends = (
         hashed.groupBy("label", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.sum("n").over(so_far)).withColumn("quota", quota)
@@ -126,15 +125,12 @@ def fit_stratified(cases: DataFrame, case: str, label: str, test_share: float =
     )
     if not ends:
         return StratifiedSplit(case, label, seed, {v: None for v in train})
-    inside = F.lit(None).cast("long")
-    for r in ends:
-        here = (F.col("label") == F.lit(r["label"])) & (prefix == F.lit(r["prefix"]))
-        inside = F.when(here, F.lit(r["take"]).cast("long")).otherwise(inside)
+    in_bucket = prefix == by_value("label", {r["label"]: r["prefix"] for r in ends})
+    take = by_value("label", {r["label"]: r["take"] for r in ends}).cast("long")
     order = Window.partitionBy("label").orderBy("h")
     last = (
-        hashed.withColumn("take", inside).filter(F.col("take").isNotNull())
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") == F.col("take")).select("label", "h").collect()
+        hashed.filter(in_bucket).withColumn("place", F.row_number().over(order))
+        .filter(F.col("place") == take).select("label", "h").collect()
     )
     return StratifiedSplit(case, label, seed, {v: None for v in train} | {r["label"]: r["h"] for r in last})
 

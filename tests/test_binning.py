@@ -126,6 +126,11 @@ def test_guards(spark, values, points, guard):
     assert b.cutoff_guards(frame(spark, values), "d", 5, points).first()["guard"] == guard
 
 
+def test_duplicate_quantiles(spark):
+    rows = [(b.cutoff_guards(frame(spark, v), "d", 0, 5).first()["duplicate_quantiles"]) for v in ([1, 1, 1, 9], VALUES)]
+    assert rows == [True, False]
+
+
 def test_many_short_bins(spark):
     row = b.cutoff_guards(frame(spark, list(range(80))), "d", 60, 4).first()
     assert (row["short_values"], row["many_short_bins"]) == (60, True)
