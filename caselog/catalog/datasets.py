@@ -8,7 +8,7 @@ from caselog.catalog.embedding import BINNED, DURATION_KEYS, TOKENS, VOCABULARY,
 from caselog.catalog.encoding import CATEGORIES, NUMBERS, vector_sql
 from caselog.catalog.registry import long, query
 from caselog.catalog.sql import CASES, EV, with_
-from caselog.log import case_table
+from caselog.log import case_profile, case_table
 from caselog.operators import dataset as d
 from caselog.operators.embedding import dense, embedded, vocabulary_list
 from caselog.operators.encode import encoded_labels, fit_vectors
@@ -47,8 +47,9 @@ def assemble_inputs(spark, folder):
     vectors = fit_vectors(log, CATEGORIES, NUMBERS, True, True)
     keyed = duration_keyed(spark, folder)
     keys, durations = vocabulary_list(keyed), embedded(keyed, EVENTS)
-    events = with_steps(log, EVENTS).select(F.col("case_id").alias("case"), "step", vectors.vector().alias("vec"))
-    scores = with_steps(durations, EVENTS).select(F.col("case_id").alias("case"), "step", dense(keys).alias("vec"))
+    profile = case_profile(log, EVENTS)
+    events = with_steps(log, EVENTS, profile).select(F.col("case_id").alias("case"), "step", vectors.vector().alias("vec"))
+    scores = with_steps(durations, EVENTS, profile).select(F.col("case_id").alias("case"), "step", dense(keys).alias("vec"))
     cases = customer_cases(spark, folder)
     attributes = fit_vectors(cases, ["nation"], ["balance"])
     table = encoded_labels(cases, "result").select(

@@ -17,7 +17,7 @@ from caselog.catalog.encoding import CATEGORIES, NUMBERS, vector_sql
 from caselog.catalog.registry import cells, query
 from caselog.catalog.sql import EV, LI, TURNS, WORDS, float6, with_
 from caselog.operators import sequence as q
-from caselog.operators.embedding import embedded, feature_keyed, vocabulary_list
+from caselog.operators.embedding import feature_keyed
 from caselog.operators.encode import fit_vectors
 from caselog.operators.words import WordIndex, padded_text
 from caselog.plans.features import embedding_layer, with_placeholder
@@ -122,14 +122,13 @@ lengths AS (SELECT case_id, count(*) AS len FROM ev GROUP BY case_id),
 
 @query("duration_embedding_layer", with_(*BINNED, DURATION_KEYS, TOKENS, _layer(False)) + SHOW + "dense")
 def duration_embedding_layer(spark, folder):
-    keyed = duration_keyed(spark, folder)
-    return named(embedding_layer(embedded(keyed, EVENTS), EVENTS, vocabulary_list(keyed), eos=False))
+    return named(embedding_layer(duration_keyed(spark, folder), EVENTS, eos=False))
 
 
 @query("feature_embedding_layer", with_(EV, FEATURE_KEYS, TOKENS, _layer(True)) + SHOW + "dense")
 def feature_embedding_layer(spark, folder):
     keyed = feature_keyed(with_placeholder(event_log(spark, folder)), EVENTS, FEATURES)
-    return named(embedding_layer(embedded(keyed, EVENTS), EVENTS, vocabulary_list(keyed), eos=True))
+    return named(embedding_layer(keyed, EVENTS, eos=True))
 
 
 # -- simultaneous events --------------------------------------------------------------------------

@@ -94,10 +94,8 @@ class Histogram:
         cumulative = self.cumulative()
         hits = None
         for name, positions in wanted.items():
-            inside = F.filter(
-                F.array(*[F.lit(p).cast("long") for p in positions]),
-                lambda p: (p >= F.col("before")) & (p < F.col("upto")),
-            )
+            asked = F.expr("array(" + ", ".join(f"{p}L" for p in positions) + ")")
+            inside = F.filter(asked, lambda p: (p >= F.col("before")) & (p < F.col("upto")))
             here = F.when(F.col("name") == name, inside)
             hits = here if hits is None else F.coalesce(hits, here)
         found = cumulative.select("name", "value", F.explode(hits).alias("position")).collect()

@@ -90,10 +90,15 @@ def log_lengths(df: DataFrame, log: EventLog) -> DataFrame:
 
 
 def padded_log(df: DataFrame, log: EventLog, width: int, vec: Column | str = "vec", eos: bool = True,
-               value: float = PAD_NUMBER, limit: int = CASE_ROWS) -> DataFrame:
-    """(case, step, vec): the padded sequences of a log whose events carry vectors."""
-    profile = case_profile(df, log)
-    return padded(steps(df, log, vec, profile, limit), log_lengths(df, log), width,
+               value: float = PAD_NUMBER, limit: int = CASE_ROWS, plain: DataFrame | None = None) -> DataFrame:
+    """(case, step, vec): the padded sequences of a log whose events carry vectors.
+
+    `plain` may give the same events before costly columns were joined: cases are
+    counted on it.
+    """
+    counted = df if plain is None else plain
+    profile = case_profile(counted, log)
+    return padded(steps(df, log, vec, profile, limit), log_lengths(counted, log), width,
                   profile.longest, eos, value)
 
 

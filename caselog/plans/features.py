@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caselog.constants import MISSING_TEXT, PAD_NUMBER
 from caselog.log import EventLog
-from caselog.operators.embedding import dense
+from caselog.operators.embedding import dense, embedded, vocabulary_list
 from caselog.operators.sequence import padded_log
 
 
@@ -16,11 +16,11 @@ def with_placeholder(df: DataFrame, name: str = "dummyf") -> DataFrame:
     return df.withColumn(name, F.lit(MISSING_TEXT))
 
 
-def embedding_layer(embedded: DataFrame, log: EventLog, keys: list[str], eos: bool = True) -> DataFrame:
-    """(case, step, vec): padded sequences of an embedded log (duration or feature keys).
+def embedding_layer(keyed: DataFrame, log: EventLog, keys: list[str] | None = None, eos: bool = True) -> DataFrame:
+    """(case, step, vec): padded sequences of the scores of a keyed log (durations or features).
 
-    The vector has one slot per key; take `keys` from the keyed log, before scores
-    are joined. `slotted` rows hold the same in one number per event where the
-    vocabulary is too large for that.
+    The vector has one slot per key of the vocabulary; `slotted` rows hold the same
+    in one number per event where the vocabulary is too large for that.
     """
-    return padded_log(embedded, log, len(keys), dense(keys), eos, PAD_NUMBER)
+    keys = vocabulary_list(keyed) if keys is None else keys
+    return padded_log(embedded(keyed, log), log, len(keys), dense(keys), eos, PAD_NUMBER, plain=keyed)

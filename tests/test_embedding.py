@@ -99,7 +99,7 @@ def test_features_and_forms(spark):
     assert [(r["key_"], r["key_q"], r["key_r1"]) for r in wide] == [(0, 0, 1), (0, 1, 0), (0, 0, 0)]
     slots = e.slotted(embedded, e.vocabulary(keyed)).orderBy("i").collect()
     assert [(r["slot"], r["score"]) for r in slots] == [(2, 1), (1, 1), (0, 0)]
-    layer = embedding_layer(embedded, LOG, keys, eos=True).orderBy("case", "step").collect()
+    layer = embedding_layer(keyed, LOG, keys, eos=True).orderBy("case", "step").collect()
     assert [r["vec"] for r in layer] == [[0, 0, 1], [0, 1, 0], [0, 0, 0], [0, 0, 0], [0, 0, 0], [-1, -1, -1]]
     assert with_placeholder(df).first()["dummyf"] == "<NO_DESC>"
     with pytest.raises(ValueError):
