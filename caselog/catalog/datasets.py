@@ -12,7 +12,7 @@ from caselog.log import case_profile, case_table
 from caselog.operators import dataset as d
 from caselog.operators.embedding import dense, embedded, vocabulary_list
 from caselog.operators.encode import encoded_labels, fit_vectors
-from caselog.operators.sequence import with_steps
+from caselog.operators.sequence import step_vectors
 from caselog.sources.views import EVENTS, customer_cases, event_log
 
 
@@ -46,15 +46,13 @@ def assemble_inputs(spark, folder):
     log = event_log(spark, folder)
     vectors = fit_vectors(log, CATEGORIES, NUMBERS, True, True)
     keyed = duration_keyed(spark, folder)
-    keys, durations = vocabulary_list(keyed), embedded(keyed, EVENTS)
-    profile = case_profile(log, EVENTS)
-    events = with_steps(log, EVENTS, profile).select(F.col("case_id").alias("case"), "step", vectors.vector().alias("vec"))
-    scores = with_steps(durations, EVENTS, profile).select(F.col("case_id").alias("case"), "step", dense(keys).alias("vec"))
+    inputs = {"event": vectors.vector(), "duration": dense(vocabulary_list(keyed))}
+    steps = step_vectors(embedded(keyed, EVENTS), EVENTS, inputs, case_profile(log, EVENTS))
     cases = customer_cases(spark, folder)
     attributes = fit_vectors(cases, ["nation"], ["balance"])
     table = encoded_labels(cases, "result").select(
         F.col("case_id").alias("case"), "label_id", attributes.vector().alias("features"))
-    joined = d.assembled({"event": events, "duration": scores}, table)
+    joined = d.with_cases(steps, table, log.select(F.col("case_id").alias("case")))
     labels = joined.cases.select("case", "label_id")
 
     def labelled(column, name):
@@ -62,8 +60,7 @@ def assemble_inputs(spark, folder):
             F.lit(name).alias("input"), i.alias("slot"), x.cast("double").alias("value")))
 
     both = F.concat(labelled("event", "event"), labelled("duration", "duration"))
-    steps = joined.steps.select("case", F.explode(both).alias("cell"))
-    rows = steps.unionAll(joined.cases.select("case", F.explode(labelled("features", "case")).alias("cell")))
+    rows = joined.steps.select("case", F.explode(both).alias("cell")).unionAll(joined.cases.select("case", F.explode(labelled("features", "case")).alias("cell")))
     sums = rows.groupBy("case", "cell.input", "cell.slot").agg(F.round(F.sum("cell.value"), 4).alias("total"))
     return sums.join(labels, "case").select(
         F.col("case").alias("case_id"), "label_id", "input", long(F.col("slot"), "slot"), "total")

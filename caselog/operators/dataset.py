@@ -32,16 +32,25 @@ class Assembled:
 def assembled(inputs: dict[str, DataFrame], cases: DataFrame) -> Assembled:
     """Join step rows `(case, step, vec)` of several inputs and the case table by key.
 
-    Only cases that occur in all inputs stay. Steps are joined by (case, step), which
-    spreads a long case over the tasks; case attributes are kept apart and not copied
-    to every step.
+    For inputs from different tables; those of one log are built together by
+    `step_vectors` and need `with_cases` only. Only cases that occur in all inputs
+    stay. Steps are joined by (case, step), which spreads a long case over the tasks.
     """
     named = [rows.select("case", "step", F.col("vec").alias(name)) for name, rows in inputs.items()]
     joined = reduce(lambda a, b: a.join(b, ["case", "step"]), named)
-    present = [rows.select("case").distinct() for rows in inputs.values()]
+    return with_cases(joined, cases, *[rows.select("case") for rows in inputs.values()])
+
+
+def with_cases(steps: DataFrame, cases: DataFrame, *present: DataFrame) -> Assembled:
+    """Steps and cases restricted to each other by case key.
+
+    Case attributes are kept apart and not copied to every step. `present` may give
+    cheaper tables that hold the same case keys as the steps.
+    """
+    keys = [p.select("case").distinct() for p in present or (steps,)]
     return Assembled(
-        joined.join(cases.select("case"), "case", "left_semi"),
-        reduce(lambda a, b: a.join(b, "case", "left_semi"), present, cases),
+        steps.join(cases.select("case"), "case", "left_semi"),
+        reduce(lambda a, b: a.join(b, "case", "left_semi"), keys, cases),
     )
 
 

@@ -43,8 +43,15 @@ def steps(df: DataFrame, log: EventLog, vec: Column | str = "vec", profile: Case
     `vec` may be an expression: it is evaluated after the events are ordered, so
     that raw columns are shuffled and not the wider vectors.
     """
+    return step_vectors(df, log, {"vec": vec}, profile, limit)
+
+
+def step_vectors(df: DataFrame, log: EventLog, vecs: dict[str, Column | str],
+                 profile: CaseProfile | None = None, limit: int = CASE_ROWS) -> DataFrame:
+    """(case, step, one vector column per input) of every event, in one pass for all inputs."""
     return with_steps(df, log, profile, limit).select(
-        F.col(log.case).alias("case"), "step", float_vec(as_column(vec)).alias("vec"))
+        F.col(log.case).alias("case"), "step",
+        *[float_vec(as_column(vec)).alias(name) for name, vec in vecs.items()])
 
 
 def constant_vec(value: float, width: int, kind: str = "float") -> Column:

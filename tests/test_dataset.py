@@ -7,6 +7,7 @@ from caselog.log import EventLog
 from caselog.operators import dataset as d
 from caselog.operators import evaluate as v
 from caselog.operators import predict as p
+from caselog.operators.sequence import step_vectors
 from caselog.plans import outcome
 from caselog.session import scratch_table, shared_folder
 from caselog.sources.tables import read_table, write_table
@@ -55,6 +56,16 @@ def test_assembly_keeps_common_cases(spark):
     assert [tuple(r) for r in joined.cases.collect()] == [(1, [0.5])]
 
 
+def test_inputs_of_one_log(spark):
+    rows = [(1, 1, "a", 2.0), (1, 0, "b", 1.0), (2, 0, "a", 3.0)]
+    df = spark.createDataFrame(rows, "c int, i int, a string, n double")
+    cases = spark.createDataFrame([(1, [0.5]), (9, [0.2])], "case int, features array<double>")
+    vecs = {"n": F.array("n"), "is_a": F.array((F.col("a") == "a").cast("double"))}
+    joined = d.with_cases(step_vectors(df, LOG, vecs), cases)
+    assert sorted((r["step"], r["n"], r["is_a"]) for r in joined.steps.collect()) == [(0, [1.0], [0.0]), (1, [2.0], [1.0])]
+    assert [r["case"] for r in joined.cases.collect()] == [1]
+
+
 @pytest.fixture(scope="module")
 def predicted(spark):
     return spark.createDataFrame(list(zip("aaaabbbccc", "aaabbbabbb")), "truth string, pred string")
