@@ -62,7 +62,7 @@ def pair_tokens(pair: Column | str) -> Column:
 def word_tokens(text: Column | str) -> Column:
     """Lower-case words, split at blanks and punctuation."""
     blanked = F.translate(as_column(text), WORD_BLANKS, " " * len(WORD_BLANKS))
-    return F.filter(F.split(F.lower(blanked), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(blanked), " "), "")
 
 
 def argmax(values: Column | str) -> Column:
@@ -71,6 +71,13 @@ def argmax(values: Column | str) -> Column:
     return (F.array_position(v, F.array_max(v)) - 1).cast("int")
 
 
+def one_slot(place: Column, width: int, value: Column) -> Column:
+    """Array of `width` zeros with `value` at the 1-based `place`; all zeros for null or 0."""
+    zero = F.lit(0.0)
+    filled = F.concat(F.array_repeat(zero, place - 1), F.array(value), F.array_repeat(zero, F.lit(width) - place))
+    return F.when(place > 0, filled).otherwise(F.array_repeat(zero, width))
+
+
 def truncated(c: Column | str) -> Column:
     """Towards zero, as double."""
     return as_column(c).cast("long").cast("double")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselog.constants import BROADCAST_ROWS, DENSE_WIDTH, MISSING_TEXT, SMALL_ROWS
-from caselog.functions.columns import bin_key, concat_present, pair_text, pair_tokens
+from caselog.functions.columns import bin_key, concat_present, one_slot, pair_text, pair_tokens
 from caselog.log import EventLog, with_case
 from caselog.operators.ordered import Ordered, Position
 from caselog.session import cut
@@ -155,10 +155,8 @@ def wide(events: DataFrame, keys: list[str], prefix: str = "key_") -> DataFrame:
 
 def dense(keys: list[str]):
     """The event's scores as an array over the vocabulary."""
-    return F.transform(
-        F.lit(keys).cast("array<string>"),
-        lambda k: F.when(k == F.col("key"), F.col("score")).otherwise(F.lit(0.0)),
-    )
+    place = F.array_position(F.lit(keys).cast("array<string>"), F.col("key")).cast("int")
+    return one_slot(place, len(keys), F.col("score"))
 
 
 def case_documents(events: DataFrame, log: EventLog, pieces: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselog.constants import BROADCAST_ROWS, DENSE_WIDTH, MISSING_NUMBER, MISSING_TEXT, SMALL_ROWS
-from caselog.functions.columns import missing_to_null
+from caselog.functions.columns import missing_to_null, one_slot
 from caselog.operators.histogram import Histogram
 from caselog.operators.ordered import Ordered, Position
 from caselog.session import cut
@@ -34,6 +34,7 @@ class OneHot:
     """Sorted categories per column; a null, where one occurs, comes last."""
 
     categories: dict[str, list]
+    types: dict[str, str]
     missing: str | None = None
 
     @property
@@ -42,16 +43,22 @@ class OneHot:
 
     def block(self, column: str) -> Column:
         """0/1 per category; all -1 where the column holds the missing marker."""
-        value = F.col(column)
-        slots = F.array(*[
-            F.when(value.eqNullSafe(F.lit(c)), F.lit(1.0)).otherwise(F.lit(0.0))
-            for c in self.categories[column]
-        ]).cast("array<double>")
+        value, width = F.col(column), len(self.categories[column])
+        slots = one_slot(self.place(column), width, F.lit(1.0))
         if self.missing is None or self.missing not in self.categories[column]:
             return slots
-        masked = F.array_repeat(F.lit(MASKED), len(self.categories[column]))
+        masked = F.array_repeat(F.lit(MASKED), width)
         return F.when(value.cast("string").eqNullSafe(F.lit(self.missing)), masked).otherwise(slots)
 
+    def place(self, column: str) -> Column:
+        """1-based place of the row's category, 0 or null for an unknown one."""
+        values = self.categories[column]
+        known = [v for v in values if v is not None]
+        place = F.array_position(F.lit(known).cast(f"array<{self.types[column]}>"), F.col(column)).cast("int")
+        if len(known) < len(values):
+            place = F.when(F.col(column).isNull(), F.lit(len(values))).otherwise(place)
+        return place
+
     def vector(self) -> Column:
         """The blocks of all columns, one after the other."""
         return F.concat(*[self.block(c) for c in self.categories]) if self.categories else empty_block()
@@ -69,7 +76,8 @@ def fit_onehot(df: DataFrame, columns: list[str], missing: str | None = None,
         if len(found) > limit:
             raise ValueError(f"{c} has more than {limit} categories: use `category_slots`")
         categories[c] = sorted(v for v in found if v is not None) + [None] * (None in found)
-    return OneHot(categories, missing)
+    types = {c: df.schema[c].dataType.simpleString() for c in columns}
+    return OneHot(categories, types, missing)
 
 
 def category_slots(df: DataFrame, columns: list[str], limit: int = SMALL_ROWS) -> DataFrame:
@@ -212,8 +220,8 @@ def fit_labels(df: DataFrame, label: str, limit: int = DENSE_WIDTH) -> OneHot:
 
 def label_id(labels: OneHot) -> Column:
     """0-based index of the row's label, null for an unknown one."""
-    [(column, values)] = labels.categories.items()
-    return F.nullif(F.array_position(F.lit(values), F.col(column)), F.lit(0)).cast("int") - 1
+    [column] = labels.categories
+    return F.nullif(labels.place(column), F.lit(0)) - 1
 
 
 def encoded_labels(df: DataFrame, label: str) -> DataFrame:

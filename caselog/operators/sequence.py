@@ -198,7 +198,8 @@ def tensor_shape(step_rows: DataFrame) -> DataFrame:
 
 def is_valid(vec: Column | str, pad: float = PAD_NUMBER) -> Column:
     """A step is valid if any of its values differs from the padding value."""
-    return F.exists(vec, lambda v: v != F.lit(pad).cast("float"))
+    value = F.lit(pad).cast("float")
+    return F.coalesce((F.array_max(vec) != value) | (F.array_min(vec) != value), F.lit(False))
 
 
 def step_mask(inputs: dict[str, DataFrame], pads: dict[str, float] | None = None) -> DataFrame:
