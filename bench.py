@@ -12,7 +12,7 @@ import time
 from pathlib import Path
 
 from caselog.catalog import QUERIES
-from caselog.session import local_session
+from caselog.session import clear_scratch, local_session
 
 HEADLINE = [
     "bin_cutoff", "bin_two_phase", "bin_two_phase_report", "bin_share_report",
@@ -36,6 +36,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        clear_scratch(spark)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": Path(folder).name.removeprefix("sf"),

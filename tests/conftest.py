@@ -7,7 +7,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-from caselog.session import local_session  # noqa: E402
+from caselog.session import clear_scratch, local_session  # noqa: E402
 
 TESTDATA = Path(os.environ.get("CASELOG_TESTDATA", "/root/testdata"))
 
@@ -18,6 +18,7 @@ def spark():
     session = local_session(
         8, **{"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "6"})
     yield session
+    clear_scratch(session)
     session.stop()
 
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from caselog.catalog import ORACLES, QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -34,22 +35,23 @@ def ordered(rows):
 def test_contract(spark):
     queries, oracles = contract.queries(), contract.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"fit_outcome", "fit_outcome_embedded", "tune_outcome", "score_outcome"}
+    assert set(QUERIES) <= set(queries) and set(ORACLES) <= set(oracles)
+    assert set(QUERIES) - set(ORACLES) == {"fit_outcome", "fit_outcome_embedded", "tune_outcome", "score_outcome"}
 
 
 def test_entry(spark, testdata):
     assert contract.entry(spark).count() == 1000
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, testdata, duck, name):
-    df = contract.queries()[name](spark, f"{testdata}/{FOLDER}")
+    df = QUERIES[name](spark, f"{testdata}/{FOLDER}")
     columns = sorted(df.columns)
     rows = df.select(*columns).collect()
-    if name not in contract.oracle_sql():
+    if name not in ORACLES:
         assert rows
         return
-    result = duck.execute(contract.oracle_sql()[name])
+    result = duck.execute(ORACLES[name])
     found = [c[0] for c in result.description]
     assert sorted(found) == columns
     place = [found.index(c) for c in columns]
