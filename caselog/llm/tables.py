@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 << 20  # a side is sent to all executors only if its rows are counted to stay below this
 
+HOT_SHARE = 1000  # a group of over this share of all rows is not gathered by its key
+
 
 def sent_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """`df`, a stored table, marked for broadcast if its counted rows are small.
@@ -19,6 +21,19 @@ def sent_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """`rows` joined to the stored facts of their group, which hold its row count `n`.
+
+    Groups of over a thousandth of the `total` rows are fewer than a thousand, so
+    they are sent to all executors and their rows stay where they are; only the
+    others meet by their key.
+    """
+    hot = F.broadcast(groups.filter(F.col("n") * HOT_SHARE > total))
+    rest = groups.filter(F.col("n") * HOT_SHARE <= total)
+    cold = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(rest, keys))
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Equality of the keys in which null equals null."""
     condition = F.lit(True)
