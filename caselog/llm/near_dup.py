@@ -10,9 +10,10 @@ similarity 0.8 meet in none with probability 5e-8.
 Documents with equal sets are one class from the start. In every band bucket
 the members are tied to the smallest one; these links, linear in the members,
 are confirmed on the full sets and joined to components. Where the members tied
-to one leader are then in different components, the pairs between these that
-could still be linked are found by what they share outside the leader and
-confirmed too, so that no link is lost to the choice of the leader.
+to one leader are then in different components, they are tied to a second, more
+central member, and the pairs that could still be linked are found by what they
+share outside the leader's surroundings and confirmed too, so that no link is
+lost to the choice of the leader.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 
 from caselog.llm.arrays import blocks, chain, mix
 from caselog.llm.components import components
-from caselog.llm.tables import batch_of, map_columns, sent_if_small
+from caselog.llm.tables import HOT_SHARE, batch_of, map_columns, sent_if_small, with_group
 from caselog.session import cut
 
 PERMUTATIONS = 64
 ROWS_PER_BAND = 4
-HOT_SHARE = 1000  # a class or bucket with over a thousandth of all rows is spread
+COMMON = 32       # members that make a shingle part of their leader's hub
 
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _FACTOR, _SHIFT = _SEEDS[:PERMUTATIONS] | np.uint64(1), _SEEDS[PERMUTATIONS:]
@@ -148,63 +149,92 @@ def _links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> Data
     """Confirmed links (a, b) that connect every component."""
     buckets = cut(members.groupBy("bucket").agg(
         F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    stars = cut(_with_bucket(members, buckets).filter("node <> a").select(
+    stars = cut(with_group(members, buckets, ["bucket"], members.count()).filter("node <> a").select(
         "a", F.col("node").alias("b")).distinct(), "stars")
     tested = _confirmed(docs, stars, size, percent)
-    found = cut(components(tested.filter("linked").select("a", "b")), "found")
-    late = _confirmed(docs, _missed_pairs(tested, found, percent), size, percent)
-    return tested.filter("linked").select("a", "b").unionByName(late.filter("linked").select("a", "b"))
-
-
-def _with_bucket(members: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Members joined to the facts of their bucket; hot buckets are few and sent to all."""
-    total = members.count()
-    hot = F.broadcast(buckets.filter(F.col("n") * HOT_SHARE > total))  # fewer than HOT_SHARE rows
-    rest = buckets.filter(F.col("n") * HOT_SHARE <= total)
-    return members.join(hot, "bucket").unionByName(members.join(rest, "bucket"))
-
-
-def _missed_pairs(tested: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Untested pairs (a, b) under one leader that may be linked and would join two components.
-
-    x is a member outside the largest component under leader l, y any member of
-    another component. Their common shingles lie in l or outside it, so there
-    are at most min(|x & l|, |y & l|) + |common outside l| of them, and a link
-    needs percent / (100 + percent) * (|x| + |y|). Either x and y share shingles
-    outside l, found by a join on these, or the first part suffices, which holds
-    for few sizes of y only, found by a join on the size. All other pairs are
-    ruled out without being formed.
+    links = tested.filter("linked").select("a", "b")
+    inside, rare = _around_hubs(tested, cut(components(links), "found"))
+    central = _confirmed(docs, _central_pairs(inside, tested), size, percent)
+    links = links.unionByName(central.filter("linked").select("a", "b"))
+    known = tested.select("a", "b").unionByName(central.select("a", "b"))
+    missed = _missed_pairs(inside, rare, cut(components(links), "found"), known, percent)
+    late = _confirmed(docs, missed, size, percent)
+    return links.unionByName(late.filter("linked").select("a", "b"))
+
+
+def _around_hubs(tested: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of leaders whose members are in several components.
+
+    A leader's hub is its set and the shingles outside it that `COMMON` members or
+    more have. The first table has each member's n = |set|, m = |set & hub|,
+    component, and the largest component under the leader; the second the
+    shingles outside the hub, each of fewer than `COMMON` members.
     """
-    small = sent_if_small(found, 48)
     under = tested.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("n_b").alias("n"),
                           F.col("common").alias("m"), "outside")
-    labelled = under.join(small, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = under.join(sent_if_small(found, 48), "node", "left").withColumn(
+        "component", F.coalesce("component", "node"))
     per = labelled.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("k"))
     mixed = cut(per.groupBy("leader").agg(
         F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select(
             "leader", F.col("top.component").alias("largest")), "mixed")
     inside = cut(labelled.join(mixed, "leader"), "inside")
+    outside = cut(inside.select("leader", "node", F.explode("outside").alias("h")), "outside")
+    often = cut(outside.groupBy("leader", "h").agg(F.count(F.lit(1)).alias("n")), "often")
+    counted = cut(with_group(outside, often, ["leader", "h"], outside.count()), "counted")
+    more = counted.filter(F.col("n") >= COMMON).groupBy("leader", "node").agg(F.count(F.lit(1)).alias("more"))
+    hubs = cut(inside.drop("outside").join(more, ["leader", "node"], "left").withColumn(
+        "m", F.col("m") + F.coalesce("more", F.lit(0))).drop("more"), "hubs")
+    return hubs, counted.filter(F.col("n") < COMMON).select("leader", "node", "h")
+
+
+def _central_pairs(inside: DataFrame, tested: DataFrame) -> DataFrame:
+    """Untested pairs of a leader's most central member, the nearest to the hub, with members of other components."""
+    central = cut(inside.filter("component = largest").groupBy("leader").agg(
+        F.max(F.struct((2 * F.col("m") - F.col("n")).alias("near"), "node")).alias("top")).select(
+            "leader", F.col("top.node").alias("central")), "central")
+    pairs = inside.filter("component <> largest").join(central, "leader").select(
+        F.least("central", "node").alias("a"), F.greatest("central", "node").alias("b")).distinct()
+    return cut(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "central_pairs")
+
+
+def _missed_pairs(inside: DataFrame, rare: DataFrame, found: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Untested pairs (a, b) under one leader that may be linked and would join two components.
+
+    x is a member outside the largest component under a leader, y any member of
+    another component, and H the leader's hub. Their common shingles lie in H or
+    outside it, so there are at most min(|x & H|, |y & H|) + |common outside H|
+    of them, and a link needs percent / (100 + percent) * (|x| + |y|). Either x and
+    y share shingles outside H, found by a join on these, each of which has few
+    members, or the first part suffices, which holds for few sizes of y only,
+    found by a join on the size. All other pairs are ruled out without being
+    formed.
+    """
+    labels = sent_if_small(found, 48)
+    now = cut(inside.drop("component").join(labels, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")).join(
+            found.select(F.col("node").alias("largest"), F.col("component").alias("__top")), "largest", "left").withColumn(
+                "largest", F.coalesce("__top", "largest")).drop("__top"), "members_now")
 
     def side(rows: DataFrame, mark: str, *more: str) -> DataFrame:
         names = {"node": mark, "n": f"n{mark}", "m": f"m{mark}", "component": f"c{mark}"}
         return rows.select("leader", *more, *[F.col(c).alias(n) for c, n in names.items()])
 
-    minor = inside.filter("component <> largest")
+    minor = now.filter("component <> largest")
     fits = f"cx <> cy and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"
     enough = f"{100 + percent} * (least(mx, my) + shared) >= {percent} * (nx + ny)"
-    left = side(minor.withColumn("h", F.explode("outside")), "x", "h")
-    right = side(inside.withColumn("h", F.explode("outside")), "y", "h")
+    left = side(minor.join(rare, ["leader", "node"]), "x", "h")
+    right = side(now.join(rare, ["leader", "node"]), "y", "h")
     sharing = left.join(right, ["leader", "h"]).filter(fits).groupBy("leader", "x", "y").agg(
         F.count(F.lit(1)).alias("shared"),
         *[F.first(c).alias(c) for c in ("mx", "my", "nx", "ny")]).filter(enough).select("x", "y")
-    sizes = F.sequence((F.col("n") * percent / 100).cast("long"),
-                       F.floor(F.col("m") * (100 + percent) / percent - F.col("n")).cast("long"))
-    low = (F.col("n") * percent / 100).cast("long") <= F.floor(F.col("m") * (100 + percent) / percent - F.col("n"))
-    small_y = side(minor.withColumn("size", F.explode(F.when(low, sizes))), "x", "size")
-    fitting = small_y.join(side(inside.withColumn("size", F.col("n")), "y", "size"), ["leader", "size"]).withColumn(
+    lowest = F.ceil(F.col("n") * percent / 100)
+    highest = F.floor(F.col("m") * (100 + percent) / percent - F.col("n"))
+    small_y = side(minor.withColumn("size", F.explode(F.when(lowest <= highest, F.sequence(lowest, highest)))), "x", "size")
+    fitting = small_y.join(side(now.withColumn("size", F.col("n")), "y", "size"), ["leader", "size"]).withColumn(
         "shared", F.lit(0)).filter(f"{fits} and {enough}").select("x", "y")
     pairs = sharing.unionByName(fitting).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return cut(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "missed")
+    return cut(pairs.join(known, ["a", "b"], "left_anti"), "missed")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
