@@ -76,6 +76,17 @@ class Block:
         value = value[self.start[0]:] * power[place]
         return mix(np.add.reduceat(value, self.start - self.start[0]) + (self.end - self.start).astype(np.uint64))
 
+    def prefixes(self, sizes: tuple[int, ...]) -> list[np.ndarray]:
+        """Hashes of the first bytes of every word, lower-cased; shorter words are taken whole."""
+        found, total = [], np.zeros(len(self.start), dtype=np.uint64)
+        for k in range(max(sizes)):
+            at = np.minimum(self.start + k, max(len(self.data) - 1, 0))
+            byte = np.where(self.start + k < self.end, _LOWER[self.data[at]].astype(np.uint64) + np.uint64(1), 0)
+            total = total * _BASE + byte.astype(np.uint64)
+            if k + 1 in sizes:
+                found.append(mix(total))
+        return found
+
     def characters(self) -> np.ndarray:
         """Code points before each byte, and the total at the end."""
         heads = np.zeros(len(self.data) + 1, dtype=np.int64)
