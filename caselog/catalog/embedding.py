@@ -60,12 +60,13 @@ FEATURE = with_(EV, FEATURE_KEYS, TOKENS)
 
 
 @query("case_documents", with_(*BINNED, DURATION_KEYS) + """
-SELECT case_id, string_agg(activity || '|' || key, ' ' ORDER BY start_ts, event_id) AS document
-FROM keyed GROUP BY case_id""")
+SELECT case_id, part, string_agg(activity || '|' || key, ' ' ORDER BY start_ts, event_id) AS document
+FROM (SELECT *, (row_number() OVER (PARTITION BY case_id ORDER BY start_ts, event_id) - 1) // 10000 AS part FROM keyed)
+GROUP BY case_id, part""")
 def case_documents(spark, folder):
     steps = with_steps(duration_keyed(spark, folder), EVENTS)
     parts = e.case_documents(steps, EVENTS, 10_000)
-    return parts.select(F.col("case").alias("case_id"), "document")
+    return parts.select(F.col("case").alias("case_id"), "part", "document")
 
 
 @query("term_freq", DURATION + "SELECT case_id, token, tf FROM tf")

@@ -38,7 +38,7 @@ def confusion_matrix(spark, folder):
 SELECT truth, count(*) FILTER (pred = 'F') AS F, count(*) FILTER (pred = 'O') AS O, count(*) FILTER (pred = 'P') AS P
 FROM preds GROUP BY truth""")
 def confusion_matrix_wide(spark, folder):
-    return v.confusion_wide(v.confusion_matrix(order_predictions(spark, folder)), ["F", "O", "P"])
+    return v.confusion_wide(v.confusion_matrix(order_predictions(spark, folder)))
 
 
 @query("classification_report", with_(PRED, CLASSES) + """

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caselog.catalog.embedding import duration_keyed
-from caselog.catalog.encoding import CATEGORIES, NUMBERS, vector_sql
+from caselog.catalog.encoding import CATEGORIES, NUMBERS, minmax_sql, vector_sql
 from caselog.catalog.registry import query
-from caselog.catalog.sql import EV, with_
+from caselog.catalog.sql import CASES, EV, with_
+from caselog.functions.columns import argmax
 from caselog.operators import predict as p
 from caselog.operators.embedding import embedded, vocabulary_list
 from caselog.operators.encode import fit_vectors
@@ -24,17 +25,37 @@ def prepared(spark, folder, with_embedding=False):
                            CATEGORIES, NUMBERS, ["nation"], ["balance"], keys)
 
 
+FLAT = """
+SELECT case_id, slot, round(coalesce(avg(value) FILTER (valid), 0), 6) AS mean,
+  round(coalesce(arg_max(value, (start_ts, event_id)) FILTER (valid), 0), 6) AS last, count(*) FILTER (valid) AS len
+FROM rated GROUP BY case_id, slot"""
+
+
 @query("flatten_sequences", with_(EV, vector_sql("ev", ["event_id"], CATEGORIES, NUMBERS, "<NO_DESC>"), """
 rated AS (
   SELECT event_id, case_id, slot, value, start_ts,
     bool_or(value <> -1) OVER (PARTITION BY event_id) AS valid
-  FROM vectors JOIN ev USING (event_id))""") + """
-SELECT case_id, slot, round(avg(value), 6) AS mean, round(arg_max(value, (start_ts, event_id)), 6) AS last,
-  count(*) AS len
-FROM rated WHERE valid GROUP BY case_id, slot""")
+  FROM vectors JOIN ev USING (event_id))""") + FLAT)
 def flatten_sequences(spark, folder):
     log = event_log(spark, folder)
-    vectors = fit_vectors(log, CATEGORIES, NUMBERS, True, True)
+    return flat_rows(log, fit_vectors(log, CATEGORIES, NUMBERS, True, True))
+
+
+@query("flatten_sequences_missing", with_(EV, """gaps AS (
+  SELECT * REPLACE (CASE WHEN case_id % 7 = 0 THEN CAST(-1 AS DOUBLE) ELSE amount END AS amount) FROM ev)""",
+                                          minmax_sql("gaps", ["event_id"], ["amount"], False, "vectors"), """
+rated AS (
+  SELECT event_id, case_id, slot, value, start_ts,
+    bool_or(value <> -1) OVER (PARTITION BY event_id) AS valid
+  FROM vectors JOIN gaps USING (event_id))""") + FLAT)
+def flatten_sequences_missing(spark, folder):
+    """Every seventh case has no valid event; it stays, with zeros and length 0."""
+    gap = F.when(F.col("case_id") % 7 == 0, F.lit(-1.0)).otherwise(F.col("amount"))
+    log = event_log(spark, folder).withColumn("amount", gap)
+    return flat_rows(log, fit_vectors(log, [], ["amount"], True, True))
+
+
+def flat_rows(log, vectors):
     flat = p.flat_cases(vectors.apply(log), EVENTS, "vec", vectors.is_valid())
     rows = flat.select(F.col("case").alias("case_id"), "len",
                        F.posexplode(F.arrays_zip("mean", "last")).alias("slot", "both"))
@@ -42,29 +63,64 @@ def flatten_sequences(spark, folder):
                        F.round("both.last", 6).alias("last"), "len")
 
 
-@query("fit_outcome")
+# The scores depend on the model; which cases are scored, their truth and the support of each
+# class do not. `ok` says that every measure is a share.
+SCORED = """known AS (SELECT case_id, result FROM cases WHERE case_id IN (SELECT case_id FROM ev)),
+sizes AS (SELECT result, count(*) AS n FROM known GROUP BY result),
+shares AS (
+  SELECT result, n * (t - CAST(ceil(t * CAST(0.2 AS DOUBLE)) AS BIGINT)) / CAST(t AS DOUBLE) AS share,
+    t - CAST(ceil(t * CAST(0.2 AS DOUBLE)) AS BIGINT) AS train_rows
+  FROM sizes, (SELECT count(*) AS t FROM known)),
+quotas AS (
+  SELECT result, CAST(floor(share) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, result)
+    <= train_rows - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS train
+  FROM shares),
+placed AS (
+  SELECT case_id, result, row_number() OVER (PARTITION BY result ORDER BY md5('42:' || CAST(case_id AS VARCHAR))) AS place
+  FROM known),
+scored AS (SELECT case_id, result FROM placed JOIN quotas USING (result) WHERE place > train)"""
+SUPPORT = with_(EV, CASES, SCORED) + "SELECT result AS label, count(*) AS support, true AS ok FROM scored GROUP BY result"
+
+
+def supported(report):
+    """Support of every class that occurs, and whether its measures are shares."""
+    shares = [F.col(m).between(0, 1) for m in ("precision", "recall", "f1")]
+    return report.filter(~F.col("label").isin("accuracy", "macro avg", "weighted avg") & (F.col("support") > 0)).select(
+        "label", "support", (shares[0] & shares[1] & shares[2]).alias("ok"))
+
+
+@query("fit_outcome", SUPPORT)
 def fit_outcome(spark, folder):
-    """Report of a classifier on the test cases."""
-    return outcome.train_and_evaluate(prepared(spark, folder)).report
+    """Classes in the report of a classifier on the test cases."""
+    return supported(outcome.train_and_evaluate(prepared(spark, folder)).report)
 
 
-@query("fit_outcome_embedded")
+@query("fit_outcome_embedded", SUPPORT)
 def fit_outcome_embedded(spark, folder):
     """The same with the duration embedding as a further input."""
-    return outcome.train_and_evaluate(prepared(spark, folder, True)).report
+    return supported(outcome.train_and_evaluate(prepared(spark, folder, True)).report)
 
 
-@query("tune_outcome")
+@query("tune_outcome", """
+SELECT CAST(row_number() OVER (ORDER BY strength, mixing) AS INTEGER) AS trial, strength, mixing, true AS ok
+FROM (SELECT unnest([CAST(0.01 AS DOUBLE), CAST(0.1 AS DOUBLE)]) AS strength),
+  (SELECT unnest([CAST(0.0 AS DOUBLE), CAST(0.5 AS DOUBLE)]) AS mixing)""")
 def tune_outcome(spark, folder):
-    """Weighted F1 of every trial of a grid on the test cases."""
+    """The trials of a grid in order, chosen on a part of the training cases by their validation F1."""
     ready = prepared(spark, folder)
-    _, trials = p.tune_classifier(ready.train, ready.test, strengths=(0.01, 0.1), mixings=(0.0, 0.5), rounds=10)
-    rows = [(i + 1, t.strength, t.mixing, float(t.metric)) for i, t in enumerate(trials)]
-    return spark.createDataFrame(rows, "trial int, strength double, mixing double, weighted_f1 double")
+    _, trials = p.tune_classifier(*ready.tuning(), strengths=(0.01, 0.1), mixings=(0.0, 0.5), rounds=10)
+    rows = [(i + 1, t.strength, t.mixing, 0 <= t.metric <= 1) for i, t in enumerate(trials)]
+    return spark.createDataFrame(rows, "trial int, strength double, mixing double, ok boolean")
 
 
-@query("score_outcome")
+@query("score_outcome", with_(EV, CASES, SCORED) + """
+SELECT case_id, result AS truth, CAST(1 AS DOUBLE) AS total, true AS ok FROM scored""")
 def score_outcome(spark, folder):
-    """Probabilities and class of every test case."""
-    return outcome.train_and_evaluate(prepared(spark, folder)).predictions
-
+    """Every test case with its truth, the sum of its probabilities, and whether its class is the likeliest."""
+    ready = prepared(spark, folder)
+    rows = outcome.train_and_evaluate(ready).predictions
+    [names] = ready.labels.categories.values()
+    likeliest = F.get(F.lit(names), argmax("probability"))
+    total = F.aggregate("probability", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(F.col("case").alias("case_id"), "truth", F.round(total, 6).alias("total"),
+                       (F.col("pred") == likeliest).alias("ok"))

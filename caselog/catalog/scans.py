@@ -15,6 +15,7 @@ from caselog.functions.columns import (
     pair_tokens,
     word_tokens,
 )
+from caselog.operators.evaluate import confusion_matrix, label_list
 from caselog.plans.duration import with_minutes
 from caselog.plans.features import with_placeholder
 from caselog.session import scratch_table
@@ -113,19 +114,17 @@ def word_token_rows(spark, folder):
     return rows.withColumn("place", F.col("place").cast("long"))
 
 
-LABELS = ["F", "O", "P"]
-
-
 def with_probability(predictions):
-    """0.8 at the predicted label and 0.1 elsewhere; the truth as one-hot."""
+    """0.8 at the predicted label and 0.1 elsewhere; the truth as one-hot. Labels in order, as they occur."""
+    labels = label_list(confusion_matrix(predictions))
     return predictions.withColumns({
-        "probability": F.array(*[F.when(F.col("pred") == x, F.lit(0.8)).otherwise(F.lit(0.1)) for x in LABELS]),
-        "truth_vec": F.array(*[F.when(F.col("truth") == x, F.lit(1.0)).otherwise(F.lit(0.0)) for x in LABELS]),
+        "probability": F.array(*[F.when(F.col("pred") == x, F.lit(0.8)).otherwise(F.lit(0.1)) for x in labels]),
+        "truth_vec": F.array(*[F.when(F.col("truth") == x, F.lit(1.0)).otherwise(F.lit(0.0)) for x in labels]),
     })
 
 
 def label_position(column):
-    return f"CASE {column} WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"
+    return f"(SELECT CAST(count(*) AS INTEGER) FROM (SELECT truth AS l FROM preds UNION SELECT pred FROM preds) WHERE l < {column})"
 
 
 @query("argmax_pred", with_(PRED) + f"SELECT case_id, {label_position('pred')} AS pred_id FROM preds")

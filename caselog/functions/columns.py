@@ -83,15 +83,6 @@ def truncated(c: Column | str) -> Column:
     return as_column(c).cast("long").cast("double")
 
 
-def by_value(c: Column | str, values: dict) -> Column:
-    """The literal that belongs to the column's value, null for other values."""
-    column = as_column(c)
-    result = F
-    for key, value in values.items():
-        result = result.when(column == F.lit(key), F.lit(value))
-    return result if values else F.lit(None)
-
-
 def step_value(c: Column, edges: Sequence[float], values: Sequence) -> Column:
     """`values[i]` for the last `edges[i] <= c`, null below the first edge.
 

@@ -1,7 +1,7 @@
 """Assembly of model inputs by case, and splits into training and test cases.
 
-A split is fitted to one threshold per class (or one in all); applying it is a
-comparison per row, so every input table can be split without a join.
+A split is fitted to one threshold per class (or one in all); applying it compares
+a hash of the case with the threshold of its class, for any number of classes.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselog.constants import DENSE_WIDTH, SMALL_ROWS
-from caselog.functions.columns import as_column, by_value
+from caselog.constants import SMALL_ROWS
+from caselog.functions.columns import as_column
 from caselog.operators.ordered import Ordered, Position
+from caselog.session import cut
 
 HASH_BUCKET = 4      # leading hex digits: 65,536 buckets
 
@@ -66,22 +67,22 @@ def case_hash(case: Column | str, seed: int = 42) -> Column:
 class StratifiedSplit:
     """Training cases of a class are those up to the class's hash threshold.
 
-    A case without label, or with a label unknown to the fit, belongs to no part.
+    `thresholds` is a stored table (label, last), one row per class, `last` null for
+    a class without training cases. A case without label, or with a label unknown
+    to the fit, belongs to no part.
     """
 
     case: str
     label: str
     seed: int
-    thresholds: dict
-
-    def is_train(self) -> Column:
-        # '' sorts before every hash: a class without training cases.
-        last = by_value(self.label, {v: h or "" for v, h in self.thresholds.items()})
-        return case_hash(self.case, self.seed) <= last
+    thresholds: DataFrame
 
     def apply(self, df: DataFrame, name: str = "split") -> DataFrame:
-        train = self.is_train()
-        return df.withColumn(name, F.when(train, "train").when(~train, "test"))
+        last = self.thresholds.select(F.col("label").alias("__label"), F.coalesce("last", F.lit("")).alias("__last"))
+        # '' sorts before every hash.
+        train = case_hash(self.case, self.seed) <= F.col("__last")
+        joined = df.join(last, df[self.label] == last["__label"], "left")
+        return joined.withColumn(name, F.when(train, "train").when(~train, "test")).drop("__label", "__last")
 
 
 def class_quotas(cases: DataFrame, label: str, test_share: float = 0.2) -> DataFrame:
@@ -111,37 +112,25 @@ def fit_stratified(cases: DataFrame, case: str, label: str, test_share: float =
     Hash-prefix counts tell the bucket in which the quota ends; only that bucket's
     cases (about 1 in 65,536 of a class) are ranked.
     """
-    classes = cases.filter(F.col(label).isNotNull()).select(label).distinct()
-    if classes.limit(DENSE_WIDTH + 1).count() > DENSE_WIDTH:
-        raise ValueError(f"more than {DENSE_WIDTH} classes")
-    found = class_quotas(cases, label, test_share).collect()
-    if any(r["n"] < 2 for r in found):
+    quotas = cut(class_quotas(cases, label, test_share), "quotas")
+    if quotas.filter("n < 2").limit(1).count():
         raise ValueError("a class with a single case cannot be split")
-    train = {r["label"]: r["train"] for r in found}
-
     hashed = cases.filter(F.col(label).isNotNull()).select(
-        F.col(label).alias("label"), case_hash(case, seed).alias("h"))
-    prefix = F.substring("h", 1, HASH_BUCKET)
+        F.col(label).alias("label"), case_hash(case, seed).alias("h")).withColumn("prefix", F.substring("h", 1, HASH_BUCKET))
     so_far = Window.partitionBy("label").orderBy("prefix").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    quota = by_value("label", train).cast("long")
     ends = (
-        hashed.groupBy("label", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(so_far)).withColumn("quota", quota)
-        .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        .select("label", "prefix", (F.col("quota") - (F.col("upto") - F.col("n"))).alias("take"))
-        .collect()
+        hashed.groupBy("label", "prefix").agg(F.count(F.lit(1)).alias("k"))
+        .withColumn("upto", F.sum("k").over(so_far)).join(quotas, "label")
+        .filter((F.col("upto") >= F.col("train")) & (F.col("upto") - F.col("k") < F.col("train")))
+        .select("label", "prefix", (F.col("train") - (F.col("upto") - F.col("k"))).alias("take"))
     )
-    if not ends:
-        return StratifiedSplit(case, label, seed, {v: None for v in train})
-    in_bucket = prefix == by_value("label", {r["label"]: r["prefix"] for r in ends})
-    take = by_value("label", {r["label"]: r["take"] for r in ends}).cast("long")
     order = Window.partitionBy("label").orderBy("h")
     last = (
-        hashed.filter(in_bucket).withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") == take).select("label", "h").collect()
+        hashed.join(cut(ends, "ends"), ["label", "prefix"]).withColumn("place", F.row_number().over(order))
+        .filter(F.col("place") == F.col("take")).select("label", F.col("h").alias("last"))
     )
-    return StratifiedSplit(case, label, seed, {v: None for v in train} | {r["label"]: r["h"] for r in last})
+    return StratifiedSplit(case, label, seed, cut(quotas.select("label").join(last, "label", "left"), "thresholds"))
 
 
 # -- tail split -----------------------------------------------------------------------------

@@ -83,15 +83,20 @@ def fit_onehot(df: DataFrame, columns: list[str], missing: str | None = None,
 def category_slots(df: DataFrame, columns: list[str], limit: int = SMALL_ROWS) -> DataFrame:
     """(name, value, slot): slots of all columns' categories, for any number of them.
 
-    Values are compared as text; a null takes the last slot of its column.
+    Values are shown as text but ordered as what they are, numbers by size; a null
+    takes the last slot of its column.
     """
+    types = [df.schema[c].dataType for c in columns]
     cells = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("block"), F.lit(c).alias("name"), F.col(c).cast("string").alias("value"))
+        F.struct(
+            F.lit(i).alias("block"), F.lit(c).alias("name"), F.col(c).cast("string").alias("value"),
+            *[(F.col(c) if i == j else F.lit(None)).cast(t).alias(f"k{j}") for j, t in enumerate(types)])
         for i, c in enumerate(columns)
     ]))
+    keys = [f"k{j}" for j in range(len(columns))]
     found = cut(df.select(cells.alias("cell")).select("cell.*").distinct())
-    order = ["block", F.col("value").asc_nulls_last()]
-    return Ordered(found, [], order, found.count(), limit).add(slot=Position()).result().drop("block")
+    order = ["block", *[F.col(k).asc_nulls_last() for k in keys]]
+    return Ordered(found, [], order, found.count(), limit).add(slot=Position()).result().drop("block", *keys)
 
 
 def onehot_cells(df: DataFrame, keys: list[str], columns: list[str], slots: DataFrame,

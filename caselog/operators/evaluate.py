@@ -21,18 +21,32 @@ def pair_counts(predictions: DataFrame, truth: str = "truth", pred: str = "pred"
 
 
 def confusion_matrix(predictions: DataFrame, truth: str = "truth", pred: str = "pred") -> DataFrame:
-    """(truth, pred, n) for all labels that occur on either side, zero cells included."""
+    """(truth, pred, n) for all labels that occur on either side, zero cells included.
+
+    A missing label is a label like any other (null), so every prediction is in a cell.
+    """
     counts = pair_counts(predictions, truth, pred)
-    both = F.array_distinct(F.flatten(F.collect_list(F.array("truth", "pred"))))
-    labels = counts.agg(both.alias("labels"))
-    cells = labels.select(F.explode("labels").alias("truth"), "labels").select(
-        "truth", F.explode("labels").alias("pred"))
-    return cells.join(counts, ["truth", "pred"], "left").select(
-        "truth", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    # Structs keep a null label in the list, which holds every label once.
+    side = F.explode(F.array(F.struct(F.col("truth").alias("label")), F.struct(F.col("pred").alias("label"))))
+    labels = counts.select(side.alias("side")).distinct().agg(F.collect_list("side").alias("labels"))
+    cells = labels.select(F.explode("labels").alias("a"), "labels").select(
+        F.col("a.label").alias("truth"), F.explode("labels").alias("b")).select("truth", F.col("b.label").alias("pred"))
+    match = cells["truth"].eqNullSafe(counts["truth"]) & cells["pred"].eqNullSafe(counts["pred"])
+    return cells.join(counts, match, "left").select(
+        cells["truth"], cells["pred"], F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def label_list(matrix: DataFrame) -> list:
+    """The labels of a confusion matrix in order, a missing one last."""
+    found = [r["truth"] for r in matrix.select("truth").distinct().collect()]
+    return sorted(x for x in found if x is not None) + [None] * (None in found)
 
 
-def confusion_wide(matrix: DataFrame, labels: list) -> DataFrame:
-    return matrix.groupBy("truth").pivot("pred", labels).agg(F.sum("n"))
+def confusion_wide(matrix: DataFrame, labels: list | None = None, missing: str = "null") -> DataFrame:
+    """One row per truth, one column per predicted label (by default all that occur)."""
+    labels = label_list(matrix) if labels is None else labels
+    named = matrix.withColumn("pred", F.coalesce(F.col("pred").cast("string"), F.lit(missing)))
+    return named.groupBy("truth").pivot("pred", [missing if x is None else str(x) for x in labels]).agg(F.sum("n"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -43,7 +57,7 @@ def class_scores(matrix: DataFrame) -> DataFrame:
     """(label, hits, predicted, support, precision, recall, f1); 0 on division by zero."""
     sides = matrix.select(F.explode(F.array(
         F.struct(F.col("truth").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
-                 F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0).alias("hits")),
+                 F.when(F.col("truth").eqNullSafe(F.col("pred")), F.col("n")).otherwise(0).alias("hits")),
         F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"),
                  F.lit(0).cast("long").alias("hits")),
     )).alias("side")).select("side.*")
@@ -84,7 +98,7 @@ def weighted_f1(predictions: DataFrame, truth: str = "truth", pred: str = "pred"
 
 
 def accuracy(predictions: DataFrame, truth: str = "truth", pred: str = "pred") -> DataFrame:
-    return predictions.agg(F.avg((F.col(truth) == F.col(pred)).cast("double")).alias("accuracy"))
+    return predictions.agg(F.avg(F.col(truth).eqNullSafe(F.col(pred)).cast("double")).alias("accuracy"))
 
 
 def cross_entropy(predictions: DataFrame, probability: str, truth_id: str) -> DataFrame:

@@ -25,18 +25,30 @@ from caselog.operators.sequence import is_valid
 def flat_cases(df: DataFrame, log: EventLog, vec: str = "vec", valid: Column | None = None) -> DataFrame:
     """(case, mean, last, len): mean and last vector of the valid events, and their number.
 
-    All three are aggregates with map-side partials: a case is never ordered or
-    collected, however long it is. `valid` may give the condition on raw columns,
-    which is cheaper than looking at the vector.
+    A case without a valid event stays, with zeros and `len` 0. All three are
+    aggregates with map-side partials: a case is never ordered or collected,
+    however long it is. `valid` may give the condition on raw columns, which is
+    cheaper than looking at the vector.
     """
     if valid is None:
         valid = is_valid(F.col(vec).cast("array<float>"))
-    events = with_case(df, log).filter(valid)
-    return events.groupBy(F.col(log.case).alias("case")).agg(
-        vector_to_array(Summarizer.mean(array_to_vector(F.col(vec)))).alias("mean"),
-        F.max_by(vec, log.order_key()).alias("last"),
-        F.count(F.lit(1)).alias("len"),
+    events = with_case(df, log).select(
+        F.col(log.case).alias("case"), F.coalesce(valid, F.lit(False)).alias("__valid"), F.col(vec).alias("__vec"),
+        log.order_key().alias("__order"))
+    found = events.groupBy("case").agg(
+        vector_to_array(Summarizer.sum(array_to_vector(
+            F.when(F.col("__valid"), F.col("__vec")).otherwise(blank_of("__vec"))))).alias("total"),
+        F.max_by("__vec", F.when(F.col("__valid"), F.col("__order"))).alias("last"),
+        F.count(F.when(F.col("__valid"), 1)).alias("len"),
     )
+    number = F.greatest(F.col("len"), F.lit(1))
+    return found.select("case", F.transform("total", lambda x: x / number).alias("mean"),
+                        F.coalesce("last", blank_of("total")).alias("last"), "len")
+
+
+def blank_of(vec: str) -> Column:
+    """As many zeros as `vec` has values."""
+    return F.array_repeat(F.lit(0.0), F.size(vec))
 
 
 def feature_vectors(flat: DataFrame, cases: DataFrame, extra: str = "features") -> DataFrame:

@@ -133,8 +133,7 @@ def parameter_grid(ranges: DataFrame, target: int | None = None, cap: int = MAX_
     grid = ranges.select(F.posexplode("t_cuts").alias("i", "t_cut"), "q_bins").select(
         "i", "t_cut", F.posexplode("q_bins").alias("j", "q_bins"))
     if target is not None:
-        choice = F.abs(F.col("t_cut") + F.col("q_bins") - int(target)).cast("string")
-        choice = F.lpad(choice, 6, "0")
+        choice = F.abs(F.col("t_cut") + F.col("q_bins") - int(target)).cast("long")
     else:
         choice = F.md5(F.concat_ws(":", F.lit(str(seed)), "t_cut", "q_bins"))
     everything = Window.partitionBy()

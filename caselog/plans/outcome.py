@@ -31,6 +31,11 @@ class Prepared:
     def test(self) -> DataFrame:
         return self.cases.filter(F.col("split") == "test")
 
+    def tuning(self, share: float = 0.2, seed: int = 43) -> tuple[DataFrame, DataFrame]:
+        """Parts of the training cases to fit and to choose on; the test cases stay out of the choice."""
+        part = fit_stratified(self.train, "case", "label", share, seed).apply(self.train, "part")
+        return part.filter(F.col("part") == "train"), part.filter(F.col("part") == "test")
+
 
 def prepare(events: DataFrame, cases: DataFrame, log: EventLog, label: str,
             event_categories: list[str], event_numbers: list[str],
@@ -75,7 +80,7 @@ class Evaluated:
 
 def train_and_evaluate(prepared: Prepared, tune: bool = False, **options) -> Evaluated:
     if tune:
-        model, _ = tune_classifier(prepared.train, prepared.test, **options)
+        model, _ = tune_classifier(*prepared.tuning(), **options)
     else:
         model = fit_classifier(prepared.train, **options)
     result = predictions(scored(model, prepared.test), prepared.labels)

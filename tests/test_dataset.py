@@ -20,16 +20,16 @@ def cases(spark):
 
 
 def test_stratified_split(cases):
-    split = d.fit_stratified(cases, "case", "label").apply(cases).collect()
+    split = sorted(d.fit_stratified(cases, "case", "label").apply(cases).collect())
     test = math.ceil(503 * 0.2)
     assert sum(r["split"] == "test" for r in split) == test and len(split) == 503
     quotas = {r["label"]: (r["n"], r["train"]) for r in d.class_quotas(cases, "label").collect()}
     for label, (n, train) in quotas.items():
         assert sum(r["label"] == label and r["split"] == "train" for r in split) == train
         assert abs(train - n * (503 - test) / 503) < 1
-    again = d.fit_stratified(cases.repartition(3), "case", "label").apply(cases).collect()
+    again = sorted(d.fit_stratified(cases.repartition(3), "case", "label").apply(cases).collect())
     assert split == again
-    other = d.fit_stratified(cases, "case", "label", seed=1).apply(cases).collect()
+    other = sorted(d.fit_stratified(cases, "case", "label", seed=1).apply(cases).collect())
     assert split != other
 
 
@@ -113,7 +113,30 @@ def test_flat_cases(spark):
     rows = [(1, 0, [1.0, 0.0]), (1, 1, [3.0, 1.0]), (1, 2, [-1.0, -1.0]), (2, 0, [5.0, -1.0]), (3, 0, [-1.0, -1.0])]
     df = spark.createDataFrame(rows, "c int, i int, vec array<double>")
     flat = {r["case"]: (r["mean"], r["last"], r["len"]) for r in p.flat_cases(df, LOG).collect()}
-    assert flat == {1: ([2.0, 0.5], [3.0, 1.0], 2), 2: ([5.0, -1.0], [5.0, -1.0], 1)}
+    assert flat == {1: ([2.0, 0.5], [3.0, 1.0], 2), 2: ([5.0, -1.0], [5.0, -1.0], 1), 3: ([0.0, 0.0], [0.0, 0.0], 0)}
+    cases = spark.createDataFrame([(k, [0.5]) for k in (1, 2, 3)], "case int, features array<double>")
+    assert p.feature_vectors(p.flat_cases(df, LOG), cases).count() == 3
+
+
+def test_missing_labels_are_labels(spark):
+    df = spark.createDataFrame([("a", None), ("a", "a"), (None, "b"), (None, None)], "truth string, pred string")
+    matrix = {(r["truth"], r["pred"]): r["n"] for r in v.confusion_matrix(df).collect()}
+    assert len(matrix) == 9 and sum(matrix.values()) == 4
+    assert matrix["a", None] == matrix[None, "b"] == matrix[None, None] == matrix["a", "a"] == 1
+    assert v.accuracy(df).first()[0] == 0.5
+    support = {r["label"]: r["support"] for r in v.classification_report(df).collect()}
+    assert support["a"] == 2 and support[None] == 2 and support["accuracy"] == 4
+    wide = v.confusion_wide(v.confusion_matrix(df))
+    assert wide.columns == ["truth", "a", "b", "null"]
+
+
+def test_many_classes_are_split(spark):
+    """5,000 classes of three cases: one test case in five, and every class has at least its floor."""
+    cases = spark.range(15_000).selectExpr("id as case", "concat('k', id % 5000) as label")
+    split = d.fit_stratified(cases, "case", "label").apply(cases)
+    assert split.filter("split = 'test'").count() == 3000 and split.filter("split is null").count() == 0
+    per = split.filter("split = 'train'").groupBy("label").count().agg(F.min("count"), F.max("count")).first()
+    assert tuple(per) == (2, 3)
 
 
 def test_training_learns_a_visible_rule(spark):

@@ -141,3 +141,17 @@ def test_words(spark, limit, broadcast):
 def test_first_seen_word_wins_ties(spark):
     df = spark.createDataFrame([(1, 0, "b a")], "c int, i int, x string")
     assert sorted(map(tuple, WordIndex(df, LOG, "x").table.collect())) == [("a", 1, 2), ("b", 1, 1)]
+
+
+def test_slots_of_numbers_are_ordered_by_size(spark):
+    df = spark.createDataFrame([(9, "b"), (10, "a"), (2, None), (None, "a")], "k int, t string")
+    slots = sorted((r["slot"], r["name"], r["value"]) for r in c.category_slots(df, ["k", "t"]).collect())
+    assert [s[1:] for s in slots] == [("k", "2"), ("k", "9"), ("k", "10"), ("k", None), ("t", "a"), ("t", "b"), ("t", None)]
+    assert [str(x) for x in c.fit_onehot(df, ["k"]).categories["k"][:3]] == [s[2] for s in slots[:3]]
+
+
+def test_missing_text_is_an_event_without_words(spark):
+    log = EventLog("c", "a", ("i",))
+    df = spark.createDataFrame([(1, 0, "a", "x y"), (1, 1, "a", None), (1, 2, "a", "")], "c int, i int, a string, t string")
+    rows = padded_text(df, log, "t", WordIndex(df, log, "t"), eos=False).collect()
+    assert sorted((r["step"], r["vec"]) for r in rows) == [(0, [1, 2]), (1, [0, 0]), (2, [0, 0])]
