@@ -83,6 +83,10 @@ def units(block: Block) -> tuple[np.ndarray, ...]:
     last.append(edges[lines + 1])
     row.append(np.searchsorted(block.bound, edges[lines], side="right") - 1)
     first, last, row = np.concatenate(first), np.concatenate(last), np.concatenate(row)
+    # A line may be a chosen stretch as well: one unit.
+    order = np.lexsort((last, first))
+    new = np.append(True, (np.diff(first[order]) != 0) | (np.diff(last[order]) != 0))[:len(order)]
+    first, last, row = first[order][new], last[order][new], row[order][new]
     h1, h2 = runs.digest(first, last)
     return row, first, last, h1, h2
 
