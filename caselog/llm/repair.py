@@ -53,9 +53,14 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return symbols, np.flatnonzero(last) + 1, table, base
 
 
+def _drawer(pairs: np.ndarray) -> np.ndarray:
+    """A place for each pair among 2^20."""
+    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
+
+
 def _frequent(pairs: np.ndarray) -> np.ndarray:
     """The most frequent pairs, sorted. Drawers that hold too few pairs are passed over first."""
-    drawer = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+    drawer = _drawer(pairs)
     held = np.bincount(drawer, minlength=1 << 20)
     full = np.sort(pairs[held[drawer] >= LEAST_COUNT])
     if not len(full):
@@ -73,8 +78,8 @@ def _frequent(pairs: np.ndarray) -> np.ndarray:
 def _matches(pair: np.ndarray, open_: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places to replace, none overlapping, and the number of the pair at each."""
     drawer = np.zeros(1 << 20, dtype=bool)
-    drawer[(chosen * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)] = True
-    maybe = np.flatnonzero(drawer[(pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)] & open_)
+    drawer[_drawer(chosen)] = True
+    maybe = np.flatnonzero(drawer[_drawer(pair)] & open_)
     rule = np.minimum(np.searchsorted(chosen, pair[maybe]), len(chosen) - 1)
     hit = chosen[rule] == pair[maybe]
     at, rule = maybe[hit], rule[hit]

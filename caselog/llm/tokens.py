@@ -25,6 +25,7 @@ from caselog.session import cut, scratch_table
 
 SHARD_TOKENS = 1 << 21    # a shard is closed at the document that reaches this
 ENCODE_CHARS = 1 << 21    # texts encoded together
+MOST_TASKS = 10_000       # of a read; shards beyond share a task
 NO_ID = -(1 << 63)        # stands for a null doc_id in a file
 
 _INDEX = "part long, shard long, file string, offset long, length long, n_docs long, n_tokens long"
@@ -87,7 +88,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
 
         rows = []
         for batch in batches:
-            pieces = pieces or Pieces(tokenizer)
+            pieces = pieces or Pieces.shared(tokenizer)
             for doc_ids, texts in _chunks(batch):
                 for doc_id, data in zip(doc_ids, pieces.encode(texts), strict=True):
                     found = np.append(np.frombuffer(data, dtype="<u4"), np.uint32(end_id))
@@ -141,7 +142,7 @@ def read_tokens(store: Store, with_ids: bool = False) -> DataFrame:
                 yield batch_of(**found)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    spread = index.repartition("file", "offset")
+    spread = index.repartition(min(max(1, store.index.count()), MOST_TASKS), "file", "offset")
     return spread.select("file", "offset", "length", "start").mapInArrow(run, schema)
 
 

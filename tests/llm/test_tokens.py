@@ -30,7 +30,7 @@ PART = st.sampled_from(["the", "The", "thatnd", "it's", "'s", "été", "你好",
 def test_pieces_encode_like_the_library(texts):
     made = Pieces.__new__(Pieces)
     made.__dict__.update(test_pieces_encode_like_the_library.pieces.__dict__)
-    made.after, made.atoms = {}, {}
+    made.after, made.begun, made.again = {}, {}, set()
     assert [np.frombuffer(b, "<u4").tolist() for b in made.encode(texts)] == [plain(made, t) for t in texts]
 
 
