@@ -14,14 +14,15 @@ from caselog.catalog.embedding import (
     duration_keyed,
 )
 from caselog.catalog.encoding import CATEGORIES, NUMBERS, vector_sql
-from caselog.catalog.registry import cells, query
-from caselog.catalog.sql import EV, LI, TURNS, WORDS, float6, with_
+from caselog.catalog.registry import cells, long, query
+from caselog.catalog.sql import CASES, EV, LI, TURNS, WORDS, float6, with_
+from caselog.operators import encode as c
 from caselog.operators import sequence as q
-from caselog.operators.embedding import feature_keyed
+from caselog.operators.embedding import embedded, feature_keyed, slotted, vocabulary
 from caselog.operators.encode import fit_vectors
-from caselog.operators.words import WordIndex, padded_text
+from caselog.operators.words import text_width, word_number
 from caselog.plans.features import embedding_layer, with_placeholder
-from caselog.sources.views import EVENTS, LINES, TURNS as TURN_LOG, event_log, line_log, turn_log
+from caselog.sources.views import EVENTS, LINES, TURNS as TURN_LOG, customer_cases, event_log, line_log, turn_log
 
 LINE_CATEGORIES, LINE_NUMBERS = ["l_returnflag", "l_linestatus"], ["l_discount", "l_tax"]
 LINE_ORDER = "start_ts, l_linenumber, l_partkey, l_suppkey"
@@ -211,37 +212,107 @@ SELECT (SELECT count(DISTINCT case_id) FROM ev) AS cases,
   (SELECT count(DISTINCT activity) + count(DISTINCT resource) + 2 FROM ev) AS width, true AS regular""")
 def tensor_shape(spark, folder):
     log = event_log(spark, folder)
-    vectors = fit_vectors(log, CATEGORIES, NUMBERS, True, True)
-    shape = q.tensor_shape(q.padded_log(log, EVENTS, vectors.width, vectors.vector(), True))
-    return shape.withColumns({c: F.col(c).cast("long") for c in ("cases", "steps", "width")})
+    width = c.category_slots(log, CATEGORIES).count() + len(NUMBERS)
+    shapes = q.input_shapes({"event": q.Input(q.log_lengths(log, EVENTS), width, True)})
+    return shapes.select("cases", "steps", "width", "regular")
+
+
+@query("input_shapes", with_(*BINNED, DURATION_KEYS, CASES, """sizes AS (
+  SELECT count(*) AS cases, max(n) AS steps FROM (SELECT count(*) AS n FROM ev GROUP BY case_id)),
+widths AS (
+  SELECT 'event' AS input, (SELECT count(DISTINCT activity) + count(DISTINCT resource) + 2 FROM ev) AS width
+  UNION ALL SELECT 'duration', (SELECT count(DISTINCT key) FROM keyed)
+  UNION ALL SELECT 'activity text', 1)""") + """
+SELECT input, cases, steps, width, true AS regular,
+  (SELECT count(DISTINCT result) FROM cases) AS classes, (SELECT count(DISTINCT nation) + 1 FROM cases) AS case_features
+FROM widths, sizes""")
+def input_shapes(spark, folder):
+    """Shape of every input, their agreement, and the numbers of classes and case features."""
+    log, cases = event_log(spark, folder), customer_cases(spark, folder)
+    lengths = q.log_lengths(log, EVENTS)
+    widths = {
+        "event": c.category_slots(log, CATEGORIES).count() + len(NUMBERS),
+        "duration": vocabulary(duration_keyed(spark, folder)).count(),
+        "activity text": text_width(log, EVENTS, "activity"),
+    }
+    classes = c.category_slots(cases, ["result"]).count()
+    features = c.category_slots(cases, ["nation"]).count() + 1
+    return q.input_shapes({n: q.Input(lengths, w) for n, w in widths.items()}, classes, features)
 
 
-@query("step_mask", with_(EV, """placed AS (
-  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY start_ts, event_id) - 1 AS step FROM ev),
-lengths AS (SELECT case_id, count(*) AS len FROM ev GROUP BY case_id)""") + """
-SELECT l.case_id, s.step,
-  coalesce(p.amount <> -1 OR p.resource <> '<NO_DESC>', false) AS valid
-FROM lengths l CROSS JOIN (SELECT unnest(range(0, (SELECT max(len) FROM lengths))) AS step) s
-  LEFT JOIN placed p ON p.case_id = l.case_id AND p.step = s.step""")
+REAL = """
+SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY %s) - 1 AS step, %s AS valid FROM %s"""
+
+
+@query("step_mask", with_(EV) + REAL % ("start_ts, event_id", "amount <> -1 OR resource <> '<NO_DESC>'", "ev"))
 def step_mask(spark, folder):
-    """Valid where the amount or the resource is known: two inputs with missing values."""
-    log = event_log(spark, folder)
-    known = fit_vectors(log, ["resource"], [], True, True)
-    inputs = {
-        "amount": q.padded_log(log, EVENTS, 1, F.array("amount"), False),
-        "resource": q.padded_log(log, EVENTS, known.width, known.vector(), False),
-    }
-    return q.step_mask(inputs).withColumnRenamed("case", "case_id")
+    """Real steps, valid where the amount or the resource is known; padding is invalid by rule."""
+    known = {"amount": F.col("amount") != -1, "resource": F.col("resource") != "<NO_DESC>"}
+    return q.real_step_mask(event_log(spark, folder), EVENTS, known).withColumnRenamed("case", "case_id")
 
 
-@query("step_mask_text", with_(TURNS, WORDS, """placed AS (
-  SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY turn) - 1 AS step FROM turns)""") + """
-SELECT c.case_id, s.step, coalesce(p.turn IN (SELECT w.turn FROM words w WHERE w.case_id = c.case_id), false) AS valid
-FROM (SELECT DISTINCT case_id FROM turns) c
-  CROSS JOIN (SELECT unnest(range(0, (SELECT max(step) + 1 FROM placed))) AS step) s
-  LEFT JOIN placed p ON p.case_id = c.case_id AND p.step = s.step""")
+@query("step_mask_text", with_(TURNS, WORDS) + REAL % (
+    "turn", "EXISTS (SELECT 1 FROM words w WHERE w.case_id = turns.case_id AND w.turn = turns.turn)", "turns"))
 def step_mask_text(spark, folder):
-    log = turn_log(spark, folder)
-    ids = padded_text(log, TURN_LOG, "text", WordIndex(log, TURN_LOG, "text"), eos=False)
-    return q.step_mask({"text": ids}, {"text": 0.0}).withColumnRenamed("case", "case_id")
+    known = {"text": word_number("text") > 0}
+    return q.real_step_mask(turn_log(spark, folder), TURN_LOG, known).withColumnRenamed("case", "case_id")
+
 
+@query("step_mask_inputs", with_(TURNS, WORDS, """marked AS (
+  SELECT *, CASE WHEN turn % 3 = 0 THEN -1 ELSE length(text) END AS amount,
+    CASE WHEN turn % 2 = 0 THEN '' ELSE text END AS part FROM turns)""") + REAL % (
+    "turn", "amount <> -1 OR (part <> '' AND EXISTS (SELECT 1 FROM words w WHERE w.case_id = marked.case_id AND w.turn = marked.turn))",
+    "marked"))
+def step_mask_inputs(spark, folder):
+    """A text and a number together: valid where the text has a word or the number is known."""
+    log = turn_log(spark, folder).withColumn("amount", F.when(F.col("turn") % 3 == 0, -1).otherwise(F.length("text")))
+    log = log.withColumn("part", F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("text")))
+    known = {"number": F.col("amount") != -1, "text": word_number("part") > 0}
+    return q.real_step_mask(log, TURN_LOG, known).withColumnRenamed("case", "case_id")
+
+
+# -- long forms, at any width ----------------------------------------------------------------------
+
+
+CELLS = """cells_ AS (
+  SELECT event_id, slot, 1 AS span, value FROM vectors
+  WHERE value <> 0 AND NOT (value = -1 AND slot IN (SELECT slot FROM vectors_onehot_slots))
+  UNION ALL SELECT event_id, slot, 1, value FROM vectors
+  WHERE value = 0 AND slot NOT IN (SELECT slot FROM vectors_onehot_slots)
+  UNION ALL SELECT event_id, min(slot), count(*), -1 FROM vectors JOIN vectors_onehot_slots USING (slot)
+  WHERE vectors.value = -1 GROUP BY event_id, block)"""
+
+
+@query("encode_events_cells", with_(EV, vector_sql("ev", ["event_id"], CATEGORIES, NUMBERS, "<NO_DESC>"), CELLS, """
+placed AS (SELECT case_id, event_id, row_number() OVER (PARTITION BY case_id ORDER BY start_ts, event_id) - 1 AS step FROM ev)""") + """
+SELECT case_id, step, slot, span, round(value, 6) AS value FROM cells_ JOIN placed USING (event_id)""")
+def encode_events_cells(spark, folder):
+    """The event vectors as (case, step, slot, span, value): no array, no padding, any number of categories."""
+    log = event_log(spark, folder)
+    cells = c.encoded_cells(log, ["event_id"], CATEGORIES, NUMBERS, True, True)
+    steps = q.with_steps(log.select("case_id", "start_ts", "event_id"), EVENTS)
+    return steps.join(cells, "event_id").select("case_id", "step", "slot", "span", F.round("value", 6).alias("value"))
+
+
+@query("embedding_cells", with_(*BINNED, DURATION_KEYS, TOKENS, VOCABULARY) + """
+SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY start_ts, event_id) - 1 AS step, slot,
+  round(score, 6) AS value
+FROM embedded JOIN vocab USING (key)""")
+def embedding_cells(spark, folder):
+    """The duration embedding as (case, step, slot, value), for a vocabulary of any size."""
+    keyed = duration_keyed(spark, folder)
+    rows = slotted(q.with_steps(embedded(keyed, EVENTS), EVENTS), vocabulary(keyed))
+    return rows.select("case_id", "step", long(F.col("slot"), "slot"), F.round("score", 6).alias("value"))
+
+
+@query("stacked_cells", with_(EV, stacked_sql("ev", "start_day", "start_ts, event_id"),
+                              vector_sql("ev", ["event_id"], CATEGORIES, NUMBERS, "<NO_DESC>"), CELLS) + """
+SELECT case_id, step, CAST(place * (SELECT max(slot) + 1 FROM vectors) + slot AS BIGINT) AS slot, span, round(value, 6) AS value
+FROM cells_ JOIN stacked USING (event_id)""")
+def stacked_cells(spark, folder):
+    """Simultaneous events side by side in long form, for any number of them."""
+    log = event_log(spark, folder)
+    cells = c.encoded_cells(log, ["event_id"], CATEGORIES, NUMBERS, True, True)
+    width = c.category_slots(log, CATEGORIES).count() + len(NUMBERS)
+    rows = q.stacked_cells(log.select("case_id", "activity", "start_ts", "start_day", "event_id"), EVENTS, cells, width, "event_id")
+    return rows.select(F.col("case").alias("case_id"), "step", "slot", "span", F.round("value", 6).alias("value"))

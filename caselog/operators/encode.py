@@ -9,6 +9,7 @@ are encoded sparsely, by joining a category table.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -216,6 +217,33 @@ def fit_vectors(df: DataFrame, categories: list[str], numbers: list[str],
     return Vectors(onehot, scale)
 
 
+def encoded_cells(df: DataFrame, keys: list[str], categories: list[str], numbers: list[str],
+                  mask_categories: bool = False, mask_numbers: bool = False, missing: str = MISSING_TEXT) -> DataFrame:
+    """(keys, slot, span, value): the vectors of `fit_vectors` in long form, for any number of categories.
+
+    `value` fills `span` slots from `slot` on: one slot, or a whole block of -1 where a
+    masked category is missing. Slots without a row are 0.
+    """
+    parts, offset = [], 0
+    if categories:
+        slots = cut(category_slots(df, categories), "slots")
+        blocks = slots.groupBy("name").agg(F.min("slot").alias("first"), F.count(F.lit(1)).alias("width"))
+        hits = onehot_cells(df, keys, categories, slots, missing if mask_categories else None)
+        masked = F.col("cell") == MASKED
+        # One block per column: a handful of rows.
+        parts.append(hits.join(F.broadcast(blocks), "name").select(
+            *keys, F.when(masked, F.col("first")).otherwise(F.col("slot")).cast("long").alias("slot"),
+            F.when(masked, F.col("width")).otherwise(F.lit(1)).cast("long").alias("span"), F.col("cell").alias("value")))
+        offset = slots.count()
+    if numbers:
+        scale = fit_minmax(df, numbers) if mask_numbers else fit_median(df, numbers)
+        cells = F.explode(F.array(*[
+            F.struct(F.lit(offset + i).cast("long").alias("slot"), F.lit(1).cast("long").alias("span"),
+                     scale.scaled(c).cast("double").alias("value")) for i, c in enumerate(numbers)]))
+        parts.append(df.select(*keys, cells.alias("cell")).select(*keys, "cell.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # -- labels -----------------------------------------------------------------------------------
 
 

@@ -1,11 +1,11 @@
 """Running values along ordered rows, with or without a key.
 
-While every key's rows fit one task, these are plain window functions. Once a
-key is too long for that, the rows are sorted globally by (key, order): the sort
-splits a long key over many partitions, each partition runs the same windows on
-its part of a key, and what the earlier parts hand on is added from a table that
-has a row only where a key continues from the partition before. Both ways give
-the same values.
+While a key's rows fit one task, these are plain window functions. Rows of longer
+keys, and of those only, are sorted globally by (key, order): the sort splits a
+long key over many partitions, each partition runs the same windows on its part of
+a key, and what the earlier parts hand on is added from a table that has a row
+only where a key continues from the partition before. Both ways give the same
+values.
 """
 
 from __future__ import annotations
@@ -97,33 +97,57 @@ class LastFlagged:
 
 
 class Ordered:
-    """`df` ordered by `order` inside `keys`; `longest` is the longest key's row count."""
+    """`df` ordered by `order` inside `keys`; `longest` is the longest key's row count.
+
+    `short` holds the rows of keys that one task may order, `long` the others, sorted
+    and kept; either may be None.
+    """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[Column | str],
                  longest: int, limit: int = SMALL_ROWS):
         self.keys = keys
         self.split = longest > limit
+        self.short, self.long = df, None
         if self.split:
-            # The checkpoint fixes the row numbers: a sort that runs again after a
+            long = df
+            self.short = None
+            if keys:
+                sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+                # At most one row per `limit` rows of the log.
+                found = F.broadcast(cut(sizes.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]), "long"))
+                match = [df[k].eqNullSafe(found[f"__key{i}"]) for i, k in enumerate(keys)]
+                long, self.short = df.join(found, match, "left_semi"), df.join(found, match, "left_anti")
+            # The written table fixes the row numbers: a sort that runs again after a
             # loss may place its partition borders elsewhere.
-            fixed = cut(df.orderBy(*keys, *order).withColumn(ROW, F.monotonically_increasing_id()))
-            self.df = fixed.withColumn(PART, F.shiftright(ROW, 33))
-            self.window = Window.partitionBy(PART, *keys).orderBy(ROW)
-        else:
-            self.df = df
-            self.window = Window.partitionBy(*keys).orderBy(*order)
+            fixed = cut(long.orderBy(*keys, *order).withColumn(ROW, F.monotonically_increasing_id()), "sorted")
+            self.long = fixed.withColumn(PART, F.shiftright(ROW, 33))
+        self.short_window = Window.partitionBy(*keys).orderBy(*order)
+        self.long_window = Window.partitionBy(PART, *keys).orderBy(ROW)
+
+    def with_column(self, name: str, value: Column) -> Ordered:
+        """A column computed row by row, for what is added next."""
+        self.short = None if self.short is None else self.short.withColumn(name, value)
+        self.long = None if self.long is None else self.long.withColumn(name, value)
+        return self
 
     def add(self, **wanted) -> Ordered:
         """Add columns; those added together share one pass."""
-        so_far = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = self.df.withColumn(AT, F.row_number().over(self.window).cast("long"))
-        local = rows.withColumns({name: w.local(so_far) for name, w in wanted.items()})
-        if self.split:
-            local = self._carry(rows, local, wanted)
-        plain = {n: F.col(n)["v"] for n, w in wanted.items() if isinstance(w, Previous)}
-        self.df = local.withColumns(plain).drop(AT) if plain else local.drop(AT)
+        if self.short is not None:
+            self.short = self._finished(self._local(self.short, self.short_window, wanted)[1], wanted)
+        if self.long is not None:
+            rows, local = self._local(self.long, self.long_window, wanted)
+            self.long = self._finished(self._carry(rows, local, wanted), wanted)
         return self
 
+    def _local(self, df: DataFrame, window, wanted: dict) -> tuple[DataFrame, DataFrame]:
+        so_far = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = df.withColumn(AT, F.row_number().over(window).cast("long"))
+        return rows, rows.withColumns({name: w.local(so_far) for name, w in wanted.items()})
+
+    def _finished(self, local: DataFrame, wanted: dict) -> DataFrame:
+        plain = {n: F.col(n)["v"] for n, w in wanted.items() if isinstance(w, Previous)}
+        return local.withColumns(plain).drop(AT) if plain else local.drop(AT)
+
     def _carry(self, rows: DataFrame, local: DataFrame, wanted: dict) -> DataFrame:
         parts = rows.groupBy(PART, *self.keys).agg(
             F.count(F.lit(1)).alias("__rows"),
@@ -142,4 +166,5 @@ class Ordered:
         ).drop(BEFORE, *[f"__c_{n}" for n in wanted])
 
     def result(self) -> DataFrame:
-        return self.df.drop(PART, ROW)
+        parts = [p.drop(PART, ROW) for p in (self.short, self.long) if p is not None]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -7,7 +7,10 @@ form cuts a case into chunks of steps. Nothing collects a whole case into a row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselog.constants import CASE_ROWS, CHUNK_STEPS, PAD_NUMBER
@@ -141,7 +144,7 @@ def stacked_events(df: DataFrame, log: EventLog, profile: CaseProfile | None = N
     a step, in which they are numbered from 0."""
     run = ordered_cases(df, log, profile, limit).add(__earlier=Previous(log.start))
     together = F.coalesce(F.col("__earlier") == F.col(log.start), F.lit(False))
-    run.df = run.df.withColumn("__new", ~together)
+    run.with_column("__new", ~together)
     run.add(__steps=Total(F.col("__new").cast("long")), __at_new=LastFlagged("__new"), __at_row=Position())
     return (
         run.result()
@@ -160,7 +163,22 @@ def stacked_steps(df: DataFrame, log: EventLog, width: int, most: int, vec: Colu
     """
     if most > CHUNK_STEPS:
         raise ValueError(f"{most} simultaneous events: use the rows of `stacked_events`")
-    events = stacked_events(df, log, profile, limit)
+    return _side_by_side(stacked_events(df, log, profile, limit), log, width, most, vec)
+
+
+def stacked_cells(df: DataFrame, log: EventLog, cells: DataFrame, width: int, key: str,
+                  profile: CaseProfile | None = None, limit: int = CASE_ROWS) -> DataFrame:
+    """(case, step, slot, span, value): simultaneous events side by side, for any number of them.
+
+    `cells` has (`key`, slot, span, value) of the events; the slots of the event at
+    place k of its step begin at k * `width`. Missing places are padding by rule.
+    """
+    events = stacked_events(df, log, profile, limit).select(F.col(log.case).alias("case"), key, "step", "place")
+    return events.join(cells, key).select(
+        "case", "step", (F.col("place") * width + F.col("slot")).alias("slot"), "span", "value")
+
+
+def _side_by_side(events: DataFrame, log: EventLog, width: int, most: int, vec: Column | str) -> DataFrame:
     joined = F.flatten(F.transform("items", lambda i: i["vec"]))
     missing = F.array_repeat(F.lit(PAD_NUMBER).cast("float"), F.lit(width) * (F.lit(most) - F.size("items")))
     return (
@@ -175,9 +193,12 @@ def padded_stacked_log(df: DataFrame, log: EventLog, width: int, vec: Column | s
     """(case, step, vec): padded sequences with simultaneous events in one step."""
     most = largest_cooccurrence(df, log).first()["max_cooccur"] or 1
     profile = case_profile(df, log)
-    rows = stacked_steps(df, log, width, most, vec, profile, limit)
-    lengths = cut(stacked_events(df, log, profile, limit).groupBy(F.col(log.case).alias("case")).agg(
-        (F.max("step") + 1).alias("len")))
+    if most > CHUNK_STEPS:
+        raise ValueError(f"{most} simultaneous events: use `stacked_cells`")
+    # Ordered once: the steps and their number come from the same kept rows.
+    events = cut(stacked_events(df, log, profile, limit), "stacked")
+    rows = _side_by_side(events, log, width, most, vec)
+    lengths = cut(events.groupBy(F.col(log.case).alias("case")).agg((F.max("step") + 1).alias("len")), "lengths")
     longest = lengths.agg(F.max("len").alias("n")).first()["n"] or 0
     return padded(rows, lengths, width * most, longest, eos)
 
@@ -185,6 +206,46 @@ def padded_stacked_log(df: DataFrame, log: EventLog, width: int, vec: Column | s
 # -- shape and validity -----------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Input:
+    """A padded input by its case lengths (case, len): padding is known by rule and not formed."""
+
+    lengths: DataFrame
+    width: int
+    eos: bool = False
+
+
+def input_shapes(inputs: dict[str, Input], classes: int | None = None, case_features: int | None = None) -> DataFrame:
+    """One row per input: (input, cases, steps, width, regular, classes, case_features).
+
+    A padded input has as many steps as its longest case, and one more with a
+    closing step. `regular` says that all inputs agree in cases and steps.
+    """
+    rows = None
+    for name, given in inputs.items():
+        own = given.lengths.agg(
+            F.count(F.lit(1)).alias("cases"), (F.coalesce(F.max("len"), F.lit(0)) + int(given.eos)).cast("long").alias("steps"),
+        ).select(F.lit(name).alias("input"), "cases", "steps", F.lit(given.width).cast("long").alias("width"))
+        rows = own if rows is None else rows.unionAll(own)
+    everything = Window.partitionBy()
+    regular = (F.min("cases").over(everything) == F.max("cases").over(everything)) & (
+        F.min("steps").over(everything) == F.max("steps").over(everything))
+    return rows.select("*", regular.alias("regular"), F.lit(classes).cast("long").alias("classes"),
+                       F.lit(case_features).cast("long").alias("case_features"))
+
+
+def real_step_mask(df: DataFrame, log: EventLog, known: dict[str, Column], profile: CaseProfile | None = None,
+                   limit: int = CASE_ROWS) -> DataFrame:
+    """(case, step, valid) of the real steps; valid if any input of the event is known.
+
+    `known` has a condition on the raw columns for each input of one log. A padding
+    step is invalid by rule and has no row.
+    """
+    valid = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in known.values()])
+    kept = with_case(df, log).select(log.case, *[c for c in log.order if c != log.case], valid.alias("valid"))
+    return with_steps(kept, log, profile, limit).select(F.col(log.case).alias("case"), "step", "valid")
+
+
 def tensor_shape(step_rows: DataFrame) -> DataFrame:
     """One row (cases, steps, width) of padded step rows, and whether all agree."""
     per_case = step_rows.groupBy("case").agg(

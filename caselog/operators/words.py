@@ -55,10 +55,10 @@ def text_steps(df: DataFrame, log: EventLog, text: str, index: WordIndex,
 
 def text_width(df: DataFrame, log: EventLog, text: str) -> int:
     """Most words of an event; a missing text has none."""
-    return with_case(df, log).agg(F.max(_word_number(text)).alias("n")).first()["n"] or 0
+    return with_case(df, log).agg(F.max(word_number(text)).alias("n")).first()["n"] or 0
 
 
-def _word_number(text: str):
+def word_number(text: str):
     return F.size(F.coalesce(word_tokens(text), F.array().cast("array<string>")))
 
 
@@ -77,7 +77,7 @@ def padded_text(df: DataFrame, log: EventLog, text: str, index: WordIndex, eos:
     vec = F.concat(ids, F.array_repeat(blank, F.lit(width) - F.size("items")))
     wordy = filled.select("case", "step", vec.alias("vec"))
     lengths = log_lengths(df, log)
-    empty = with_steps(df, log, profile, limit).filter(_word_number(text) == 0).select(
+    empty = with_steps(df, log, profile, limit).filter(word_number(text) == 0).select(
         F.col(log.case).alias("case"), "step", F.array_repeat(blank, width).alias("vec"))
     return wordy.unionByName(empty).unionByName(
         pad_steps(lengths, width, profile.longest + int(eos), PAD_WORD, "long"))

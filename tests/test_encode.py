@@ -155,3 +155,30 @@ def test_missing_text_is_an_event_without_words(spark):
     df = spark.createDataFrame([(1, 0, "a", "x y"), (1, 1, "a", None), (1, 2, "a", "")], "c int, i int, a string, t string")
     rows = padded_text(df, log, "t", WordIndex(df, log, "t"), eos=False).collect()
     assert sorted((r["step"], r["vec"]) for r in rows) == [(0, [1, 2]), (1, [0, 0]), (2, [0, 0])]
+
+
+def spread(cells, width):
+    """Dense vectors from (i, slot, span, value)."""
+    out = {}
+    for r in cells.collect():
+        row = out.setdefault(r["i"], [0.0] * width)
+        row[r["slot"]:r["slot"] + r["span"]] = [r["value"]] * r["span"]
+    return out
+
+
+@pytest.mark.parametrize("mask", [True, False])
+def test_long_cells_equal_the_dense_vectors(spark, mask):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([NO, *"abcdef"]), rng.choice([9, 10, 2, None]), rng.choice([-1.0, 0.0, 3.5, 7.0])) for i in range(80)]
+    df = spark.createDataFrame(rows, "i int, x string, k int, n double")
+    vectors = c.fit_vectors(df, ["x", "k"], ["n"], mask, mask)
+    dense = {r["i"]: r["vec"] for r in vectors.apply(df).collect()}
+    assert spread(c.encoded_cells(df, ["i"], ["x", "k"], ["n"], mask, mask), vectors.width) == dense
+
+
+def test_ten_thousand_categories(spark):
+    df = spark.range(12_000).selectExpr("id as i", "concat('k', id % 10000) as x", "cast(id as double) as n")
+    cells = c.encoded_cells(df, ["i"], ["x"], ["n"], True, True)
+    assert cells.filter("slot < 10000 and value = 1 and span = 1").count() == 12_000
+    assert cells.filter("slot < 10000").select("slot").distinct().count() == 10_000
+    assert cells.filter("slot = 10000").count() == 12_000

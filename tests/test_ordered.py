@@ -42,10 +42,21 @@ def test_running_values(spark, skewed, limit):
 def test_long_key_spreads_over_partitions(spark, skewed):
     df = spark.createDataFrame(skewed, "k string, at int, v int, f boolean")
     run = Ordered(df, ["k"], ["at"], 400, 5)
-    parts = run.df.filter(F.col("k") == "hot").select("__part").distinct().count()
+    parts = run.long.filter(F.col("k") == "hot").select("__part").distinct().count()
     assert parts > 1
 
 
+def test_short_keys_of_a_skewed_log_are_not_sorted_globally(spark, skewed):
+    """Keys of up to 10 rows stay with plain windows; only the long one is sorted and written."""
+    df = spark.createDataFrame(skewed, "k string, at int, v int, f boolean")
+    run = Ordered(df, ["k"], ["at"], 400, 10)
+    assert {r["k"] for r in run.long.select("k").distinct().collect()} == {"hot"}
+    assert run.short.select("k").distinct().count() == 60 and "__row" not in run.short.columns
+    done = run.add(position=Position()).result()
+    assert done.filter("k <> 'hot'").groupBy("k").agg(F.max("position").alias("n")).filter("n <> 9").count() == 0
+    assert sorted(r["position"] for r in done.filter("k = 'hot'").collect()) == list(range(400))
+
+
 @pytest.mark.parametrize("limit", [10_000, 5])
 def test_without_key_and_with_nulls(spark, limit):
     rows = [(i, None if i % 3 else i) for i in range(100)]
@@ -65,7 +76,7 @@ def test_two_rounds(spark, limit):
     rows = [("a", i, i // 4) for i in range(40)] + [("b", i, 1) for i in range(10)]
     df = spark.createDataFrame(rows, "k string, at int, day int").repartition(4)
     run = Ordered(df, ["k"], ["at"], 40, limit).add(before=Previous("day"))
-    run.df = run.df.withColumn("new", ~F.coalesce(F.col("before") == F.col("day"), F.lit(False)))
+    run.with_column("new", ~F.coalesce(F.col("before") == F.col("day"), F.lit(False)))
     run.add(island=Total(F.col("new").cast("long")))
     got = {(r["k"], r["at"]): r["island"] for r in run.result().collect()}
     assert got == {(k, at): (day + 1 if k == "a" else 1) for k, at, day in rows}

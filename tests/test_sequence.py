@@ -126,3 +126,23 @@ def test_same_result_for_any_partitioning(skewed, spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] == seen[1]
+
+
+def test_twenty_thousand_simultaneous_events(spark):
+    """More events in one step than a dense step may hold."""
+    log = EventLog("c", "a", ("t", "i"), "t")
+    df = spark.range(20_100).selectExpr("1 as c", "'x' as a", "if(id < 20000, 0, 1) as t", "id as i")
+    cells = df.selectExpr("i", "0L as slot", "1L as span", "cast(i as double) as value")
+    rows = q.stacked_cells(df, log, cells, 3, "i")
+    assert rows.filter("step = 0").count() == 20_000 and rows.filter("step = 1").count() == 100
+    assert rows.filter("step = 0 and slot <> 3 * value").count() == 0
+    with pytest.raises(ValueError):
+        q.padded_stacked_log(df, log, 1, F.array("i"))
+
+
+def test_shapes_by_rule(spark):
+    a = spark.createDataFrame([(1, 3), (2, 5)], "case int, len long")
+    rows = q.input_shapes({"x": q.Input(a, 4, True), "y": q.Input(a, 2, True)}, 3, 7).collect()
+    assert [tuple(r) for r in rows] == [("x", 2, 6, 4, True, 3, 7), ("y", 2, 6, 2, True, 3, 7)]
+    rows = q.input_shapes({"x": q.Input(a, 4, True), "y": q.Input(a, 2)}).collect()
+    assert {r["regular"] for r in rows} == {False}
