@@ -21,6 +21,7 @@ MAGIC = b"RPAIR002"
 ROUNDS = 4
 RULES_PER_ROUND = 3072
 LEAST_COUNT = 8       # of a pair that is replaced
+DRAWERS = 1 << 20
 _HEAD = "<8sIIIIQ"  # magic, documents, rules, first nonterminal, symbols, tokens
 
 
@@ -36,11 +37,12 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         if len(symbols) < 2:
             break
         pair = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        open_ = ~last[:-1]
-        chosen = _frequent(pair[open_])
+        drawer = _drawer(pair)
+        drawer[last[:-1]] = DRAWERS  # a pair across the end of a document
+        chosen = _frequent(pair, drawer)
         if not len(chosen):
             break
-        at, rule = _matches(pair, open_, chosen)
+        at, rule = _matches(pair, drawer, chosen)
         symbols[at] = rule.astype(np.uint32) + np.uint32(top)
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
@@ -54,15 +56,15 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _drawer(pairs: np.ndarray) -> np.ndarray:
-    """A place for each pair among 2^20."""
+    """A place for each pair among `DRAWERS`."""
     return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
 
 
-def _frequent(pairs: np.ndarray) -> np.ndarray:
-    """The most frequent pairs, sorted. Drawers that hold too few pairs are passed over first."""
-    drawer = _drawer(pairs)
-    held = np.bincount(drawer, minlength=1 << 20)
-    full = np.sort(pairs[held[drawer] >= LEAST_COUNT])
+def _frequent(pair: np.ndarray, drawer: np.ndarray) -> np.ndarray:
+    """The most frequent pairs, one per drawer. Drawers that hold too few pairs are passed over first."""
+    held = np.bincount(drawer, minlength=DRAWERS + 1)
+    held[DRAWERS] = 0
+    full = np.sort(pair[held[drawer] >= LEAST_COUNT])
     if not len(full):
         return full
     first = np.flatnonzero(np.append(True, full[1:] != full[:-1]))
@@ -70,24 +72,25 @@ def _frequent(pairs: np.ndarray) -> np.ndarray:
     value = full[first]
     often = count >= LEAST_COUNT
     value, count = value[often], count[often]
-    if len(value) > RULES_PER_ROUND:
-        value = value[np.lexsort((value, -count))[:RULES_PER_ROUND]]
-    return np.sort(value)
+    value = value[np.lexsort((value, -count))[:RULES_PER_ROUND]]
+    # Of two pairs in one drawer the rarer waits for the next round.
+    return value[np.sort(np.unique(_drawer(value), return_index=True)[1])]
 
 
-def _matches(pair: np.ndarray, open_: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _matches(pair: np.ndarray, drawer: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places to replace, none overlapping, and the number of the pair at each."""
-    drawer = np.zeros(1 << 20, dtype=bool)
-    drawer[_drawer(chosen)] = True
-    maybe = np.flatnonzero(drawer[_drawer(pair)] & open_)
-    rule = np.minimum(np.searchsorted(chosen, pair[maybe]), len(chosen) - 1)
-    hit = chosen[rule] == pair[maybe]
-    at, rule = maybe[hit], rule[hit]
+    number = np.full(DRAWERS + 1, -1, dtype=np.int32)
+    number[_drawer(chosen)] = np.arange(len(chosen))
+    found = number[drawer]
+    at = np.flatnonzero(found >= 0)
+    rule = found[at]
+    hit = chosen[rule] == pair[at]
+    at, rule = at[hit], rule[hit]
     # In a run of neighbouring matches every other one is taken, from the left.
-    number = np.arange(len(at))
+    place = np.arange(len(at))
     opens = np.append(True, at[1:] != at[:-1] + 1) if len(at) else np.zeros(0, dtype=bool)
-    start = np.maximum.accumulate(np.where(opens, number, 0))
-    take = (number - start) % 2 == 0
+    start = np.maximum.accumulate(np.where(opens, place, 0))
+    take = (place - start) % 2 == 0
     return at[take], rule[take]
 
 
