@@ -15,7 +15,8 @@ import numpy as np
 import tokenizers
 from tokenizers import Tokenizer
 
-MOST_PIECES = 300_000  # remembered pieces; beyond, those that have not recurred are forgotten
+MOST_PIECES = 240_000  # remembered pieces; beyond, those that have not recurred are forgotten
+KEPT_PIECES = 60_000   # at most, from one task of a worker to the next
 
 _SIGNS = frozenset(",.;:!?")
 
@@ -49,6 +50,12 @@ class Pieces:
             kept[path] = cls(path)
         return kept[path]
 
+    def rest(self) -> None:
+        """Between tasks keep only what has recurred: the worker may do other work next."""
+        self.after = {c: self.after[c] for c, _ in zip(self.again, range(KEPT_PIECES), strict=False) if c in self.after}
+        self.again = set()
+        self.begun = {}
+
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 

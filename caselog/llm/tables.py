@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 << 20  # a side is sent to all executors only if its rows are counted to stay below this
 
+BATCH_ROWS = 1000            # worked on at once in Python
 HOT_SHARE = 1000  # a group of over this share of all rows is not gathered by its key
 
 
@@ -51,11 +55,22 @@ def map_columns(df: DataFrame, inputs: dict[str, Column], schema: str, work: Cal
 
     def run(batches):
         for batch in batches:
-            yield from work(batch)
+            # Spark's batches have a number of rows, not of bytes: long texts come in small pieces.
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                yield from work(batch.slice(at, BATCH_ROWS))
+        give_back()
 
     return df.select(*[c.alias(n) for n, c in inputs.items()]).mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return memory that this Python worker holds but does not use: it lives on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batch_of(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns.values()],

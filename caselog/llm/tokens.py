@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from caselog.llm.pieces import Pieces
 from caselog.llm.repair import Shard, pack
 from caselog.llm.stores import own_file, read_ranges
-from caselog.llm.tables import batch_of
+from caselog.llm.tables import batch_of, give_back
 from caselog.session import cut, scratch_table
 
 SHARD_TOKENS = 1 << 21    # a shard is closed at the document that reaches this
@@ -101,6 +101,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
             rows.append(close())
         if stream is not None:
             stream.close()  # before the index rows leave the task
+        if pieces is not None and pieces.certain:
+            pieces.rest()
+        give_back()
         yield from rows
 
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),

@@ -77,6 +77,16 @@ def test_tokens(stages):
         start += len(ids)
 
 
-def test_run_gives_the_rows_of_the_stages(spark, stages):
-    folder, found = stages
-    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, found[5].collect()))
+def test_run_writes_every_stage_and_reads_it_again(spark, testdata, monkeypatch):
+    """Each stage gets what the one before it returned, from a written table."""
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append((docs.count(), docs.inputFiles()[0], sf_dir))
+        return docs.filter("doc_id % 10 <> 0") if len(seen) == 1 else docs.limit(5)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    folder = f"{testdata}/sf0.001"
+    assert corpus_pipeline.run(spark, folder).count() == 5
+    assert [n for n, _, _ in seen] == [200, 180] and all(f == folder for _, _, f in seen)
+    assert seen[0][1].endswith("documents.parquet") and "/one/" in seen[1][1]
