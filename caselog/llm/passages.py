@@ -1,13 +1,17 @@
-"""Substring deduplication: repeated lines and stretches of text.
+"""Substring deduplication: repeated lines and repeated runs of words.
 
-A unit is a line of at least `STRETCH` words, or a stretch of `STRETCH` words
-chosen by its content. Passages are pasted into the middle of lines as well, where
-no whole line repeats, so lines alone would miss them. Stretches are chosen by
-winnowing: of every `STEP` neighbouring ones that with the smallest hash. Two texts
-that share `STRETCH + STEP - 1` words in a row choose the same stretch in it, whatever
-stands around, and neighbouring choices overlap.
+A unit is a line with a word, whatever its length, or a run of `STRETCH` words at any
+place. Passages are pasted into the middle of lines as well, where no whole line
+repeats, so lines alone would miss them. Longer lines and passages consist of such runs.
 
-Units are normalised (A-Z lower-cased, blanks made equal) and hashed to 128 bits,
+Only runs that can repeat are hashed in full. Of every `STEP` neighbouring seeds of
+`SEED` words that with the smallest hash is chosen (winnowing); a run of `STRETCH` words
+holds `STEP` seeds, so equal runs choose equal seeds whatever stands around them, and a
+run whose chosen seed is the only one of its kind repeats nowhere. All other runs are
+compared, so spans reach to both ends of what is shared.
+
+Units are normalised (A-Z lower-cased, blanks made equal) and hashed to 128 bits (for
+a run: 64 of its chosen seed, by which all its copies meet, and 64 of the whole run),
 the digests are grouped over the whole corpus, and every occurrence but that in the
 earliest document is marked by its offsets in the original text.
 """
@@ -20,11 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselog.llm.arrays import Block, blocks, mix
-from caselog.llm.tables import batch_of, map_columns, with_group
+from caselog.llm.tables import HOT_SHARE, batch_of, map_columns, same, with_group
 from caselog.session import cut
 
 STRETCH = 20
-STEP = 16
+STEP = 12
+SEED = STRETCH - STEP + 1
+SALTS = 64  # parts of a hot seed's rows
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -52,68 +58,152 @@ class _Runs:
         return tuple(mix((total[last] - total[first]) * self.back[first] + length) for total in self.sums)
 
 
-def _chosen(hashes: np.ndarray) -> np.ndarray:
-    """Places that are the last smallest of some `STEP` neighbours."""
-    if len(hashes) <= STEP:
-        return np.array([len(hashes) - 1 - int(np.argmin(hashes[::-1]))])
-    near = np.lib.stride_tricks.sliding_window_view(hashes[::-1], STEP)
-    at = np.arange(len(near)) + np.argmin(near, axis=1)
-    return np.unique(len(hashes) - 1 - at)
-
-
-def units(block: Block) -> tuple[np.ndarray, ...]:
-    """Row, first word, last word + 1 and both digests of every unit of a block."""
-    words = block.hashes()
-    runs = _Runs(words)
-    width = max(len(words) - STRETCH + 1, 0)
-    at = np.arange(width)
-    hashes = runs.digest(at, at + STRETCH)[0] if width else words[:0]
-    first, last, row = [], [], []
-    for r in range(block.rows):
-        low, high = int(block.bound[r]), int(block.bound[r + 1]) - STRETCH + 1
-        if high > low:
-            places = _chosen(hashes[low:high]) + low
-            first.append(places)
-            last.append(places + STRETCH)
-            row.append(np.full(len(places), r))
-    breaks = np.searchsorted(block.start, np.flatnonzero(block.data == 0x0A))
-    edges = np.unique(np.concatenate([block.bound, breaks]))
-    lines = np.flatnonzero(np.diff(edges) >= STRETCH)
-    first.append(edges[lines])
-    last.append(edges[lines + 1])
-    row.append(np.searchsorted(block.bound, edges[lines], side="right") - 1)
-    first, last, row = np.concatenate(first), np.concatenate(last), np.concatenate(row)
-    # A line may be a chosen stretch as well: one unit.
-    order = np.lexsort((last, first))
-    new = np.append(True, (np.diff(first[order]) != 0) | (np.diff(last[order]) != 0))[:len(order)]
-    first, last, row = first[order][new], last[order][new], row[order][new]
-    h1, h2 = runs.digest(first, last)
-    return row, first, last, h1, h2
-
-
-def _unit_rows(docs: DataFrame) -> DataFrame:
+class _Seeds:
+    """The runs of `STRETCH` words of a block, and the chosen seed of each."""
+
+    def __init__(self, block: Block, runs: _Runs, n_words: int):
+        self.hashes = runs.digest(np.arange(max(n_words - SEED + 1, 0)), np.arange(SEED, max(n_words, SEED - 1) + 1))[0]
+        sizes = np.maximum(np.diff(block.bound) - STRETCH + 1, 0)
+        #: First word and row of every run that lies within a row.
+        self.row = np.repeat(np.arange(block.rows), sizes)
+        self.run = np.arange(len(self.row)) + np.repeat(block.bound[:-1] - np.cumsum(sizes) + sizes, sizes)
+        self.seed = self.run
+        if len(self.run):
+            near = np.lib.stride_tricks.sliding_window_view(self.hashes, STEP)
+            self.seed = self.run + np.argmin(near, axis=1)[self.run]
+
+    def chosen(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row and place of each chosen seed, once."""
+        place, at = np.unique(self.seed, return_index=True)
+        return self.row[at], place
+
+
+def _repeats(row: np.ndarray, first: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Whether an equal unit stands earlier in the same row."""
+    order = np.lexsort((first, h2, h1, row))
+    repeat = np.zeros(len(order), dtype=bool)
+    a, b = order[1:], order[:-1]
+    repeat[a] = (row[a] == row[b]) & (h1[a] == h1[b]) & (h2[a] == h2[b])
+    return repeat
+
+
+def _with_hash(docs: DataFrame) -> dict:
+    return {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text"), "text_hash": F.xxhash64("text")}
+
+
+def _unit_batch(batch: pa.RecordBatch, block: Block, row, first, last, h1, h2, **more) -> pa.RecordBatch:
+    heads = block.characters()
+    begin = heads[block.at[row]]
+    place = pa.array(row + block.first)
+    return batch_of(
+        doc_id=batch.column("doc_id").take(place), text_hash=batch.column("text_hash").take(place),
+        h1=h1.view(np.int64), h2=h2.view(np.int64), start=(heads[block.start[first]] - begin).astype(np.int32),
+        end=(heads[block.end[last - 1]] - begin).astype(np.int32), **more)
+
+
+_UNIT = "doc_id long, text_hash long, h1 long, h2 long, start int, end int, repeat boolean"
+
+
+def _line_rows(docs: DataFrame) -> DataFrame:
+    """Lines of under `STRETCH` words; longer ones are runs of words."""
     def work(batch: pa.RecordBatch):
         for block in blocks(batch.column("text")):
             if not len(block.start):
                 continue
+            breaks = np.searchsorted(block.start, np.flatnonzero(block.data == 0x0A))
+            edges = np.unique(np.concatenate([block.bound, breaks]))
+            lines = np.flatnonzero(np.diff(edges) < STRETCH)
+            first, last = edges[lines], edges[lines + 1]
+            row = np.searchsorted(block.bound, first, side="right") - 1
+            with np.errstate(over="ignore"):
+                h1, h2 = _Runs(block.hashes()).digest(first, last)
+            # A line of one word stays at all its places in the text that keeps it.
+            repeat = _repeats(row, first, h1, h2) & (last - first > 1)
+            yield _unit_batch(batch, block, row, first, last, h1, h2, repeat=repeat)
+
+    return map_columns(docs, _with_hash(docs), _UNIT, work)
+
+
+def _seed_rows(docs: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
+    """Chosen seeds: the hash alone, or with `hot` hashes also text, place and part."""
+    def work(batch: pa.RecordBatch):
+        for block in blocks(batch.column("text")):
             with np.errstate(over="ignore"):
-                row, first, last, h1, h2 = units(block)
-            order = np.lexsort((first, h2, h1, row))
-            repeat = np.zeros(len(order), dtype=bool)
-            a, b = order[1:], order[:-1]
-            repeat[a] = (row[a] == row[b]) & (h1[a] == h1[b]) & (h2[a] == h2[b])
-            heads = block.characters()
-            begin = heads[block.at[row]]
-            place = pa.array(row + block.first)
+                seeds = _Seeds(block, _Runs(block.hashes()), len(block.start))
+            row, place = seeds.chosen()
+            h = seeds.hashes[place].view(np.int64)
+            if hot is None:
+                yield batch_of(h=h)
+                continue
+            at = pa.array(row + block.first)
             yield batch_of(
-                doc_id=batch.column("doc_id").take(place), text_hash=batch.column("text_hash").take(place),
-                h1=h1.view(np.int64), h2=h2.view(np.int64),
-                start=(heads[block.start[first]] - begin).astype(np.int32),
-                end=(heads[block.end[last - 1]] - begin).astype(np.int32), repeat=repeat)
+                doc_id=batch.column("doc_id").take(at), text_hash=batch.column("text_hash").take(at), h=h,
+                place=(place - block.bound[row]).astype(np.int32),
+                part=np.where(np.isin(h, hot), (place + batch.num_rows * row) % SALTS, 0).astype(np.int32))
+
+    if hot is None:
+        return map_columns(docs, {"text": F.col("text")}, "h long", work)
+    return map_columns(docs, _with_hash(docs), "doc_id long, text_hash long, h long, place int, part int", work)
+
+
+def _run_rows(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """The runs of `STRETCH` words whose chosen seed is one of the text's `places`."""
+    def work(batch: pa.RecordBatch):
+        places = batch.column("places")
+        size = places.value_lengths().to_numpy(zero_copy_only=False)
+        place, ends = places.flatten().to_numpy(), np.append(0, np.cumsum(size))
+        for block in blocks(batch.column("text")):
+            with np.errstate(over="ignore"):
+                runs = _Runs(block.hashes())
+                seeds = _Seeds(block, runs, len(block.start))
+                again = np.zeros(len(block.start), dtype=bool)
+                low, high = block.first, block.first + block.rows
+                again[place[ends[low]:ends[high]] + np.repeat(block.bound[:-1], size[low:high])] = True
+                here = np.flatnonzero(again[seeds.seed])
+                row, first = seeds.row[here], seeds.run[here]
+                seed = seeds.seed[here]
+                h1, h2 = seeds.hashes[seed], runs.digest(first, first + STRETCH)[1]
+            yield _unit_batch(
+                batch, block, row, first, first + STRETCH, h1, h2, repeat=_repeats(row, first, h1, h2),
+                place=(seed - block.bound[row]).astype(np.int32), hot=np.isin(h1.view(np.int64), hot))
 
     return map_columns(
-        docs, {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text"), "text_hash": F.xxhash64("text")},
-        "doc_id long, text_hash long, h1 long, h2 long, start int, end int, repeat boolean", work)
+        texts, {c: F.col(c) for c in ("doc_id", "text", "text_hash", "places")}, f"{_UNIT}, place int, hot boolean", work)
+
+
+def _repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The runs that may repeat: stored ones of hot seeds, and the others, of which no group is large."""
+    again = cut(_seed_rows(docs).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "seeds")
+    total = again.agg(F.sum("n")).first()[0] or 0
+    large = F.col("n") * HOT_SHARE > total
+    hot = np.array([r["h"] for r in again.filter(large).collect()], dtype=np.int64)  # fewer than `HOT_SHARE`
+    parts = again.select("h", F.explode(F.sequence(F.lit(0), F.when(large, SALTS - 1).otherwise(0))).alias("part"))
+    per = _seed_rows(docs, hot).join(parts, ["h", "part"], "left_semi").groupBy("doc_id", "text_hash").agg(
+        F.collect_list("place").alias("places"))
+    texts = docs.select(*[c.alias(n) for n, c in _with_hash(docs).items()])
+    keys = ["doc_id", "text_hash"]
+    runs = cut(_run_rows(texts.join(per, same(texts, per, keys)).select(
+        texts["doc_id"], texts["text"], texts["text_hash"], "places"), hot), "runs")
+    return runs.filter("hot").drop("place", "hot"), runs.filter("not hot").drop("hot")
+
+
+_LATER = "repeat or not doc_id <=> kept_doc_id"
+_PART = ["doc_id", "text_hash", "start", "end", "kept_doc_id"]
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """The stored units that stand in an earlier document or earlier in their own; groups of any size."""
+    groups = cut(rows.groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    return with_group(rows, groups, ["h1", "h2"], rows.count()).filter(_LATER).select(*_PART)
+
+
+def _marked_by_seed(runs: DataFrame) -> DataFrame:
+    """The same for runs of seeds that are not hot, dealt out once: the runs of one chosen seed, which all hold it, are one part."""
+    kept = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
+    return runs.repartition("h1").withColumn("kept_doc_id", kept).filter(_LATER).groupBy(
+        "h1", "doc_id", "text_hash", "place").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min("kept_doc_id").alias("kept_doc_id")).select(*_PART)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -122,18 +212,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     `start` and `end` are code points of the original text; overlapping units are
     one span. The occurrence kept is that of the smallest doc_id and there the first;
     `kept_doc_id` is the smallest document that keeps a unit of the span. A text
-    that repeats a unit within itself keeps the first.
+    that repeats a unit within itself keeps the first; a line of one word stays at
+    all its places in the document that keeps it.
 
     Rows that share a doc_id count as one document and keep the same units; repeated
     rows give their spans once. Rows without a doc_id come after all others and
-    count as one document. Null, empty and blank texts, and texts of under 20
-    words, have no units. Other columns are ignored. An empty table gives no rows.
+    count as one document. Null, empty and blank texts have no units. Other columns are ignored. An empty table gives no rows.
     """
-    rows = cut(_unit_rows(docs), "units")
-    groups = cut(rows.groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
-    marked = with_group(rows, groups, ["h1", "h2"], rows.count()).filter(
-        F.col("repeat") | ~F.col("doc_id").eqNullSafe(F.col("kept_doc_id")))
+    lines = cut(_line_rows(docs), "lines")
+    hot, others = _repeated_runs(docs)
+    marked = _marked(lines).unionByName(_marked(hot)).unionByName(_marked_by_seed(others))
     # One text's spans come together; they are bounded by its length.
     text = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
     reach = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))

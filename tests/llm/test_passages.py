@@ -52,6 +52,47 @@ def test_whole_lines_and_copies(spark):
     assert STRETCH == 20
 
 
+def test_short_lines_and_copies_are_found(spark):
+    """Repeated lines of under 20 words and copies of short texts go, whatever their length."""
+    rng = random.Random(5)
+    lines = [" ".join(words(rng, n, "s")) for n in (1, 2, 9, 19)]
+    docs = [(1, "\n".join(["first text", *lines])), (2, "\n".join(x for k, line in enumerate(lines) for x in (line, f"own {k}"))), (3, "a short copy"),
+            (4, "A  short copy"), (5, "\n".join(["twice here", "other", "twice here"]))]
+    texts = dict(docs)
+    found = {}
+    for r in repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, []).append((texts[r.doc_id][r.start:r.end], r.kept_doc_id))
+    assert sorted(found) == [2, 4, 5]
+    assert sorted(found[2]) == sorted((line, 1) for line in lines)
+    assert found[4] == [("A  short copy", 3)] and found[5] == [("twice here", 5)]
+
+
+def test_shared_runs_are_found_to_both_ends(spark):
+    """As brute force over all runs of 20 words: just those words are marked that an earlier text shares."""
+    rng = random.Random(6)
+    shared = [words(rng, n, "r") for n in (19, 20, 21, 27, 34, 51, 80)]
+    texts = {}
+    for d in range(40):
+        host = words(rng, 60, "t")
+        for k in rng.sample(range(len(shared)), 2):
+            part = shared[k][rng.randrange(8):] if d % 4 == 3 else shared[k]
+            at = rng.randrange(len(host))
+            host[at:at] = part
+        texts[d] = " ".join(host)
+    seen, expected = {}, {}
+    for d, text in texts.items():
+        tokens = text.split()
+        for k in range(len(tokens) - STRETCH + 1):
+            run = tuple(tokens[k:k + STRETCH])
+            if seen.setdefault(run, d) != d:
+                expected.setdefault(d, set()).update(range(k, k + STRETCH))
+    found = {}
+    for r in repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        before = len(texts[r.doc_id][:r.start].split())
+        found.setdefault(r.doc_id, set()).update(range(before, before + len(texts[r.doc_id][r.start:r.end].split())))
+    assert expected and found == expected
+
+
 def test_edges(edge_docs, no_docs):
     rows = repeated_passages(edge_docs).collect()
     assert {r.doc_id for r in rows} >= {2, 3, 9, None} and not {r.doc_id for r in rows} & {4, 5, 6, 7, 10, 11, 12}
