@@ -1,14 +1,13 @@
 """Re-Pair grammars of token ids.
 
 The most frequent pairs of neighbouring symbols are replaced by new symbols
-(nonterminals), again and again, until no pair is frequent or the rounds are
-used up. A round replaces its most frequent pairs together, left to right;
+(nonterminals), again and again, until no pair is frequent. A round replaces its most frequent pairs together, left to right;
 pairs never cross the end of a document, so every document starts at a symbol
 of its own and can be decoded alone.
 
 A shard is stored as: the header, the rules (left, right), the length of every
 rule's expansion, and for every document its id, first symbol and token count;
-then the symbols.
+then the low 16 bits of the symbols, and one plane for each higher bit in use.
 """
 
 from __future__ import annotations
@@ -17,9 +16,8 @@ import struct
 
 import numpy as np
 
-MAGIC = b"RPAIR002"
-ROUNDS = 4
-RULES_PER_ROUND = 3072
+MAGIC = b"RPAIR003"
+RULES_PER_ROUND = 3072  # what is left over waits for the next round
 LEAST_COUNT = 8       # of a pair that is replaced
 DRAWERS = 1 << 20
 _HEAD = "<8sIIIIQ"  # magic, documents, rules, first nonterminal, symbols, tokens
@@ -33,9 +31,7 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     last[ends[ends > 0] - 1] = True
     rules: list[np.ndarray] = []
     top = base
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:  # every round that finds a pair leaves fewer symbols
         pair = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
         drawer = _drawer(pair)
         drawer[last[:-1]] = DRAWERS  # a pair across the end of a document
@@ -126,12 +122,17 @@ def pack(doc_ids: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
     symbols, ends, rules, base = compress(ids, np.cumsum(counts))
     starts = np.concatenate([[0], ends[:-1]]).astype(np.uint32) if len(ends) else np.zeros(0, np.uint32)
     lengths = expansion_lengths(rules, base)
-    wide = base + len(rules) > 0xFFFF
+    planes = [np.packbits((symbols >> np.uint32(k) & np.uint32(1)).astype(np.uint8)) for k in _high(base, len(rules))]
     return b"".join([
         struct.pack(_HEAD, MAGIC, len(doc_ids), len(rules), base, len(symbols), len(ids)),
         rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(),
         doc_ids.astype("<i8").tobytes(), starts.astype("<u4").tobytes(), counts.astype("<u4").tobytes(),
-        symbols.astype("<u4" if wide else "<u2").tobytes()])
+        symbols.astype("<u2").tobytes(), *[plane.tobytes() for plane in planes]])
+
+
+def _high(base: int, rules: int) -> range:
+    """The bits above 16 that symbols can have."""
+    return range(16, max(base + rules - 1, 0).bit_length())
 
 
 class Shard:
@@ -152,7 +153,10 @@ class Shard:
         self.rules = take("<u4", 2 * rules).reshape(-1, 2)
         self.lengths = take("<u4", rules)
         self.doc_ids, self.starts, self.counts = take("<i8", docs), take("<u4", docs), take("<u4", docs)
-        self.symbols = take("<u4" if self.base + rules > 0xFFFF else "<u2", symbols)
+        self.symbols = take("<u2", symbols)
+        for k in _high(self.base, rules):
+            plane = np.unpackbits(take("u1", (symbols + 7) // 8), count=symbols)
+            self.symbols = self.symbols | plane.astype(np.uint32) << np.uint32(k)
         self.grammar = expansions(self.rules, self.base)
 
     def document(self, number: int) -> np.ndarray:

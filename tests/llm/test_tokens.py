@@ -39,6 +39,19 @@ def _shared(pieces):
     test_pieces_encode_like_the_library.pieces = pieces
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    """A long passage in many documents becomes one symbol."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 50_000, 300)
+    docs = [np.concatenate([rng.integers(0, 50_000, 40), passage, rng.integers(0, 50_000, 40)]) for _ in range(20)]
+    ids, ends = np.concatenate(docs).astype(np.uint32), np.cumsum([len(d) for d in docs])
+    symbols, ends_after, rules, base = repair.compress(ids, ends)
+    parts = np.split(symbols, ends_after[:-1])
+    assert all(len(part) == 81 for part in parts)
+    grammar = repair.expansions(rules, base)
+    assert all((repair.expand(part, grammar) == doc).all() for part, doc in zip(parts, docs, strict=True))
+
+
 @settings(deadline=None, max_examples=150)
 @given(st.lists(st.lists(st.sampled_from([0, 1, 2, 3, 70_000]), min_size=1, max_size=60), max_size=12), st.integers(1, 8))
 def test_repair_round_trip(docs, times):
