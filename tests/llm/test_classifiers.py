@@ -1,3 +1,4 @@
+import inspect
 import itertools
 
 import numpy as np
@@ -107,3 +108,11 @@ def test_empty_batch_of_features():
     batch = pa.RecordBatch.from_pydict({"text": pa.array([""]), "n_chars": pa.array([None], pa.float64())})
     (_, rows, _, feature, value), = quality_fm.features(batch)
     assert rows == 1 and len(feature) == 14 and np.isfinite(value).all()
+
+
+def test_toxicity_trains_on_6000_labelled_documents(spark):
+    """What `fit` takes at most by default, of a table with more labels."""
+    docs = spark.range(6_500).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    rows = inspect.signature(toxicity.fit).parameters["rows"].default
+    assert labelled_sample(docs, labels, "toxic", F.lit(True), rows).count() == 6_000
