@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselog.llm import line_spread, mixing, quality_fm, toxicity
+from caselog.llm.alignment import aligned_documents
 from caselog.llm.decontaminate import overlaps
 from caselog.llm.near_dup import near_duplicates
+from caselog.llm.packing import packed, piece_rows
 from caselog.llm.passages import repeated_passages
 from caselog.llm.quality_rules import fit_ratio, quality
 from caselog.llm.sampling import fold
 from caselog.llm.tables import sent_if_small
 from caselog.llm.tokens import read_tokens, write_tokens
 from caselog.llm.warc import read_records, write_archive
+from caselog.llm.whitening import whitened_rows
 from caselog.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +42,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model_path() -> str:
+    """The public sentencepiece model; the same file on all executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -128,3 +138,21 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Every document of the mixture, by epoch: half of all tokens, dealt by weight."""
     return mixing.mixed(_table(spark, folder, "documents")).drop("text_hash")
+
+
+@query()
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable embedding on up to 16 whitened components."""
+    return whitened_rows(_table(spark, folder, "embeddings"))
+
+
+@query()
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the groups and links between the tokens of two tokenizers."""
+    return aligned_documents(_table(spark, folder, "documents"), tokenizer_path(), piece_model_path())
+
+
+@query()
+def op13_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of a document in the packed sequences."""
+    return piece_rows(packed(_table(spark, folder, "documents"), tokenizer_path()))
