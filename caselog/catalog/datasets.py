@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from caselog.catalog.embedding import BINNED, DURATION_KEYS, TOKENS, VOCABULARY, duration_keyed
-from caselog.catalog.encoding import CATEGORIES, NUMBERS, vector_sql
-from caselog.catalog.registry import long, query
-from caselog.catalog.sql import CASES, EV, with_
-from caselog.log import case_profile, case_table
+from caselog.catalog.embedding import BINNED, DURATION_KEYS, FEATURE_KEYS, FEATURES, TOKENS, VOCABULARY, binned
+from caselog.catalog.encoding import CATEGORIES, CELLS, NUMBERS, vector_sql
+from caselog.catalog.registry import query
+from caselog.catalog.sql import BLANKS, CASES, EV, with_
+from caselog.log import case_table
 from caselog.operators import dataset as d
-from caselog.operators.embedding import dense, embedded, vocabulary_list
-from caselog.operators.encode import encoded_labels, fit_vectors
-from caselog.operators.sequence import step_vectors
+from caselog.plans.features import Inputs, assembled_cells, with_placeholder
 from caselog.sources.views import EVENTS, customer_cases, event_log
 
 
@@ -25,45 +25,56 @@ def first_non_null_case_table(spark, folder):
     return case_table(log, EVENTS, ["activity", "amount"]).withColumn("amount", F.round("amount", 6))
 
 
-@query("assemble_inputs", with_(*BINNED, DURATION_KEYS, TOKENS, VOCABULARY, CASES,
-                                vector_sql("ev", ["event_id"], CATEGORIES, NUMBERS, "<NO_DESC>", name="evec"),
-                                vector_sql("cases", ["case_id"], ["nation"], ["balance"], median=True, name="cvec"),
-                                """labels AS (
+def renamed(sql: str, suffix: str) -> str:
+    """The CTEs of an embedding under other names."""
+    return re.sub(r"\b(keyed|tokens|tf|idf|weights|spread|scores|embedded|vocab)\b", rf"\1{suffix}", sql)
+
+
+EVENT_WORDS = f"""words AS (
+  SELECT case_id, event_id, start_ts, place - 1 AS place, word FROM (
+    SELECT case_id, event_id, start_ts, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM (
+      SELECT case_id, event_id, start_ts, list_filter(string_split(lower(translate(activity,
+        '{BLANKS}' || chr(9) || chr(10), repeat(' ', {len(BLANKS) + 2}))), ' '), lambda w : w <> '') AS ws
+      FROM ev))),
+idx AS (
+  SELECT word, row_number() OVER (ORDER BY n DESC, first) AS word_id FROM (
+    SELECT word, count(*) AS n, min((case_id, start_ts, event_id, place)) AS first FROM words GROUP BY word))"""
+
+ASSEMBLED = with_(
+    *BINNED, DURATION_KEYS, TOKENS, VOCABULARY, renamed(FEATURE_KEYS, "_f"), renamed(TOKENS, "_f"), renamed(VOCABULARY, "_f"),
+    EVENT_WORDS, CASES, vector_sql("ev", ["event_id"], CATEGORIES, NUMBERS, "<NO_DESC>"), CELLS,
+    vector_sql("cases", ["case_id"], ["nation"], ["balance"], median=True, name="cvec"), """labels AS (
   SELECT result, row_number() OVER (ORDER BY result) - 1 AS label_id FROM (SELECT DISTINCT result FROM cases)),
 wanted AS (SELECT case_id, CAST(label_id AS INTEGER) AS label_id FROM cases JOIN labels USING (result)
   WHERE case_id IN (SELECT case_id FROM ev)),
-sums AS (
-  SELECT case_id, 'event' AS input, slot, sum(value) AS total FROM evec JOIN ev USING (event_id) GROUP BY 1, 2, 3
-  UNION ALL
-  SELECT case_id, 'duration', slot, sum(CASE WHEN embedded.key = vocab.key THEN score ELSE 0 END)
-  FROM embedded, vocab GROUP BY 1, 2, 3
-  UNION ALL
-  SELECT case_id, 'case', slot, value FROM cvec)""") + """
-SELECT case_id, label_id, input, CAST(slot AS BIGINT) AS slot, round(CAST(total AS DOUBLE), 4) AS total
-FROM sums JOIN wanted USING (case_id)""")
+widths AS (
+  SELECT (SELECT max(slot) + 1 FROM vectors) AS e, (SELECT count(*) FROM vocab) AS d, (SELECT count(*) FROM vocab_f) AS f,
+    (SELECT max(place) + 1 FROM words) AS t),
+all_cells AS (
+  SELECT case_id, 'event' AS input, slot, span, value FROM cells_ JOIN ev USING (event_id)
+  UNION ALL SELECT case_id, 'duration', e + slot, 1, score FROM embedded JOIN vocab USING (key), widths WHERE score <> 0
+  UNION ALL SELECT case_id, 'feature', e + d + slot, 1, score_f.score FROM embedded_f AS score_f JOIN vocab_f USING (key), widths WHERE score <> 0
+  UNION ALL SELECT case_id, 'text', e + d + f + place, 1, word_id FROM words JOIN idx USING (word), widths
+  UNION ALL SELECT case_id, 'case', e + d + f + t + slot, 1, value FROM cvec, widths
+    WHERE value <> 0 OR slot NOT IN (SELECT slot FROM cvec_onehot_slots))""") + """
+SELECT case_id, label_id, input, CAST(slot AS BIGINT) AS slot, CAST(span AS BIGINT) AS span, count(*) AS n,
+  round(CAST(sum(value) AS DOUBLE), 4) AS total
+FROM all_cells JOIN wanted USING (case_id) GROUP BY ALL"""
+
+
+def assembled(spark, folder):
+    events = with_placeholder(binned(spark, folder))
+    inputs = Inputs(CATEGORIES, NUMBERS, "bin", FEATURES, "activity", ["nation"], ["balance"])
+    return assembled_cells(events, customer_cases(spark, folder), EVENTS, "result", inputs)
+
+
+@query("assemble_inputs", ASSEMBLED)
 def assemble_inputs(spark, folder):
-    """All inputs joined by case; steps are shown summed per case and slot."""
-    log = event_log(spark, folder)
-    vectors = fit_vectors(log, CATEGORIES, NUMBERS, True, True)
-    keyed = duration_keyed(spark, folder)
-    inputs = {"event": vectors.vector(), "duration": dense(vocabulary_list(keyed))}
-    steps = step_vectors(embedded(keyed, EVENTS), EVENTS, inputs, case_profile(log, EVENTS))
-    cases = customer_cases(spark, folder)
-    attributes = fit_vectors(cases, ["nation"], ["balance"])
-    table = encoded_labels(cases, "result").select(
-        F.col("case_id").alias("case"), "label_id", attributes.vector().alias("features"))
-    joined = d.with_cases(steps, table, log.select(F.col("case_id").alias("case")))
-    labels = joined.cases.select("case", "label_id")
-
-    def labelled(column, name):
-        return F.transform(column, lambda x, i: F.struct(
-            F.lit(name).alias("input"), i.alias("slot"), x.cast("double").alias("value")))
-
-    both = F.concat(labelled("event", "event"), labelled("duration", "duration"))
-    rows = joined.steps.select("case", F.explode(both).alias("cell")).unionAll(joined.cases.select("case", F.explode(labelled("features", "case")).alias("cell")))
-    sums = rows.groupBy("case", "cell.input", "cell.slot").agg(F.round(F.sum("cell.value"), 4).alias("total"))
-    return sums.join(labels, "case").select(
-        F.col("case").alias("case_id"), "label_id", "input", long(F.col("slot"), "slot"), "total")
+    """Event, duration, feature, text and case inputs in one space of slots, by case; steps are shown counted and summed."""
+    ready = assembled(spark, folder)
+    sums = ready.cells.groupBy("case", "input", "slot", "span").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return sums.join(ready.labels.select("case", "label_id"), "case").withColumnRenamed("case", "case_id")
 
 
 QUOTAS = """sizes AS (SELECT result, count(*) AS n FROM cases GROUP BY result),

@@ -13,7 +13,7 @@ from caselog.catalog.embedding import (
     VOCABULARY,
     duration_keyed,
 )
-from caselog.catalog.encoding import CATEGORIES, NUMBERS, vector_sql
+from caselog.catalog.encoding import CATEGORIES, CELLS, NUMBERS, vector_sql
 from caselog.catalog.registry import cells, long, query
 from caselog.catalog.sql import CASES, EV, LI, TURNS, WORDS, float6, with_
 from caselog.operators import encode as c
@@ -274,15 +274,6 @@ def step_mask_inputs(spark, folder):
 # -- long forms, at any width ----------------------------------------------------------------------
 
 
-CELLS = """cells_ AS (
-  SELECT event_id, slot, 1 AS span, value FROM vectors
-  WHERE value <> 0 AND NOT (value = -1 AND slot IN (SELECT slot FROM vectors_onehot_slots))
-  UNION ALL SELECT event_id, slot, 1, value FROM vectors
-  WHERE value = 0 AND slot NOT IN (SELECT slot FROM vectors_onehot_slots)
-  UNION ALL SELECT event_id, min(slot), count(*), -1 FROM vectors JOIN vectors_onehot_slots USING (slot)
-  WHERE vectors.value = -1 GROUP BY event_id, block)"""
-
-
 @query("encode_events_cells", with_(EV, vector_sql("ev", ["event_id"], CATEGORIES, NUMBERS, "<NO_DESC>"), CELLS, """
 placed AS (SELECT case_id, event_id, row_number() OVER (PARTITION BY case_id ORDER BY start_ts, event_id) - 1 AS step FROM ev)""") + """
 SELECT case_id, step, slot, span, round(value, 6) AS value FROM cells_ JOIN placed USING (event_id)""")

@@ -43,6 +43,23 @@ def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+def split_sql(source: str, name: str, seed: int, share: float = 0.2) -> str:
+    """CTE `name` (case_id, part) of a stratified split of `source` (case_id, result)."""
+    return f"""{name}_sizes AS (SELECT result, count(*) AS n FROM {source} GROUP BY result),
+{name}_shares AS (
+  SELECT result, n * (t - CAST(ceil(t * CAST({share!r} AS DOUBLE)) AS BIGINT)) / CAST(t AS DOUBLE) AS share,
+    t - CAST(ceil(t * CAST({share!r} AS DOUBLE)) AS BIGINT) AS train_rows
+  FROM {name}_sizes, (SELECT count(*) AS t FROM {source})),
+{name}_quotas AS (
+  SELECT result, CAST(floor(share) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, result)
+    <= train_rows - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS train
+  FROM {name}_shares),
+{name} AS MATERIALIZED (
+  SELECT case_id, CASE WHEN row_number() OVER (PARTITION BY result ORDER BY md5('{seed}:' || CAST(case_id AS VARCHAR))) <= train
+    THEN 'train' ELSE 'test' END AS part
+  FROM {source} JOIN {name}_quotas USING (result))"""
+
+
 def quantile_shares(points: int) -> str:
     return ", ".join(f"CAST('{float(p)!r}' AS DOUBLE)" for p in np.linspace(0, 1, points))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from caselog.constants import BROADCAST_ROWS, DENSE_WIDTH, MISSING_TEXT, SMALL_ROWS
 from caselog.functions.columns import bin_key, concat_present, one_slot, pair_text, pair_tokens
 from caselog.log import EventLog, with_case
+from caselog.operators.lookup import Lookup, fit_lookup
 from caselog.operators.ordered import Ordered, Position
 from caselog.session import cut
 
@@ -132,6 +133,13 @@ def vocabulary(events: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return Ordered(keys, [], ["key"], keys.count(), limit).add(slot=Position()).result()
 
 
+def vocabulary_lookup(events: DataFrame, limit: int = SMALL_ROWS) -> Lookup:
+    """The vocabulary of a keyed log as a lookup of `key`, with `slot` and the number of events `n`."""
+    keys = cut(events.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
+    ranked = Ordered(keys, [], ["key"], keys.count(), limit).add(slot=Position()).result()
+    return fit_lookup(cut(ranked, "slots"), ["key"])
+
+
 def slotted(events: DataFrame, words: DataFrame) -> DataFrame:
     """Embedded events with the `slot` of their key: a sparse vector of one entry."""
     return events.join(words, "key", "left")

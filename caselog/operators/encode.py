@@ -13,10 +13,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from caselog.constants import BROADCAST_ROWS, DENSE_WIDTH, MISSING_NUMBER, MISSING_TEXT, SMALL_ROWS
 from caselog.functions.columns import missing_to_null, one_slot
 from caselog.operators.histogram import Histogram
+from caselog.operators.lookup import Lookup, row_bytes
 from caselog.operators.ordered import Ordered, Position
 from caselog.session import cut
 
@@ -217,31 +219,106 @@ def fit_vectors(df: DataFrame, categories: list[str], numbers: list[str],
     return Vectors(onehot, scale)
 
 
-def encoded_cells(df: DataFrame, keys: list[str], categories: list[str], numbers: list[str],
-                  mask_categories: bool = False, mask_numbers: bool = False, missing: str = MISSING_TEXT) -> DataFrame:
-    """(keys, slot, span, value): the vectors of `fit_vectors` in long form, for any number of categories.
+@dataclass(frozen=True)
+class CellFit:
+    """What the long form of the vectors needs, fitted in one pass over the rows.
+
+    `slots` is a lookup of (block, value) with slot, and first slot and width of the
+    column's block; None without categories.
+    """
+
+    categories: list[str]
+    missing: str | None
+    slots: Lookup | None
+    first_number: int
+    scale: MinMax
+
+    @property
+    def width(self) -> int:
+        return self.first_number + self.scale.width
+
+    def cells(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """(keys, slot, span, value): `value` fills `span` slots from `slot` on.
+
+        One slot, or a whole block of -1 where a masked category is missing. Slots
+        without a row are 0. An unknown category has no row.
+        """
+        parts = []
+        if self.slots is not None:
+            found = F.explode(F.array(*[
+                F.struct(F.lit(i).alias("block"), F.col(c).cast("string").alias("value"))
+                for i, c in enumerate(self.categories)]))
+            hits = self.slots.join(df.select(*keys, found.alias("cell")).select(*keys, "cell.block", "cell.value"))
+            masked = F.lit(False) if self.missing is None else F.col("value").eqNullSafe(F.lit(self.missing))
+            parts.append(hits.select(
+                *keys, F.when(masked, F.col("first")).otherwise(F.col("slot")).alias("slot"),
+                F.when(masked, F.col("width")).otherwise(F.lit(1)).cast("long").alias("span"),
+                F.when(masked, F.lit(MASKED)).otherwise(F.lit(1.0)).alias("value")))
+        if self.scale.low:
+            scaled = F.explode(F.array(*[
+                F.struct(F.lit(self.first_number + i).cast("long").alias("slot"), F.lit(1).cast("long").alias("span"),
+                         self.scale.scaled(c).cast("double").alias("value")) for i, c in enumerate(self.scale.low)]))
+            parts.append(df.select(*keys, scaled.alias("cell")).select(*keys, "cell.*"))
+        return reduce(DataFrame.unionByName, parts)
+
+    def is_valid(self) -> Column:
+        """Whether a row has any value but -1, from the raw columns."""
+        known = F.lit(False)
+        for c in self.categories:
+            known = known | (F.lit(True) if self.missing is None else ~F.col(c).cast("string").eqNullSafe(F.lit(self.missing)))
+        for c in self.scale.low:
+            known = known | (F.lit(True) if self.scale.fill is not None else missing_to_null(c).isNotNull())
+        return known
+
 
-    `value` fills `span` slots from `slot` on: one slot, or a whole block of -1 where a
-    masked category is missing. Slots without a row are 0.
+def fit_cells(df: DataFrame, categories: list[str], numbers: list[str], mask_categories: bool = False,
+              mask_numbers: bool = False, missing: str = MISSING_TEXT, limit: int = SMALL_ROWS) -> CellFit:
+    """Categories, ranges and, unless numbers are masked, value counts, all from one aggregate.
+
+    Categories are numbered as `category_slots` does. At least one column is needed.
     """
-    parts, offset = [], 0
+    nothing = F.lit(None)
+    parts = [F.struct(
+        F.lit(i).alias("block"), F.lit(c).alias("name"), F.col(c).cast("string").alias("value"),
+        (F.col(c) if isinstance(df.schema[c].dataType, NumericType) else nothing).cast("double").alias("number"),
+        nothing.cast("double").alias("amount")) for i, c in enumerate(categories)]
+    parts += [F.struct(
+        F.lit(-1).alias("block"), F.lit(c).alias("name"), nothing.cast("string").alias("value"),
+        (nothing.cast("double") if mask_numbers else missing_to_null(c)).alias("number"),
+        missing_to_null(c).alias("amount")) for c in numbers]
+    facts = cut(df.select(F.explode(F.array(*parts)).alias("cell")).select("cell.*").groupBy(
+        "block", "name", "value", "number").agg(
+        F.count(F.lit(1)).alias("n"), F.min("amount").alias("low"), F.max("amount").alias("high")), "facts")
+    # One row per column.
+    sizes = {r["name"] if r["block"] < 0 else r["block"]: r for r in facts.groupBy("block", "name").agg(
+        F.count(F.lit(1)).alias("width"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.sum(row_bytes(["value"])).alias("size")).collect()}
+    widths = [sizes[i]["width"] if i in sizes else 0 for i in range(len(categories))]
+    first = [sum(widths[:i]) for i in range(len(categories) + 1)]
+    fill = None
+    if not mask_numbers and numbers:
+        values = facts.filter("block < 0").select("name", F.col("number").alias("value"), "n")
+        medians = Histogram.counted(values, numbers, limit).quantiles({c: [0.5] for c in numbers})
+        fill = {c: (medians.get(c) or [None])[0] for c in numbers}
+    if not mask_numbers and not numbers:
+        fill = {}
+    low, high = ({c: sizes[c][k] if c in sizes else None for c in numbers} for k in ("low", "high"))
+    slots = None
     if categories:
-        slots = cut(category_slots(df, categories), "slots")
-        blocks = slots.groupBy("name").agg(F.min("slot").alias("first"), F.count(F.lit(1)).alias("width"))
-        hits = onehot_cells(df, keys, categories, slots, missing if mask_categories else None)
-        masked = F.col("cell") == MASKED
-        # One block per column: a handful of rows.
-        parts.append(hits.join(F.broadcast(blocks), "name").select(
-            *keys, F.when(masked, F.col("first")).otherwise(F.col("slot")).cast("long").alias("slot"),
-            F.when(masked, F.col("width")).otherwise(F.lit(1)).cast("long").alias("span"), F.col("cell").alias("value")))
-        offset = slots.count()
-    if numbers:
-        scale = fit_minmax(df, numbers) if mask_numbers else fit_median(df, numbers)
-        cells = F.explode(F.array(*[
-            F.struct(F.lit(offset + i).cast("long").alias("slot"), F.lit(1).cast("long").alias("span"),
-                     scale.scaled(c).cast("double").alias("value")) for i, c in enumerate(numbers)]))
-        parts.append(df.select(*keys, cells.alias("cell")).select(*keys, "cell.*"))
-    return reduce(DataFrame.unionByName, parts)
+        known = facts.filter("block >= 0").select("block", "value", "number", "n")
+        order = [F.col("value").isNull(), "number", "value"]
+        placed = Ordered(known, ["block"], order, max(widths), limit).add(place=Position()).result()
+        begin, width = (F.get(F.lit(x).cast("array<long>"), F.col("block")) for x in (first[:-1], widths))
+        table = cut(placed.select("block", "value", "n", (begin + F.col("place")).alias("slot"),
+                                  begin.alias("first"), width.alias("width")), "slots")
+        slots = Lookup(table, ["block", "value"], first[-1], sum(sizes[i]["size"] for i in sizes if isinstance(i, int)))
+    return CellFit(categories, missing if mask_categories else None, slots, first[-1], MinMax(low, high, fill))
+
+
+def encoded_cells(df: DataFrame, keys: list[str], categories: list[str], numbers: list[str],
+                  mask_categories: bool = False, mask_numbers: bool = False, missing: str = MISSING_TEXT) -> DataFrame:
+    """(keys, slot, span, value): the vectors of `fit_vectors` in long form, for any number of categories."""
+    return fit_cells(df, categories, numbers, mask_categories, mask_numbers, missing).cells(df, keys)
 
 
 # -- labels -----------------------------------------------------------------------------------

@@ -36,8 +36,6 @@ class Histogram:
             columns = [columns]
         if not isinstance(columns, dict):
             columns = {c: F.col(c) for c in columns}
-        self.names = list(columns)
-        self.limit = limit
         cells = F.explode(F.array(*[
             F.struct(F.lit(name).alias("name"), number_or_null(c).alias("value"))
             for name, c in columns.items()
@@ -46,7 +44,17 @@ class Histogram:
             df.select(cells.alias("cell")).select("cell.name", "cell.value")
             .groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
         )
-        self.rows = cut(counts)
+        self._hold(cut(counts), list(columns), limit)
+
+    @classmethod
+    def counted(cls, rows: DataFrame, names: list[str], limit: int = SMALL_ROWS) -> Histogram:
+        """Of stored counts (name, value, n)."""
+        made = cls.__new__(cls)
+        made._hold(rows, names, limit)
+        return made
+
+    def _hold(self, rows: DataFrame, names: list[str], limit: int) -> None:
+        self.rows, self.names, self.limit = rows, names, limit
         self.summaries = self._summaries()
         self._cumulative: DataFrame | None = None
 

@@ -1,23 +1,12 @@
-"""Outcome prediction with MLlib.
-
-Stands in for recurrent networks: a case's sequence is reduced to one vector, on
-which a linear classifier is trained. It is another model on the same inputs, so
-its scores are not those of a network.
-"""
+"""Dense vectors of cases, for classifiers that need them; `cells` has the same in long form."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from itertools import product
-
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselog.functions.columns import argmax
 from caselog.log import EventLog, with_case
 from caselog.operators.sequence import is_valid
 
@@ -56,44 +45,3 @@ def feature_vectors(flat: DataFrame, cases: DataFrame, extra: str = "features")
     joined = cases.join(flat, "case")
     parts = F.concat("mean", "last", F.array(F.col("len").cast("double")), F.col(extra))
     return joined.withColumn("input", array_to_vector(parts)).drop("mean", "last", "len")
-
-
-def fit_classifier(train: DataFrame, label_id: str = "label_id", strength: float = 0.01,
-                   mixing: float = 0.0, rounds: int = 20):
-    model = LogisticRegression(
-        featuresCol="input", labelCol=label_id, regParam=strength, elasticNetParam=mixing, maxIter=rounds)
-    return model.fit(train.withColumn(label_id, F.col(label_id).cast("double")))
-
-
-def scored(model, cases: DataFrame) -> DataFrame:
-    """`cases` with `probability` (array) and `pred`, the first largest class."""
-    out = model.transform(cases).withColumn("probability", vector_to_array("probability"))
-    return out.drop("rawPrediction", "prediction").withColumn("pred", argmax("probability"))
-
-
-@dataclass(frozen=True)
-class Trial:
-    strength: float
-    mixing: float
-    metric: float
-
-
-def tune_classifier(train: DataFrame, validation: DataFrame, label_id: str = "label_id",
-                    strengths: tuple[float, ...] = (0.001, 0.01, 0.1),
-                    mixings: tuple[float, ...] = (0.0, 0.5), metric: str = "weightedFMeasure",
-                    rounds: int = 20):
-    """Best model of a grid on a fixed validation part, and all trials in order.
-
-    `metric` is `accuracy` or `weightedFMeasure`; the first of equal trials wins.
-    """
-    evaluator = MulticlassClassificationEvaluator(
-        labelCol=label_id, predictionCol="prediction", metricName=metric)
-    held = validation.withColumn(label_id, F.col(label_id).cast("double"))
-    best, best_model, trials = None, None, []
-    for strength, mixing in product(strengths, mixings):
-        model = fit_classifier(train, label_id, strength, mixing, rounds)
-        trial = Trial(strength, mixing, evaluator.evaluate(model.transform(held)))
-        trials.append(trial)
-        if best is None or trial.metric > best.metric:
-            best, best_model = trial, model
-    return best_model, trials

@@ -1,4 +1,9 @@
-"""Outcome prediction from end to end: encode, embed, assemble, split, train, evaluate."""
+"""Outcome prediction from end to end: encode, embed, assemble, split, train, evaluate.
+
+Stands in for recurrent networks: a case's sequence is reduced to one sparse row, on
+which a softmax model is fitted. It is another model on the same inputs, so its scores are
+not those of a network.
+"""
 
 from __future__ import annotations
 
@@ -8,20 +13,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselog.log import EventLog
+from caselog.operators import linear
+from caselog.operators.cells import Directory, embedding_cells, flat_cells, sparse_rows
 from caselog.operators.dataset import fit_stratified
-from caselog.operators.embedding import dense
-from caselog.operators.encode import OneHot, fit_labels, fit_vectors, label_id
+from caselog.operators.embedding import vocabulary_lookup
+from caselog.operators.encode import fit_cells
 from caselog.operators.evaluate import classification_report, confusion_matrix
-from caselog.operators.predict import feature_vectors, fit_classifier, flat_cases, scored, tune_classifier
+from caselog.operators.sequence import with_steps
+from caselog.plans.labels import label_table
 from caselog.session import cut
 
+ROUNDS = 20
+
 
 @dataclass(frozen=True)
 class Prepared:
-    """(case, input, label_id, label, split), one row per case with events and a label."""
+    """`cases` (case, label, label_id, slots, values, split), stored, one row per case with events and a label.
+
+    `labels` (label, label_id) is a stored table, for any number of classes.
+    """
 
     cases: DataFrame
-    labels: OneHot
+    labels: DataFrame
+    slots: int
+    classes: int
 
     @property
     def train(self) -> DataFrame:
@@ -33,55 +48,77 @@ class Prepared:
 
     def tuning(self, share: float = 0.2, seed: int = 43) -> tuple[DataFrame, DataFrame]:
         """Parts of the training cases to fit and to choose on; the test cases stay out of the choice."""
-        part = fit_stratified(self.train, "case", "label", share, seed).apply(self.train, "part")
+        split = fit_stratified(self.train, "case", "label", share, seed).apply(self.train, "part")
+        part = cut(split, "tuning")
         return part.filter(F.col("part") == "train"), part.filter(F.col("part") == "test")
 
 
 def prepare(events: DataFrame, cases: DataFrame, log: EventLog, label: str,
             event_categories: list[str], event_numbers: list[str],
             case_categories: list[str], case_numbers: list[str],
-            keys: list[str] | None = None, test_share: float = 0.2, seed: int = 42) -> Prepared:
-    """Encode events and cases and join them by case.
+            embedding: bool = False, test_share: float = 0.2, seed: int = 42) -> Prepared:
+    """Encode events and cases in long form and join them by case, for any number of categories, keys and classes.
 
-    With `keys`, the vocabulary of an embedding, the events carry `key` and `score`,
-    which join the vector.
+    With `embedding`, the events carry the `key` and `score` of an embedding, which join the inputs.
     """
-    vectors = fit_vectors(events, event_categories, event_numbers, True, True)
-    vec, valid = vectors.vector(), vectors.is_valid()
-    if keys is not None:
-        # An embedded event has no -1 among its scores.
-        vec, valid = F.concat(vec, dense(keys)), F.lit(True)
-    flat = flat_cases(events.withColumn("vec", vec), log, "vec", valid)
-    labels = fit_labels(cases, label)
-    attributes = fit_vectors(cases, case_categories, case_numbers)
-    table = cases.filter(F.col(label).isNotNull()).select(
-        F.col(log.case).alias("case"), F.col(label).alias("label"),
-        label_id(labels).alias("label_id"), attributes.vector().alias("features"))
-    # Training reads the vectors many times; the log is read once.
-    joined = cut(feature_vectors(flat, table).drop("features"))
-    return Prepared(fit_stratified(joined, "case", "label", test_share, seed).apply(joined), labels)
-
-
-def predictions(scored_cases: DataFrame, labels: OneHot) -> DataFrame:
+    columns = dict.fromkeys([*event_categories, *event_numbers, *(["key", "score"] if embedding else [])])
+    stepped = cut(with_steps(events, log).select(F.col(log.case).alias("case"), "step", *columns), "stepped")
+    encoding = fit_cells(stepped, event_categories, event_numbers, True, True)
+    # An embedded event has no -1 among its scores.
+    valid = F.lit(True) if embedding else encoding.is_valid()
+    keys = ["case", "step", "valid"]
+    rows = stepped.withColumn("valid", valid)
+    inputs, widths = {"event": encoding.cells(rows, keys)}, {"event": encoding.width}
+    if embedding:
+        words = vocabulary_lookup(stepped)
+        inputs["embedding"] = embedding_cells(rows, keys, words)
+        widths["embedding"] = words.rows
+    directory = Directory(widths)
+    flat = flat_cells(stepped, directory.union(inputs, keys), valid)
+    known = cases.filter(F.col(label).isNotNull())
+    labels, classes = label_table(known, label)
+    attributes = fit_cells(cases, case_categories, case_numbers)
+    keyed = known.withColumn("case", F.col(log.case))
+    table = keyed.select("case", F.col(label).alias("label")).join(labels, "label")
+    joined, slots = sparse_rows(flat, directory.width, attributes.cells(keyed, ["case"]), table, attributes.width)
+    stored = cut(joined, "rows")
+    split = fit_stratified(stored, "case", "label", test_share, seed).apply(stored)
+    return Prepared(cut(split, "split"), labels, slots, classes)
+
+
+def predictions(scored_cases: DataFrame, labels: DataFrame) -> DataFrame:
     """(case, truth, pred, truth_id, probability) with label names."""
-    [names] = labels.categories.values()
-    name = F.get(F.lit(names), F.col("pred"))
-    return scored_cases.select(
-        "case", F.col("label").alias("truth"), name.alias("pred"), F.col("label_id").alias("truth_id"), "probability")
+    names = labels.select(F.col("label").alias("pred_label"), F.col("label_id").alias("pred"))
+    return scored_cases.join(names, "pred").select(
+        "case", F.col("label").alias("truth"), F.col("pred_label").alias("pred"), F.col("label_id").alias("truth_id"), "probability")
 
 
 @dataclass(frozen=True)
 class Evaluated:
-    model: object
+    model: linear.Model
     predictions: DataFrame
     confusion: DataFrame
     report: DataFrame
 
 
-def train_and_evaluate(prepared: Prepared, tune: bool = False, **options) -> Evaluated:
-    if tune:
-        model, _ = tune_classifier(*prepared.tuning(), **options)
-    else:
-        model = fit_classifier(prepared.train, **options)
-    result = predictions(scored(model, prepared.test), prepared.labels)
+def tune(prepared: Prepared, strengths: tuple[float, ...] = (0.001, 0.01, 0.1), mixings: tuple[float, ...] = (0.0, 0.5),
+         rounds: int = ROUNDS) -> DataFrame:
+    """All trials of a grid, fitted side by side on a part of the training cases and scored on the rest of them."""
+    fitted, held = prepared.tuning()
+    model = linear.fit(fitted, prepared.slots, prepared.classes, linear.grid(strengths, mixings), rounds)
+    return linear.trials(held, model)
+
+
+def best_setting(trials: DataFrame, metric: str = "weighted_f1") -> linear.Setting:
+    """The setting of the first trial with the largest metric."""
+    row = trials.orderBy(F.desc(metric), "trial").select("strength", "mixing").first()
+    return linear.Setting(row["strength"], row["mixing"])
+
+
+def train_and_evaluate(prepared: Prepared, tuned: bool = False, setting: linear.Setting = linear.Setting(),
+                       rounds: int = ROUNDS, **options) -> Evaluated:
+    if tuned:
+        setting = best_setting(tune(prepared, rounds=rounds, **options))
+    model = linear.fit(prepared.train, prepared.slots, prepared.classes, [setting], rounds)
+    result = predictions(linear.probabilities(prepared.test, model), prepared.labels)
     return Evaluated(model, result, confusion_matrix(result), classification_report(result))

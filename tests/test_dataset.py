@@ -148,7 +148,7 @@ def test_training_learns_a_visible_rule(spark):
     assert ready.cases.count() == 60 and ready.test.count() == 12
     done = outcome.train_and_evaluate(ready)
     assert v.accuracy(done.predictions).first()[0] == 1.0
-    tuned = outcome.train_and_evaluate(ready, tune=True, strengths=(0.01, 0.1), mixings=(0.0,), rounds=5)
+    tuned = outcome.train_and_evaluate(ready, tuned=True, strengths=(0.01, 0.1), mixings=(0.0,), rounds=5)
     probabilities = tuned.predictions.first()["probability"]
     assert sum(probabilities) == pytest.approx(1) and len(probabilities) == 2
 
