@@ -12,8 +12,6 @@ sequence whose length is a power of two has no padding; these few places are loo
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -68,35 +66,42 @@ def cheapest_cuts(at: np.ndarray, cost: np.ndarray, window: int) -> list[int]:
     sequence is taken.
     """
     n = len(at)
-    # The places a power of two behind each one.
-    near: list[list[int]] = [[] for _ in range(n)]
-    size = 1
+    # Pairs of places a power of two apart, in order of the later one.
+    pairs, size = [], 1
     while size <= window:
         if size < window or size & (size - 1) == 0:
             found = np.minimum(np.searchsorted(at, at - size), n - 1)
-            for j in np.flatnonzero(at[found] == at - size).tolist():
-                near[j].append(found[j])
+            later = np.flatnonzero(at[found] == at - size)
+            pairs.append(np.stack([later, found[later]]))
         size *= 2
-    places, price = at.tolist(), cost.tolist()
-    best, came = [0] * n, [0] * n
-    queue: deque[int] = deque()
-    key = [0] * n                       # best + place
+    later, earlier = np.concatenate(pairs, axis=1)
+    order = np.argsort(later, kind="stable")
+    later, earlier = [*later[order].tolist(), n], earlier[order].tolist()
+    places, price = at.tolist(), (cost + SEQUENCE_COST).tolist()
+    best, came, key = [0] * n, [0] * n, [0] * n   # key: best + place
+    queue, head, last = [0] * n, 0, 0             # places by rising key, of which queue[head:last] can be reached
+    pair, due = 0, later[0]
     for j in range(1, n):
         value = key[j - 1]
-        while queue and key[queue[-1]] > value:
-            queue.pop()
-        queue.append(j - 1)
+        while last > head and key[queue[last - 1]] > value:
+            last -= 1
+        queue[last] = j - 1
+        last += 1
         here = places[j]
-        while places[queue[0]] < here - window:
-            queue.popleft()
-        first = queue[0]
-        least = key[first] + window - here
-        for i in near[j]:
+        reach = here - window
+        while places[queue[head]] < reach:
+            head += 1
+        first = queue[head]
+        least = key[first] - reach
+        while due == j:
+            i = earlier[pair]
             if best[i] < least:
-                least, first = best[i], int(i)
-        best[j] = least + price[j] + SEQUENCE_COST
+                least, first = best[i], i
+            pair += 1
+            due = later[pair]
+        best[j] = least = least + price[j]
         came[j] = first
-        key[j] = best[j] + here
+        key[j] = least + here
     cuts = [n - 1]
     while cuts[-1]:
         cuts.append(came[cuts[-1]])
