@@ -184,15 +184,15 @@ FROM (SELECT case_id, step, slot, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v FROM
 def encode_events_concurrent(spark, folder):
     """Every step of every case, shown by its width, sum and slot-weighted sum."""
     log = line_log(spark, folder)
-    vectors = fit_vectors(log, LINE_CATEGORIES, LINE_NUMBERS, True, True)
-    rows = q.padded_stacked_log(log, LINES, vectors.width, vectors.vector(), False)
-    values = F.transform("vec", lambda x, i: x.cast("double") * (i + 1))
-
-    def added(array):
-        return F.round(F.aggregate(array, F.lit(0.0), lambda a, x: a + x), 5)
-
-    return rows.select(F.col("case").alias("case_id"), "step", F.size("vec").cast("long").alias("width"),
-                       added(F.col("vec").cast("array<double>")).alias("total"), added(values).alias("weighted"))
+    encoding = c.fit_cells(log, LINE_CATEGORIES, LINE_NUMBERS, True, True)
+    stacked = q.stacked_log(log, LINES)
+    rows = q.padded_stacked_cells(stacked, LINES, encoding, False)
+    # A span fills the slots slot..slot + span - 1; slots count from 1 in the weighted sum.
+    value = F.col("value").cast("float").cast("double")
+    weight = F.col("span") * (2 * F.col("slot") + F.col("span") + 1) / 2
+    return rows.groupBy(F.col("case").alias("case_id"), "step").agg(
+        F.lit(encoding.width * stacked.most).cast("long").alias("width"),
+        F.round(F.sum(value * F.col("span")), 5).alias("total"), F.round(F.sum(value * weight), 5).alias("weighted"))
 
 
 @query("encode_events_concurrent_eos", with_(EV, concurrent_sql(
@@ -240,6 +240,41 @@ def input_shapes(spark, folder):
     return q.input_shapes({n: q.Input(lengths, w) for n, w in widths.items()}, classes, features)
 
 
+PARTS = """lens AS (SELECT case_id, count(*) AS len FROM ev GROUP BY case_id),
+given AS (
+  SELECT 'event' AS input, case_id, len FROM lens
+  UNION ALL SELECT 'duration', case_id, len + CASE WHEN case_id % 40 = 1 THEN 1 ELSE 0 END FROM lens
+  UNION ALL SELECT 'text', case_id, len FROM lens WHERE case_id % 50 <> 0),
+most AS (SELECT case_id, max(len) AS most FROM given GROUP BY case_id)"""
+
+
+def parted_inputs(spark, folder):
+    """Three inputs from different tables: the second has one event more in some cases, the third lacks some."""
+    log = event_log(spark, folder).select("case_id", "start_ts", "event_id")
+    first = log.groupBy("case_id").agg(F.min("start_ts").alias("start_ts"), F.min("event_id").alias("event_id"))
+    logs = {"event": log, "duration": log.unionByName(first.filter("case_id % 40 = 1")), "text": log.filter("case_id % 50 <> 0")}
+    return {n: q.Input(q.log_lengths(part, EVENTS), 1) for n, part in logs.items()}
+
+
+@query("input_shapes_differ", with_(EV, PARTS) + """
+SELECT g.input, count(*) AS cases, max(g.len) AS steps, CAST(1 AS BIGINT) AS width,
+  NOT EXISTS (SELECT 1 FROM given a JOIN most USING (case_id) WHERE a.len < most.most) AND
+  (SELECT count(*) FROM given) = 3 * (SELECT count(*) FROM most) AS regular
+FROM given g GROUP BY g.input""")
+def input_shapes_differ(spark, folder):
+    """Shapes of inputs that do not fit together."""
+    return q.input_shapes(parted_inputs(spark, folder)).drop("classes", "case_features")
+
+
+@query("input_agreement", with_(EV, PARTS) + """
+SELECT i.input, count(g.len) AS cases, count(*) - count(g.len) AS missing, count(*) FILTER (g.len < most) AS shorter
+FROM (SELECT DISTINCT input FROM given) i CROSS JOIN most m LEFT JOIN given g ON g.input = i.input AND g.case_id = m.case_id
+GROUP BY i.input""")
+def input_agreement(spark, folder):
+    """Where they differ: cases an input lacks, and cases that are longer in another."""
+    return q.input_agreement(parted_inputs(spark, folder))
+
+
 REAL = """
 SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY %s) - 1 AS step, %s AS valid FROM %s"""
 

@@ -17,7 +17,6 @@ WORD_BLANKS = '!"#$%&()*+,-./:;<=>?@[\\]^`{|}~\t\n'
 SMALL_ROWS = 100_000          # rows one task may order
 CASE_ROWS = 2_000_000         # events of one case that one task may order
 DENSE_WIDTH = 4_096           # slots of a dense one-hot block or wide table
-BROADCAST_ROWS = 1_000_000    # rows of a lookup table that may be broadcast
-BROADCAST_BYTES = 32 << 20    # bytes of one, measured
+BROADCAST_BYTES = 32 << 20    # bytes of a lookup table that may be broadcast, measured
 HOT_SHARE = 1000              # a key of over this share of all rows is not gathered in one task
 CHUNK_STEPS = 10_000          # steps of a case kept in one row

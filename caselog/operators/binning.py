@@ -156,14 +156,14 @@ class TwoPhaseBinning:
         return [(int(a), int(b)) for a, b in zip(self.starts, ends)]
 
 
-def bin_starts(cumulative: DataFrame, pairs: list[tuple[int, int, int]],
-               hist: Histogram) -> DataFrame:
+def bin_starts(hist: Histogram, pairs: list[tuple[int, int, int]]) -> DataFrame:
     """(rank, t_cut, q_bins, value, before) of every bin start for every pair.
 
     With n long rows, boundary i of q is the element at position i*n div q. A value
     that fills positions [b, u) of the long rows is hit by some i exactly when
     ceil(b*q/n) < ceil(u*q/n), so each histogram row decides for itself and nothing
-    has to be sorted, joined or collected per pair. The largest value closes the
+    has to be sorted, joined or collected per pair. Of a long value table only the
+    elements at the boundaries are selected, at most `q_bins` a pair. The largest value closes the
     last bin and starts none.
     """
     t_cuts = sorted({t for t, _, _ in pairs})
@@ -174,6 +174,9 @@ def bin_starts(cumulative: DataFrame, pairs: list[tuple[int, int, int]],
     below = {t: below_all[f"t{i}"] for i, t in enumerate(t_cuts)}
     valid = hist.summary.valid
     live = [(t, q, rank) for t, q, rank in pairs if valid > below[t]]
+    if hist.long:
+        return _selected_starts(hist, live, below)
+    cumulative = hist.cumulative()
     if not live:
         live, below = [(t, q, rank) for t, q, rank in pairs], {t: valid - 1 for t in t_cuts}
         cumulative = cumulative.filter(F.lit(False))
@@ -189,12 +192,21 @@ def bin_starts(cumulative: DataFrame, pairs: list[tuple[int, int, int]],
     ).select("rank", "t_cut", "q_bins", "value", "before")
 
 
+def _selected_starts(hist: Histogram, pairs: list[tuple[int, int, int]], below: dict[int, int]) -> DataFrame:
+    name, s = hist.names[0], hist.summary
+    ranks = {(t, q): [below[t] + i * (s.valid - below[t]) // q for i in range(q)] for t, q, _ in pairs}
+    places = hist.places_at({name: [r for at in ranks.values() for r in at]}).get(name, {})
+    rows = [(rank, t, q, value, before) for t, q, rank in pairs
+            for value, before in sorted({(places[r].value, places[r].before) for r in ranks[t, q]}) if value < s.highest]
+    return hist.rows.sparkSession.createDataFrame(rows, "rank int, t_cut int, q_bins int, value double, before long")
+
+
 def fit_two_phase(hist: Histogram, t_cut: int, q_bins: int, single_bin: bool = False) -> TwoPhaseBinning:
     t_cut, q_bins = int(t_cut), int(q_bins)
     s = hist.summary
     if not s.valid or s.highest < t_cut:
         return TwoPhaseBinning(t_cut, (), None, single_bin)
-    rows = bin_starts(hist.cumulative(), [(t_cut, q_bins, 1)], hist).select("value").collect()
+    rows = bin_starts(hist, [(t_cut, q_bins, 1)]).select("value").collect()
     return TwoPhaseBinning(t_cut, tuple(sorted(r["value"] for r in rows)), s.highest, single_bin)
 
 
@@ -206,7 +218,7 @@ def two_phase_bins(df: DataFrame, duration: str, t_cut: int = 5, q_bins: int = 1
 
 def two_phase_ranges(hist: Histogram, t_cut: int, q_bins: int) -> DataFrame:
     """(position, lower, upper) of the quantile bins; at most `q_bins` rows."""
-    starts = bin_starts(hist.cumulative(), [(int(t_cut), int(q_bins), 1)], hist)
+    starts = bin_starts(hist, [(int(t_cut), int(q_bins), 1)])
     order = Window.orderBy("value")
     last = F.lit(hist.summary.highest).cast("double")
     return starts.select(

@@ -4,9 +4,6 @@ Each case is a document whose tokens are its events' `activity|key` pairs. The
 score of a token in a case is its L2-normalised TF-IDF, min-max scaled over all
 cases (a case without the token counts as 0). Only (case, token) pairs that
 occur are stored, so the size follows the log and not cases x vocabulary.
-
-A case or token that holds a large share of all pairs makes a large partition in
-the joins by case; Spark's adaptive skew join splits it.
 """
 
 from __future__ import annotations
@@ -14,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselog.constants import BROADCAST_ROWS, DENSE_WIDTH, MISSING_TEXT, SMALL_ROWS
+from caselog.constants import BROADCAST_BYTES, DENSE_WIDTH, MISSING_TEXT, SMALL_ROWS
 from caselog.functions.columns import bin_key, concat_present, one_slot, pair_text, pair_tokens
 from caselog.log import EventLog, with_case
-from caselog.operators.lookup import Lookup, fit_lookup
+from caselog.operators.lookup import Lookup, fit_lookup, row_bytes
 from caselog.operators.ordered import Ordered, Position
 from caselog.session import cut
 
@@ -62,20 +59,23 @@ def term_counts(events: DataFrame, log: EventLog) -> DataFrame:
 class TokenTable:
     """Term statistics of a keyed log, counted once and kept in the shared folder.
 
-    Tables with one row per token are broadcast while the vocabulary is small, so
-    the (case, token) table is shuffled by case only; a larger vocabulary takes
-    the shuffle join.
+    Tables with one row per token, and that of all scores, meet their rows as a `Lookup`: sent to all
+    executors while their measured bytes are small; beyond, only tokens that many rows hold are.
     """
 
-    def __init__(self, events: DataFrame, log: EventLog, broadcast_rows: int = BROADCAST_ROWS):
+    def __init__(self, events: DataFrame, log: EventLog, broadcast_bytes: int = BROADCAST_BYTES):
         counted = cut(term_counts(events, log))
+        self.limit = broadcast_bytes
         self.terms = counted.filter(F.col("token").isNotNull())
-        self.cases = counted.select("case").distinct().count()
+        row = counted.groupBy("case").agg(F.count("token").alias("rows"), F.sum(row_bytes(["token"])).alias("size")).agg(
+            F.count(F.lit(1)).alias("cases"), F.sum("rows").alias("rows"), F.sum("size").alias("size")).first()
+        self.cases, self.rows, self.bytes = row["cases"], row["rows"] or 0, row["size"] or 0
         self.vocabulary = cut(self.terms.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
-        self.small = self.vocabulary.count() <= broadcast_rows
+        self.words = fit_lookup(self.vocabulary.withColumnRenamed("df", "n"), ["token"], broadcast_bytes)
 
     def _by_token(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(F.broadcast(right) if self.small else right, "token")
+        """`right` has one row per token, with `n`, the number of rows in `left`."""
+        return Lookup(right, ["token"], self.words.rows, self.words.size, self.limit).join(left)
 
     def idf(self) -> DataFrame:
         """(token, df, cases, idf): ln((1 + N) / (1 + df)) + 1."""
@@ -86,7 +86,7 @@ class TokenTable:
 
     def weights(self) -> DataFrame:
         """(case, token, tf, tfidf): tf * idf with unit length per case."""
-        weighted = self._by_token(self.terms, self.idf().select("token", "idf")).select(
+        weighted = self._by_token(self.terms, self.idf().select("token", "idf", F.col("df").alias("n"))).select(
             "case", "token", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
         square = F.col("weight") * F.col("weight")
         length = weighted.groupBy("case").agg(F.sqrt(F.sum(square)).alias("length"))
@@ -99,23 +99,24 @@ class TokenTable:
         everywhere = F.count(F.lit(1)) >= F.lit(self.cases)
         spread = weights.groupBy("token").agg(
             F.when(everywhere, F.min("tfidf")).otherwise(F.lit(0.0)).alias("low"),
-            F.max("tfidf").alias("high"),
+            F.max("tfidf").alias("high"), F.count(F.lit(1)).alias("n"),
         )
         span = F.col("high") - F.col("low")
         score = (F.col("tfidf") - F.col("low")) / F.when(span < NO_RANGE, F.lit(1.0)).otherwise(span)
         return self._by_token(weights, spread).select("case", "token", "tf", "tfidf", score.alias("score"))
 
 
-def embedded(events: DataFrame, log: EventLog) -> DataFrame:
-    """The keyed log with each event's `score`; 0 where its pair is no token."""
-    scores = TokenTable(events, log).scores().select(
-        F.col("case").alias("__case"), F.col("token").alias("__token"), F.col("score").alias("__score"))
-    match = (F.col(log.case) == F.col("__case")) & (F.col("pair") == F.col("__token"))
-    return (
-        events.drop("tokens").join(scores, match, "left")
-        .withColumn("score", F.coalesce("__score", F.lit(0.0)))
-        .drop("__case", "__token", "__score")
-    )
+def embedded(events: DataFrame, log: EventLog, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The keyed log with each event's `score`; 0 where its pair is no token.
+
+    A (case, token) pair that many events hold is sent to where they are, so a case with a large
+    share of the log is not gathered in one task.
+    """
+    terms = TokenTable(events, log, broadcast_bytes)
+    scores = terms.scores().select(
+        F.col("case").alias(log.case), F.col("token").alias("pair"), F.col("score").alias("__score"), F.col("tf").alias("n"))
+    found = Lookup(scores, [log.case, "pair"], terms.rows, terms.bytes, broadcast_bytes).join(events.drop("tokens"), keep=True)
+    return found.withColumn("score", F.coalesce("__score", F.lit(0.0))).drop("__score")
 
 
 def duration_embedding(df: DataFrame, log: EventLog, bin_column: str = "bin", **options) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from caselog.constants import BROADCAST_ROWS, DENSE_WIDTH, MISSING_NUMBER, MISSING_TEXT, SMALL_ROWS
+from caselog.constants import BROADCAST_BYTES, DENSE_WIDTH, MISSING_NUMBER, MISSING_TEXT, SMALL_ROWS
 from caselog.functions.columns import missing_to_null, one_slot
 from caselog.operators.histogram import Histogram
 from caselog.operators.lookup import Lookup, row_bytes
@@ -103,13 +103,13 @@ def category_slots(df: DataFrame, columns: list[str], limit: int = SMALL_ROWS) -
 
 
 def onehot_cells(df: DataFrame, keys: list[str], columns: list[str], slots: DataFrame,
-                 missing: str | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                 missing: str | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(keys, name, slot, value) of the category each row has; -1 stands for a masked block."""
     cells = F.explode(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns
     ]))
     rows = df.select(*keys, cells.alias("cell")).select(*keys, "cell.*")
-    small = slots.count() <= broadcast_rows
+    small = slots.agg(F.coalesce(F.sum(row_bytes(["name", "value"])), F.lit(0))).first()[0] <= broadcast_bytes
     right = slots.select(F.col("name").alias("__name"), F.col("value").alias("__value"), "slot")
     match = (F.col("name") == F.col("__name")) & F.col("value").eqNullSafe(F.col("__value"))
     joined = rows.join(F.broadcast(right) if small else right, match)

@@ -7,16 +7,20 @@ the shared folder; all later questions read this much smaller table.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselog.constants import SMALL_ROWS
-from caselog.functions.columns import number_or_null
+from caselog.functions.columns import number_or_null, step_value
 from caselog.operators.ordered import Ordered, Total
 from caselog.session import cut
 
+BUCKETS = 4096   # of a range of values, counted at once
+RANGES = 64      # ordered at once, a task each
+
 
 @dataclass(frozen=True)
 class Summary:
@@ -27,6 +31,26 @@ class Summary:
     highest: float | None
 
 
+@dataclass(frozen=True)
+class Place:
+    """A value, and the rows below it and up to it."""
+
+    value: float
+    before: int
+    upto: int
+
+
+@dataclass(frozen=True)
+class _Range:
+    """Values of a column from `low` to `high`, the rows below them, and the wanted ranks among them."""
+
+    name: str
+    low: float
+    high: float
+    before: int
+    ranks: list[int]
+
+
 class Histogram:
     """Value counts (name, value, n) of one or more columns; null counts missing rows."""
 
@@ -94,24 +118,100 @@ class Histogram:
         """The `count` smallest distinct values of a single-column histogram."""
         return self.values.orderBy("value").limit(count)
 
+    @property
+    def long(self) -> bool:
+        """Whether a column has more distinct values than one task may order."""
+        return max((s.distinct for s in self.summaries.values()), default=0) > self.limit
+
     def values_at(self, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
         """Elements at 0-based sorted positions, by column."""
+        return {name: {r: p.value for r, p in found.items()} for name, found in self.places_at(ranks).items()}
+
+    def places_at(self, ranks: dict[str, list[int]]) -> dict[str, dict[int, Place]]:
+        """The value at each 0-based sorted position, and the rows below and up to it, by column."""
         wanted = {name: sorted(set(r)) for name, r in ranks.items() if r}
         if not wanted:
             return {}
-        cumulative = self.cumulative()
+        spans = [self.summaries[n].highest - self.summaries[n].lowest for n in wanted]
+        # Ranges that have no width as a number cannot be cut.
+        return self._selected(wanted) if self.long and all(map(math.isfinite, spans)) else self._looked_up(wanted)
+
+    def _looked_up(self, wanted: dict[str, list[int]]) -> dict[str, dict[int, Place]]:
         hits = None
         for name, positions in wanted.items():
             asked = F.expr("array(" + ", ".join(f"{p}L" for p in positions) + ")")
             inside = F.filter(asked, lambda p: (p >= F.col("before")) & (p < F.col("upto")))
             here = F.when(F.col("name") == name, inside)
             hits = here if hits is None else F.coalesce(hits, here)
-        found = cumulative.select("name", "value", F.explode(hits).alias("position")).collect()
-        result: dict[str, dict[int, float]] = {name: {} for name in wanted}
+        found = self.cumulative().select("name", "value", "before", "upto", F.explode(hits).alias("position")).collect()
+        result: dict[str, dict[int, Place]] = {name: {} for name in wanted}
         for row in found:
-            result[row["name"]][row["position"]] = row["value"]
+            result[row["name"]][row["position"]] = Place(row["value"], row["before"], row["upto"])
         return result
 
+    def _selected(self, wanted: dict[str, list[int]]) -> dict[str, dict[int, Place]]:
+        """Selection by buckets: the value table is counted, never sorted or shuffled whole.
+
+        A range of values is cut into equal buckets, whose counts come to the
+        driver (`BUCKETS` a range). Of each bucket that holds a wanted rank, only its own
+        values are looked at next: cut again while there are too many, else ordered.
+        """
+        result: dict[str, dict[int, Place]] = {name: {} for name in wanted}
+        open_ranges: list[_Range] = []
+        short: list[_Range] = []
+        for name, ranks in wanted.items():
+            s = self.summaries[name]
+            if s.lowest == s.highest:
+                result[name] = dict.fromkeys(ranks, Place(s.lowest, 0, s.valid))
+            else:
+                (short if s.distinct <= self.limit else open_ranges).append(_Range(name, s.lowest, s.highest, 0, ranks))
+        while open_ranges:
+            found: dict[int, list] = {}
+            part = F.floor((F.col("value") - F.col("low")) / F.col("width") * BUCKETS).cast("int")
+            counted = self._inside(open_ranges).groupBy("at", F.least(part, F.lit(BUCKETS - 1)).alias("bucket")).agg(
+                F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct"), F.min("value").alias("low"),
+                F.max("value").alias("high"))
+            for row in counted.collect():
+                found.setdefault(row["at"], []).append(row)
+            later = []
+            for at, buckets in found.items():
+                given = open_ranges[at]
+                before = given.before
+                for b in sorted(buckets, key=lambda r: r["low"]):
+                    ranks = [r for r in given.ranks if before <= r < before + b["rows"]]
+                    if ranks and b["low"] == b["high"]:
+                        place = Place(b["low"], before, before + b["rows"])
+                        result[given.name] |= dict.fromkeys(ranks, place)
+                    elif ranks:
+                        (short if b["distinct"] <= self.limit else later).append(
+                            _Range(given.name, b["low"], b["high"], before, ranks))
+                    before += b["rows"]
+            open_ranges = later
+        for at in range(0, len(short), RANGES):
+            self._ordered_ranges(short[at:at + RANGES], result)
+        return result
+
+    def _inside(self, ranges: list[_Range]) -> DataFrame:
+        """The values inside one of the ranges (which share none), with `at`, its number, and `low` and `width`."""
+        at = None
+        for name in {r.name for r in ranges}:
+            own = sorted((r.low, k) for k, r in enumerate(ranges) if r.name == name)
+            here = F.when(F.col("name") == name, step_value(F.col("value"), [low for low, _ in own], [k for _, k in own]))
+            at = here if at is None else F.coalesce(at, here)
+        low, high = (F.get(F.lit([float(getattr(r, k)) for r in ranges]), F.col("at")) for k in ("low", "high"))
+        rows = self.values.withColumn("at", at).withColumn("low", low).withColumn("high", high)
+        return rows.filter(F.col("value") <= F.col("high")).withColumn("width", F.col("high") - F.col("low"))
+
+    def _ordered_ranges(self, ranges: list[_Range], result: dict[str, dict[int, Place]]) -> None:
+        so_far = Window.partitionBy("at").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = F.get(F.lit([r.before for r in ranges]).cast("array<long>"), F.col("at"))
+        rows = self._inside(ranges).withColumn("upto", before + F.sum("n").over(so_far))
+        asked = F.get(F.array(*[F.lit(r.ranks).cast("array<long>") for r in ranges]), F.col("at"))
+        hits = F.filter(asked, lambda p: (p >= F.col("upto") - F.col("n")) & (p < F.col("upto")))
+        found = rows.select("at", "value", "n", "upto", F.explode(hits).alias("position"))
+        for row in found.collect():
+            result[ranges[row["at"]].name][row["position"]] = Place(row["value"], row["upto"] - row["n"], row["upto"])
+
     def quantiles(self, shares: dict[str, list[float]],
                   skip: dict[str, int] | None = None) -> dict[str, list[float]]:
         """Linearly interpolated quantiles, exact, by column.

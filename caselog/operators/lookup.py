@@ -32,15 +32,19 @@ class Lookup:
     size: int
     limit: int = BROADCAST_BYTES
 
-    def join(self, rows: DataFrame) -> DataFrame:
-        """`rows` that have a row in the table, with its other columns but `n`. Null equals null."""
+    def join(self, rows: DataFrame, keep: bool = False) -> DataFrame:
+        """`rows` that have a row in the table, with its other columns but `n`. Null equals null.
+
+        With `keep`, rows without one stay, with nulls.
+        """
+        how = "left" if keep else "inner"
         if self.size <= self.limit:
-            return self._matched(rows, F.broadcast(self.table))
+            return self._matched(rows, F.broadcast(self.table), how)
         total = self.table.agg(F.sum("n")).scalar()
         hot = F.broadcast(self.table.filter(F.col("n") * HOT_SHARE > total))
         cold = self.table.filter(F.col("n") * HOT_SHARE <= total)
         others = rows.join(self._renamed(hot), self._match(rows), "left_anti")
-        return self._matched(rows, hot).unionByName(self._matched(others, cold))
+        return self._matched(rows, hot, "inner").unionByName(self._matched(others, cold, how))
 
     def _renamed(self, table: DataFrame) -> DataFrame:
         return table.withColumnsRenamed({k: f"__key_{k}" for k in self.keys})
@@ -51,8 +55,8 @@ class Lookup:
             found = found & F.col(k).eqNullSafe(F.col(f"__key_{k}"))
         return found
 
-    def _matched(self, rows: DataFrame, table: DataFrame) -> DataFrame:
-        return rows.join(self._renamed(table.drop("n")), self._match(rows)).drop(*[f"__key_{k}" for k in self.keys])
+    def _matched(self, rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        return rows.join(self._renamed(table.drop("n")), self._match(rows), how).drop(*[f"__key_{k}" for k in self.keys])
 
 
 def fit_lookup(table: DataFrame, keys: list[str], limit: int = BROADCAST_BYTES) -> Lookup:

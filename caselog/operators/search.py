@@ -60,15 +60,28 @@ def small_values(hist: Histogram) -> DataFrame:
     )
 
 
+def _passing(hist: Histogram) -> DataFrame:
+    """(value): the first value at which the share of rows reaches each threshold."""
+    name, rows = hist.names[0], hist.summary.total
+    if not hist.long:
+        percent = F.col("upto") / F.lit(rows) * 100
+        return hist.cumulative().agg(F.array(*[
+            F.min(F.when(percent >= t, F.col("value"))) for t in SHARE_THRESHOLDS
+        ]).alias("values")).select(F.explode("values").alias("value"))
+    ranks = []
+    for t in SHARE_THRESHOLDS:
+        least = max(1, int(t * rows / 100) - 2)   # the same comparison of doubles, near its border
+        while least / rows * 100 < t:
+            least += 1
+        ranks.append(least - 1)
+    places = hist.places_at({name: [r for r in ranks if r < hist.summary.valid]}).get(name, {})
+    return hist.rows.sparkSession.createDataFrame(sorted({(p.value,) for p in places.values()}), "value double")
+
+
 def t_cut_candidates(hist: Histogram) -> DataFrame:
     """(t_cut) distinct, inside the admitted range; at most 24 rows."""
     total = F.lit(hist.summary.total)
-    cumulative = hist.cumulative()
-    percent = F.col("upto") / total * 100
-    passed = cumulative.agg(F.array(*[
-        F.min(F.when(percent >= t, F.col("value"))) for t in SHARE_THRESHOLDS
-    ]).alias("values")).select(F.explode("values").alias("value"))
-    by_share = passed.filter(F.col("value") <= LARGEST_SHARE_VALUE).select(
+    by_share = _passing(hist).filter(F.col("value") <= LARGEST_SHARE_VALUE).select(
         (F.col("value") + 1).alias("value"))
 
     frequent = hist.values.filter(F.col("n") >= total * FREQUENT_SHARE)
@@ -153,7 +166,7 @@ def pair_scores(hist: Histogram, pairs: list[tuple[int, int, int]]) -> DataFrame
     A bin's size is the difference of the row counts below its start and below the
     next start, so scoring needs only the bin starts.
     """
-    starts = bin_starts(hist.cumulative(), pairs, hist)
+    starts = bin_starts(hist, pairs)
     order = Window.partitionBy("rank").orderBy("value")
     rows = F.coalesce(F.lead("before").over(order), F.lit(hist.summary.valid)) - F.col("before")
     bins = (

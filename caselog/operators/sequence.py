@@ -178,6 +178,51 @@ def stacked_cells(df: DataFrame, log: EventLog, cells: DataFrame, width: int, ke
         "case", "step", (F.col("place") * width + F.col("slot")).alias("slot"), "span", "value")
 
 
+@dataclass(frozen=True)
+class Stacked:
+    """Stored `events` with step and place, `steps` (case, step, places), and `lengths` (case, len) in steps."""
+
+    events: DataFrame
+    steps: DataFrame
+    lengths: DataFrame
+    most: int
+    longest: int
+
+
+def stacked_log(df: DataFrame, log: EventLog, profile: CaseProfile | None = None, limit: int = CASE_ROWS) -> Stacked:
+    """The log ordered once, simultaneous events in one step, with the sizes that padding follows from."""
+    events = cut(stacked_events(df, log, profile, limit), "stacked")
+    steps = cut(events.groupBy(F.col(log.case).alias("case"), "step").agg(F.count(F.lit(1)).alias("places")), "steps")
+    lengths = cut(steps.groupBy("case").agg(F.count(F.lit(1)).alias("len")), "lengths")
+    most = steps.agg(F.max("places")).first()[0] or 1
+    return Stacked(events, steps, lengths, most, lengths.agg(F.max("len")).first()[0] or 0)
+
+
+def padded_stacked_cells(stacked: Stacked, log: EventLog, encoding, eos: bool = True) -> DataFrame:
+    """(case, step, slot, span, value): the padded stacked sequences in long form, for any number of events a step.
+
+    `encoding` makes the cells of the events (`fit_cells`). Missing places of a step are one
+    span of -1, a padding step is a single span, and the closing step, all 0, is a
+    span of 0. Slots without a row are 0. No array as wide as a step is formed.
+    """
+    width, value = encoding.width, F.lit(PAD_NUMBER)
+    keys = [log.case, "step", "place"]
+    cells = encoding.cells(stacked.events, keys).select(
+        F.col(log.case).alias("case"), "step", (F.col("place") * width + F.col("slot")).alias("slot"), "span", "value")
+    free = stacked.steps.filter(F.col("places") < stacked.most).select(
+        "case", "step", (F.col("places") * width).cast("long").alias("slot"),
+        ((F.lit(stacked.most) - F.col("places")) * width).cast("long").alias("span"), value.alias("value"))
+    whole = F.lit(stacked.most * width).cast("long").alias("span")
+    filled = stacked.lengths.withColumn("len", F.col("len") + int(eos))
+    blank = pad_steps(filled, 0, stacked.longest + int(eos)).select(
+        "case", "step", F.lit(0).cast("long").alias("slot"), whole, value.alias("value"))
+    rows = cells.unionByName(free).unionByName(blank)
+    if eos:
+        rows = rows.unionByName(stacked.lengths.select(
+            "case", F.col("len").alias("step"), F.lit(0).cast("long").alias("slot"), whole, F.lit(0.0).alias("value")))
+    return rows
+
+
 def _side_by_side(events: DataFrame, log: EventLog, width: int, most: int, vec: Column | str) -> DataFrame:
     joined = F.flatten(F.transform("items", lambda i: i["vec"]))
     missing = F.array_repeat(F.lit(PAD_NUMBER).cast("float"), F.lit(width) * (F.lit(most) - F.size("items")))
@@ -215,23 +260,54 @@ class Input:
     eos: bool = False
 
 
+def _case_mark() -> Column:
+    """A hash of a case and its length; equal sums over equal sets of cases."""
+    return F.xxhash64(F.col("case").cast("string"), F.col("len").cast("long"))
+
+
 def input_shapes(inputs: dict[str, Input], classes: int | None = None, case_features: int | None = None) -> DataFrame:
     """One row per input: (input, cases, steps, width, regular, classes, case_features).
 
     A padded input has as many steps as its longest case, and one more with a
-    closing step. `regular` says that all inputs agree in cases and steps.
+    closing step. `regular` says that all inputs agree in cases, in the length of each
+    case, and in steps: a fingerprint over (case, length) of every input, mergeable like
+    a sum, is compared, so inputs may come from different tables. `input_agreement` tells where they differ.
     """
     rows = None
     for name, given in inputs.items():
         own = given.lengths.agg(
             F.count(F.lit(1)).alias("cases"), (F.coalesce(F.max("len"), F.lit(0)) + int(given.eos)).cast("long").alias("steps"),
-        ).select(F.lit(name).alias("input"), "cases", "steps", F.lit(given.width).cast("long").alias("width"))
+            F.coalesce(F.sum(_case_mark().cast("decimal(38,0)")), F.lit(0)).alias("mark"),
+            F.coalesce(F.bit_xor(_case_mark()), F.lit(0)).alias("cross"),
+        ).select(F.lit(name).alias("input"), "cases", "steps", F.lit(given.width).cast("long").alias("width"), "mark", "cross")
         rows = own if rows is None else rows.unionAll(own)
     everything = Window.partitionBy()
-    regular = (F.min("cases").over(everything) == F.max("cases").over(everything)) & (
-        F.min("steps").over(everything) == F.max("steps").over(everything))
+    regular = F.lit(True)
+    for fact in ("cases", "steps", "mark", "cross"):
+        regular = regular & (F.min(fact).over(everything) == F.max(fact).over(everything))
     return rows.select("*", regular.alias("regular"), F.lit(classes).cast("long").alias("classes"),
-                       F.lit(case_features).cast("long").alias("case_features"))
+                       F.lit(case_features).cast("long").alias("case_features")).drop("mark", "cross")
+
+
+def input_agreement(inputs: dict[str, Input]) -> DataFrame:
+    """One row per input: (input, cases, missing, shorter).
+
+    `missing` counts the cases that other inputs have and this one has not, `shorter`
+    those that are longer in another input. All inputs meet by case once.
+    """
+    names = list(inputs)
+    rows = None
+    for k, name in enumerate(names):
+        own = inputs[name].lengths.select("case", F.lit(k).alias("k"), F.col("len").cast("long").alias("len"))
+        rows = own if rows is None else rows.unionByName(own)
+    per_case = rows.groupBy("case").agg(
+        F.max("len").alias("most"), *[F.max(F.when(F.col("k") == k, F.col("len"))).alias(f"len{k}") for k in range(len(names))])
+    facts = per_case.agg(*[
+        F.struct(F.count(f"len{k}").alias("cases"), F.count(F.when(F.col(f"len{k}").isNull(), 1)).alias("missing"),
+                 F.count(F.when(F.col(f"len{k}") < F.col("most"), 1)).alias("shorter")).alias(f"f{k}") for k in range(len(names))])
+    return facts.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("input"), *[F.col(f"f{k}.{c}").alias(c) for c in ("cases", "missing", "shorter")])
+        for k, name in enumerate(names)])).alias("r")).select("r.*")
 
 
 def real_step_mask(df: DataFrame, log: EventLog, known: dict[str, Column], profile: CaseProfile | None = None,

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselog.constants import BROADCAST_ROWS, CASE_ROWS, PAD_WORD, SMALL_ROWS
+from caselog.constants import BROADCAST_BYTES, CASE_ROWS, PAD_WORD, SMALL_ROWS
 from caselog.functions.columns import word_tokens
 from caselog.log import CaseProfile, EventLog, case_profile, with_case
+from caselog.operators.lookup import Lookup, row_bytes
 from caselog.operators.ordered import Ordered, Position
 from caselog.operators.sequence import log_lengths, pad_steps, with_steps
 from caselog.session import cut
@@ -24,13 +25,14 @@ class WordIndex:
     """Words numbered from 1 by falling count, the one seen first before on ties."""
 
     def __init__(self, df: DataFrame, log: EventLog, text: str, limit: int = SMALL_ROWS,
-                 broadcast_rows: int = BROADCAST_ROWS):
+                 broadcast_bytes: int = BROADCAST_BYTES):
         counts = cut(word_counts(df, log, text))
-        self.words = counts.count()
+        row = counts.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes(["word"])), F.lit(0)).alias("size")).first()
+        self.words = row["rows"]
         ranked = Ordered(counts, [], [F.desc("n"), "first"], self.words, limit)
         self.table = ranked.add(place=Position()).result().select(
             "word", "n", (F.col("place") + 1).alias("word_id"))
-        self.small = self.words <= broadcast_rows
+        self.lookup = Lookup(self.table, ["word"], self.words, row["size"], broadcast_bytes)
 
     @property
     def size(self) -> int:
@@ -38,10 +40,9 @@ class WordIndex:
         return self.words + 1
 
     def ids(self, words: DataFrame) -> DataFrame:
-        """`words` with their `word_id`; frequent words split over tasks, as the index
-        is broadcast while it is small, and by the adaptive skew join beyond that."""
-        index = self.table.select("word", "word_id")
-        return words.join(F.broadcast(index) if self.small else index, "word")
+        """`words` with their `word_id`. While the index is small in bytes it is sent to all
+        executors; beyond, only frequent words are, whose rows stay where they are."""
+        return self.lookup.join(words)
 
 
 def text_steps(df: DataFrame, log: EventLog, text: str, index: WordIndex,
