@@ -3,65 +3,119 @@
 A unit is a word with the blanks before it (or the blanks that end a text), a plain
 slice of the column's bytes. Both kinds of tokenizer offered here never join a visible
 character to a blank after it, so the ids of a text are those of its units in a row;
-where that is not certain, the whole text is one unit. Units are told apart by Arrow's
-dictionary encoding, only new ones are encoded, and ids are gathered by numpy: no work
-in Python is done per word of a text. Tests compare the ids with those of plain encoding by
-the tokenizer's own library.
+where that is not certain, the whole text is one unit. Units are told apart and looked up by
+Arrow, new ones are encoded together, one on each line, and ids are gathered by numpy: no
+work in Python is done per word. Tests compare the ids with those of plain encoding by the
+tokenizer's own library.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from caselog.llm.arrays import blocks
+from caselog.llm.arrays import _BLANK, blocks
 
 BLOCK_BYTES = 4 << 20     # texts worked on at once; a single longer text makes a longer block
-MOST_UNITS = 300_000      # remembered; beyond, those that have not come up again lately are forgotten
-LONG_UNIT = 64            # characters; longer ones are not remembered
+LINE_BYTES = 1 << 18      # new units encoded at once
+MOST_UNITS = 400_000      # remembered; beyond, those that have not come up for longest are forgotten
+LONG_UNIT = 64            # bytes; longer ones are not remembered
 
 #: A text that holds one of these is one unit: blanks beyond ASCII are visible bytes
 #: to the cuts but not to the pattern of a byte-level tokenizer, and word pieces may hold a carriage return.
 WHOLE = r"[\r\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-def _packed(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
+
+def _bytes_of(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Data and bounds of a large string column."""
+    bounds = np.frombuffer(units.buffers()[1], dtype=np.int64)[units.offset:units.offset + len(units) + 1]
+    raw = units.buffers()[2]
+    return (np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)), bounds
 
 
 class Units:
-    """`learn` maps new units to their ids as little-endian 32-bit numbers; `tokens` lists each id's bytes."""
-
-    def __init__(self, learn: Callable[[list[str], Units], list[bytes]], tokens: Callable[[], list[bytes]],
-                 certain: bool, whole: str = WHOLE):
-        self.learn, self.tokens, self.certain, self.whole = learn, tokens, certain, whole
-        self.recent: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def look_up(self, units: list[str]) -> list[bytes]:
-        """The ids of each unit, learnt where they are not remembered."""
-        recent, before = self.recent, self.before
-        if len(recent) > MOST_UNITS // 2:
-            before, recent = recent, {}
-            self.recent, self.before = recent, before
-        found = [recent.get(u) for u in units]
-        if before:
-            for k, ids in enumerate(found):
-                if ids is None and (ids := before.get(units[k])) is not None:
-                    found[k] = recent[units[k]] = ids
-        new = [k for k, ids in enumerate(found) if ids is None]
-        if new:
-            names = [units[k] for k in new]
-            for k, unit, ids in zip(new, names, self.learn(names, self), strict=True):
-                found[k] = ids
-                if len(unit) <= LONG_UNIT:
-                    recent[unit] = ids
-        return found
+    """`together` gives the ids of a text that begins with a line break, whose id is `line`; `alone` those of any text.
+
+    `tokens` lists each id's bytes. Without `certain`, every text is one unit.
+    """
+
+    def __init__(self, together: Callable[[str], list[int]], alone: Callable[[str], list[int]], line: int,
+                 tokens: Callable[[], list[bytes]], certain: bool, whole: str = WHOLE):
+        self.together, self.alone, self.line, self.tokens = together, alone, line, tokens
+        self.certain, self.whole = certain, whole
+        self.forget()
+
+    def forget(self) -> None:
+        self.names = pa.array([], pa.large_string())
+        self.ids = np.zeros(0, dtype="<u4")
+        self.begin = self.size = self.age = np.zeros(0, dtype=np.int64)
+
+    def _learnt(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new units, one after the other, and their numbers."""
+        data, bounds = _bytes_of(units)
+        blanks = np.append(0, np.cumsum(_BLANK[data[bounds[0]:bounds[-1]]]))[bounds - bounds[0]]
+        first = data[bounds[:-1]]
+        # A single blank or line break and a word: between line breaks the ids are the unit's own.
+        plain = (np.diff(blanks) == 1) & (np.diff(bounds) > 1) & ((first == 0x20) | (first == 0x0A)) & self.certain
+        plain &= ~pc.match_substring_regex(units, self.whole).to_numpy(zero_copy_only=False)
+        spaced = first[plain] == 0x20
+        lines = pc.binary_join_element_wise(
+            pc.if_else(pa.array(spaced), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())),
+            units.filter(pa.array(plain)), pa.scalar("", pa.large_string()))
+        size, parts = np.zeros(len(units), dtype=np.int64), []
+        text, ends = _bytes_of(lines)
+        at, sizes = 0, []
+        while at < len(lines):
+            last = max(at + 1, int(np.searchsorted(ends, ends[at] + LINE_BYTES, side="right")) - 1)
+            ids = np.array(self.together(text[ends[at]:ends[last]].tobytes().decode()), dtype="<u4")
+            marks = np.flatnonzero(ids == self.line)
+            drop = spaced[at:last]  # the line break is no part of these
+            sizes.append(np.diff(np.append(marks, len(ids))) - drop)
+            parts.append(np.delete(ids, marks[drop]))
+            at = last
+        size[plain] = np.concatenate(sizes) if sizes else 0
+        others = np.flatnonzero(~plain)
+        if not len(others):
+            return (np.concatenate(parts) if parts else self.ids[:0]), size
+        found = [np.array(self.alone(u), dtype="<u4") for u in units.take(pa.array(others)).to_pylist()]
+        size[others] = [len(f) for f in found]
+        ids = np.empty(int(size.sum()), dtype="<u4")
+        own = np.repeat(plain, size)
+        ids[own] = np.concatenate(parts) if parts else ids[:0]
+        ids[~own] = np.concatenate(found)
+        return ids, size
+
+    def _look_up(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begin, size): unit k has `ids[begin[k]:begin[k] + size[k]]`; new ones are learnt and remembered."""
+        at = pc.fill_null(pc.index_in(units, self.names), -1).to_numpy()
+        new = at < 0
+        fresh = units.filter(pa.array(new))
+        more, count = self._learnt(fresh)
+        begin, size = self.begin[at] if len(self.begin) else np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        size[~new] = self.size[at[~new]]
+        begin[new], size[new] = len(self.ids) + np.cumsum(count) - count, count
+        ids = np.concatenate([self.ids, more])
+        self.age += 1
+        self.age[at[~new]] = 0
+        short = np.diff(_bytes_of(fresh)[1]) <= LONG_UNIT
+        self._remember(ids, pa.concat_arrays([self.names, fresh.filter(pa.array(short))]),
+                       np.append(self.begin, begin[new][short]), np.append(self.size, count[short]),
+                       np.append(self.age, np.zeros(int(short.sum()), dtype=np.int64)))
+        return ids, begin, size
+
+    def _remember(self, ids: np.ndarray, names: pa.Array, begin: np.ndarray, size: np.ndarray, age: np.ndarray) -> None:
+        if len(names) > MOST_UNITS:
+            keep = np.sort(np.argsort(age, kind="stable")[:MOST_UNITS // 2])
+            names, begin, size, age = names.take(pa.array(keep)), begin[keep], size[keep], age[keep]
+        ends = np.cumsum(size)
+        place = np.repeat(begin - (ends - size), size)
+        place += np.arange(len(place))
+        self.names, self.ids, self.begin, self.size, self.age = names, ids[place], ends - size, size, age
 
     def encode(self, column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, bounds) of runs of rows: row r has the ids `bounds[r]:bounds[r + 1]` of its run.
@@ -81,18 +135,15 @@ class Units:
             edge = np.zeros(len(block.data) + 1, dtype=bool)
             edge[block.at] = edge[ends] = True
             edges = np.flatnonzero(edge)
-            units = pa.LargeStringArray.from_buffers(
-                len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(block.data)))
-            coded = units.dictionary_encode()
-            ids = self.look_up(coded.dictionary.to_pylist())
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-            flat, begin = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(size) - size
+            coded = pa.LargeStringArray.from_buffers(
+                len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(block.data))).dictionary_encode()
+            ids, begin, size = self._look_up(coded.dictionary)
             code = coded.indices.to_numpy()
             count = size[code]
             ends = np.cumsum(count)
             place = np.repeat(begin[code] - (ends - count), count)
             place += np.arange(len(place))
-            yield block.first, flat[place], np.append(0, ends)[np.searchsorted(edges, block.at)]
+            yield block.first, ids[place], np.append(0, ends)[np.searchsorted(edges, block.at)]
 
 
 def shared(make: Callable[..., Units], path: str, **options) -> Units:
@@ -135,11 +186,12 @@ def _merger(model: dict, special: set[str]):
     return tiktoken.Encoding("merges", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
 
 
-def byte_level(path: str, plain: bool = False) -> Units:
+def byte_level(path: str, plain: bool = False, by_rank: bool = True) -> Units:
     """A tokenizer file of the tokenizers library, without special tokens added.
 
     Special tokens inside a text are ordinary text if `plain`; a text that holds one is
     else left to that library as a whole, and so is all of a file whose ids do not follow its merges.
+    Without `by_rank` every unit is encoded by the tokenizers library.
     """
     from tokenizers import Tokenizer
 
@@ -150,37 +202,24 @@ def byte_level(path: str, plain: bool = False) -> Units:
     special = {t["content"] for t in built["added_tokens"]}
     certain = (cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
                and built["normalizer"] is None)
-    merger = _merger(built["model"], special) if certain else None
-    line = [] if merger is None else merger.encode_ordinary("\n")
+    merger = _merger(built["model"], special) if certain and by_rank else None
     names = re.compile("|".join(map(re.escape, special))) if special and not plain else None
 
-    def learn(units: list[str], own: Units) -> list[bytes]:
-        if merger is None or len(line) != 1:
-            return [_packed(e.ids) for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        # Words after a blank are merged together; a line break before a blank has an id of its own.
-        joined = [u for u in units if u[0] == " " and "\n" not in u and not u[-1].isspace()]
-        ids = np.array(merger.encode_ordinary("\n".join(joined)), dtype="<u4")
-        ends = np.append(np.flatnonzero(ids == line[0]), len(ids)).tolist()
-        data, begin, found = ids.tobytes(), 0, {}
-        for u, end in zip(joined, ends, strict=bool(joined)):
-            found[u] = data[4 * begin:4 * end]
-            begin = end + 1
-        out = []
-        for u in units:
-            made = found.get(u)
-            if made is None:
-                # Long units are whole texts that the cuts do not fit, or hold a special token.
-                whole = names is not None and names.search(u)
-                made = _packed(tokenizer.encode(u, add_special_tokens=False).ids if whole else merger.encode_ordinary(u))
-            out.append(made)
-        return out
+    def own(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    def alone(text: str) -> list[int]:
+        return own(text) if merger is None or (names is not None and names.search(text)) else merger.encode_ordinary(text)
+
+    line = own("\n")
 
     def tokens() -> list[bytes]:
         signs = _byte_signs()
         entries = [tokenizer.id_to_token(k) or "" for k in range(tokenizer.get_vocab_size())]
         return [e.encode() if e in special or cut.get("type") != "ByteLevel" else bytes(signs[c] for c in e) for e in entries]
 
-    return Units(learn, tokens, certain, f"{WHOLE}|{names.pattern}" if names else WHOLE)
+    return Units(own if merger is None else merger.encode_ordinary, alone, line[0], tokens, certain and len(line) == 1,
+                 f"{WHOLE}|{names.pattern}" if names else WHOLE)
 
 
 def word_pieces(path: str) -> Units:
@@ -194,13 +233,12 @@ def word_pieces(path: str) -> Units:
     certain = ("".join(probe) == "▁▁a▁▁ﬁ<0x0A>b▁"
                and not any(re.search(r"[^▁\s][▁ \t\n\x0b\x0c]", p) for p in pieces))
 
-    def learn(units: list[str], own: Units) -> list[bytes]:
-        made = model.encode([u.removeprefix(" ") for u in units], num_threads=1)
-        # The blank that the model puts first is the unit's own, or else goes again.
-        return [_packed((ids or [blank]) if u.startswith(" ") else ids[1:] if ids[:1] == [blank] else ids)
-                for u, ids in zip(units, made, strict=True)]
+    def alone(text: str) -> list[int]:
+        ids = model.encode(text.removeprefix(" "))
+        # The blank that the model puts first is the text's own, or else goes again.
+        return (ids or [blank]) if text.startswith(" ") else ids[1:] if ids[:1] == [blank] else ids
 
     def tokens() -> list[bytes]:
         return [bytes([int(p[3:5], 16)]) if model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
 
-    return Units(learn, tokens, certain)
+    return Units(alone, alone, model.piece_to_id("<0x0A>"), tokens, certain)

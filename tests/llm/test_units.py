@@ -21,19 +21,19 @@ def ids_of(made, texts):
     return found
 
 
-@pytest.mark.parametrize("plain", [False, True])
-def test_byte_level_like_the_library(plain):
+@pytest.mark.parametrize("plain,by_rank", [(False, True), (True, True), (False, False)])
+def test_byte_level_like_the_library(plain, by_rank):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
     tokenizer.encode_special_tokens = plain
-    made = u.byte_level(tokenizer_path(), plain)
+    made = u.byte_level(tokenizer_path(), plain, by_rank)
     assert made.certain
 
     @settings(deadline=None, max_examples=300)
     @given(TEXTS)
     def same(texts):
-        made.recent, made.before = {}, {}
+        made.forget()
         assert ids_of(made, texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
     same()
@@ -49,7 +49,7 @@ def test_word_pieces_like_the_library():
     @settings(deadline=None, max_examples=300)
     @given(TEXTS)
     def same(texts):
-        made.recent, made.before = {}, {}
+        made.forget()
         texts = [t.replace("▁", "") for t in texts]  # not to be told from a blank
         found = ids_of(made, [" " + t if t else "" for t in texts])
         assert found == [model.encode(t) for t in texts]
@@ -74,7 +74,7 @@ def test_forgets_and_learns_again(monkeypatch):
     texts = [" ".join(f"w{k % 13} v{k}," for k in range(n)) for n in (5, 40, 40, 3)]
     for text in texts:
         assert ids_of(made, [text]) == ids_of(fresh, [text])
-    assert len(made.recent) < 200
+    assert len(made.names) < 100
 
 
 def test_null_and_empty():
