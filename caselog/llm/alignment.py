@@ -24,7 +24,7 @@ from caselog.llm.tables import batch_of, give_back, sent_if_small
 from caselog.llm.units import Units, byte_level, shared, word_pieces
 from caselog.session import cut
 
-BLOCK_BYTES = 2 << 20    # texts aligned together; a single longer text makes a longer block
+BLOCK_BYTES = 1 << 20    # texts aligned together; a single longer text makes a longer block
 
 _DOC = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes array<int>")
 _ALIGNED = f"block long, {_DOC}, pair_a array<int>, pair_b array<int>, pair_n array<long>"
@@ -107,7 +107,7 @@ def align(texts: pa.Array, a: _Side, b: _Side) -> dict:
     keep = _faithful(a, ids_a, of_a, data, at) & _faithful(b, ids_b, of_b, data, at)
     (ids_a, of_a), (ids_b, of_b) = _kept(ids_a, of_a, keep), _kept(ids_b, of_b, keep)
     # Every place where a token ends, once; tokens of a side are numbered in order of place.
-    places = _ends(a, ids_a, of_a, "a").join(_ends(b, ids_b, of_b, "b"), ["doc", "end"], join_type="full outer")
+    places = _ends(a, ids_a, of_a, "a").join(_ends(b, ids_b, of_b, "b"), ["doc", "end"], join_type="full outer", use_threads=False)
     places = places.sort_by([("doc", "ascending"), ("end", "ascending")])
     both = pc.and_(pc.is_valid(places["a"]), pc.is_valid(places["b"])).combine_chunks().to_numpy(zero_copy_only=False)
     doc = places["doc"].combine_chunks().to_numpy().astype(np.int64)
@@ -115,7 +115,8 @@ def align(texts: pa.Array, a: _Side, b: _Side) -> dict:
     link_a = ids_a[pc.fill_null_backward(places["a"].combine_chunks()).to_numpy()]
     link_b = ids_b[pc.fill_null_backward(places["b"].combine_chunks()).to_numpy()]
     shut = places.filter(pa.array(both))
-    pairs = pa.table({"pair": (link_a.astype(np.int64) << 32) | link_b}).group_by("pair").aggregate([("pair", "count")])
+    pairs = pa.table({"pair": (link_a.astype(np.int64) << 32) | link_b}).group_by(
+        "pair", use_threads=False).aggregate([("pair", "count")])
     names = pairs["pair"].combine_chunks()
     codes = pc.index_in(pa.array((link_a.astype(np.int64) << 32) | link_b), names)
     of_group = np.append(0, np.cumsum(np.bincount(doc[both], minlength=rows)))
