@@ -8,6 +8,8 @@ occur are stored, so the size follows the log and not cases x vocabulary.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,8 +139,8 @@ def vocabulary(events: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
 def vocabulary_lookup(events: DataFrame, limit: int = SMALL_ROWS) -> Lookup:
     """The vocabulary of a keyed log as a lookup of `key`, with `slot` and the number of events `n`."""
     keys = cut(events.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
-    ranked = Ordered(keys, [], ["key"], keys.count(), limit).add(slot=Position()).result()
-    return fit_lookup(cut(ranked, "slots"), ["key"])
+    found = fit_lookup(keys, ["key"])
+    return replace(found, table=Ordered(keys, [], ["key"], found.rows, limit).add(slot=Position()).result())
 
 
 def slotted(events: DataFrame, words: DataFrame) -> DataFrame:

@@ -309,8 +309,7 @@ def fit_cells(df: DataFrame, categories: list[str], numbers: list[str], mask_cat
         order = [F.col("value").isNull(), "number", "value"]
         placed = Ordered(known, ["block"], order, max(widths), limit).add(place=Position()).result()
         begin, width = (F.get(F.lit(x).cast("array<long>"), F.col("block")) for x in (first[:-1], widths))
-        table = cut(placed.select("block", "value", "n", (begin + F.col("place")).alias("slot"),
-                                  begin.alias("first"), width.alias("width")), "slots")
+        table = placed.select("block", "value", "n", (begin + F.col("place")).alias("slot"), begin.alias("first"), width.alias("width"))
         slots = Lookup(table, ["block", "value"], first[-1], sum(sizes[i]["size"] for i in sizes if isinstance(i, int)))
     return CellFit(categories, missing if mask_categories else None, slots, first[-1], MinMax(low, high, fill))
 

@@ -66,6 +66,17 @@ def _entries() -> Column:
     return F.arrays_zip("slots", "values")
 
 
+def _once(rows: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """`keep` and columns that are evaluated once: an explosion of one element is not merged with what reads them."""
+    cell = rows.select(*keep, F.struct(*[c.alias(n) for n, c in made.items()]).alias("__cell"))
+    return cell.select(*keep, F.explode(F.array("__cell")).alias("__once")).select(*keep, "__once.*")
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of the value, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _with_scores(rows: DataFrame, model: Model, key: str) -> DataFrame:
     """`rows` with `x`, the scaled values, and `scores`, one per class and setting."""
     width = model.classes * len(model.settings)
@@ -77,11 +88,13 @@ def _with_scores(rows: DataFrame, model: Model, key: str) -> DataFrame:
     if model.small:
         # One row of all slots in order: an uncorrelated value, not a join.
         known = model.table.agg(F.array_sort(F.collect_list(F.struct("slot", "scale", "weights")))).scalar()
-        found = rows.withColumn("__w", known).withColumn(
-            "x", F.transform(_entries(), lambda c: c["values"] / F.get("__w", c["slots"])["scale"]))
-        return found.withColumn("scores", F.aggregate(
-            F.arrays_zip("slots", "x"), zeros,
-            lambda total, c: added(total, c["x"], F.get("__w", c["slots"])["weights"]))).drop("__w")
+        given = rows.withColumn("__w", known)
+
+        def scaled(c: Column) -> Column:
+            return c["values"] / F.get("__w", c["slots"])["scale"]
+
+        scores = F.aggregate(_entries(), zeros, lambda total, c: added(total, scaled(c), F.get("__w", c["slots"])["weights"]))
+        return _once(given, rows.columns, x=F.transform(_entries(), scaled), scores=scores)
     cells = rows.select(key, F.posexplode(_entries()).alias("at", "c")).select(key, "at", F.col("c.slots").alias("slot"), "c.values")
     joined = cells.join(model.table, "slot").select(key, "at", (F.col("values") / F.col("scale")).alias("x"), "weights")
     sums = joined.select(key, "x", F.posexplode("weights").alias("place", "w")).groupBy(key, "place").agg(
@@ -93,10 +106,11 @@ def _with_scores(rows: DataFrame, model: Model, key: str) -> DataFrame:
 
 
 def _softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda s: F.exp(s - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda p: p / total)
+    def shares(powers: Column) -> Column:
+        return _let(F.aggregate(powers, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(powers, lambda p: p / total))
+
+    return _let(scores, lambda given: _let(F.array_max(given), lambda top: _let(
+        F.transform(given, lambda s: F.exp(s - top)), shares)))
 
 
 def _by_setting(model: Model) -> Column:
@@ -124,13 +138,12 @@ def start(train: DataFrame, slots: int, classes: int, settings: list[Setting]) -
     return Model(cut(table, "weights"), slots, classes, settings)
 
 
-def improved(train: DataFrame, model: Model, key: str = "case") -> Model:
-    """The model after one more round over `train`."""
-    n = train.agg(F.count(F.lit(1)).cast("double")).scalar()
+def improved(train: DataFrame, model: Model, key: str = "case", rows: int | None = None) -> Model:
+    """The model after one more round over `train`, of which `rows` may give the number of rows."""
+    n = F.lit(float(train.count() if rows is None else rows))
     k = model.classes
-    scored = _with_scores(train, model, key).select(
-        "slots", "x", "label_id", F.flatten(_by_setting(model)).alias("p"),
-        F.aggregate("x", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("size"))
+    scored = _once(_with_scores(train, model, key), ["slots", "x", "label_id"], p=F.flatten(_by_setting(model)),
+                   size=F.aggregate("x", F.lit(0.0), lambda a, x: a + F.abs(x)))
     cells = scored.select(F.explode(F.arrays_zip("slots", "x")).alias("c"), "label_id", "p", "size").select(
         F.col("c.slots").alias("slot"), "c.x", "label_id", "size", F.posexplode("p").alias("place", "p"))
     hit = (F.col("place") % k == F.col("label_id")).cast("double")
@@ -153,16 +166,17 @@ def improved(train: DataFrame, model: Model, key: str = "case") -> Model:
 
 def fit(train: DataFrame, slots: int, classes: int, settings: list[Setting], rounds: int, key: str = "case") -> Model:
     """`train` is a stored table (key, label_id, slots, values); its last slot holds a constant."""
-    model = start(train, slots, classes, settings)
+    model, n = start(train, slots, classes, settings), train.count()
     for _ in range(rounds):
-        model = improved(train, model, key)
+        model = improved(train, model, key, n)
     return model
 
 
 def probabilities(rows: DataFrame, model: Model, key: str = "case") -> DataFrame:
     """`rows` with `probability` (of the model's first setting) and `pred`, the first likeliest class."""
-    scored = _with_scores(rows, model, key).withColumn("probability", F.get(_by_setting(model), F.lit(0)))
-    return scored.withColumn("pred", argmax("probability")).drop("x", "scores", "slots", "values")
+    kept = [c for c in rows.columns if c not in ("slots", "values")]
+    scored = _once(_with_scores(rows, model, key), kept, probability=F.get(_by_setting(model), F.lit(0)))
+    return scored.withColumn("pred", argmax("probability"))
 
 
 def trial_counts(rows: DataFrame, model: Model, key: str = "case") -> DataFrame:

@@ -15,4 +15,4 @@ def label_table(cases: DataFrame, label: str, limit: int = SMALL_ROWS) -> tuple[
     found = cut(cases.filter(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct(), "classes")
     number = found.count()
     ranked = Ordered(found, [], ["label"], number, limit).add(place=Position()).result()
-    return cut(ranked.select("label", F.col("place").cast("int").alias("label_id")), "labels"), number
+    return ranked.select("label", F.col("place").cast("int").alias("label_id")), number
