@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselog.llm.arrays import Block, blocks, mix
-from caselog.llm.tables import HOT_SHARE, batch_of, map_columns, same, with_group
+from caselog.llm.tables import HOT_SHARE, batch_of, map_columns, same
 from caselog.session import cut
 
 STRETCH = 20
@@ -105,21 +105,18 @@ _UNIT = "doc_id long, text_hash long, h1 long, h2 long, start int, end int, repe
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """Lines of under `STRETCH` words; longer ones are runs of words."""
+    """All lines with a word."""
     def work(batch: pa.RecordBatch):
         for block in blocks(batch.column("text")):
             if not len(block.start):
                 continue
             breaks = np.searchsorted(block.start, np.flatnonzero(block.data == 0x0A))
             edges = np.unique(np.concatenate([block.bound, breaks]))
-            lines = np.flatnonzero(np.diff(edges) < STRETCH)
-            first, last = edges[lines], edges[lines + 1]
+            first, last = edges[:-1], edges[1:]
             row = np.searchsorted(block.bound, first, side="right") - 1
             with np.errstate(over="ignore"):
                 h1, h2 = _Runs(block.hashes()).digest(first, last)
-            # A line of one word stays at all its places in the text that keeps it.
-            repeat = _repeats(row, first, h1, h2) & (last - first > 1)
-            yield _unit_batch(batch, block, row, first, last, h1, h2, repeat=repeat)
+            yield _unit_batch(batch, block, row, first, last, h1, h2, repeat=_repeats(row, first, h1, h2))
 
     return map_columns(docs, _with_hash(docs), _UNIT, work)
 
@@ -192,10 +189,57 @@ _PART = ["doc_id", "text_hash", "start", "end", "kept_doc_id"]
 
 
 def _marked(rows: DataFrame) -> DataFrame:
-    """The stored units that stand in an earlier document or earlier in their own; groups of any size."""
+    """The stored units that stand in an earlier document or earlier in their own, overlapping ones of
+    a hot group as one span; groups of any size.
+
+    Units of a group with over a thousandth of all rows are marked where they are, and neighbours that
+    the same document keeps leave the task as one row: a copy of a long text is a few rows, not one for each of
+    its words. There are fewer than a thousand such groups. The others meet by their digest.
+    """
+    total = rows.count()
     groups = cut(rows.groupBy("h1", "h2").agg(
         F.min("doc_id").alias("kept_doc_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
-    return with_group(rows, groups, ["h1", "h2"], rows.count()).filter(_LATER).select(*_PART)
+    large = F.col("n") * HOT_SHARE > total
+    hot = groups.filter(large).select("h1", "h2", "kept_doc_id").toArrow()
+    rest = groups.filter(~large)
+    cold = rows.join(F.broadcast(groups.filter(large).select("h1", "h2")), ["h1", "h2"], "left_anti")
+    marked = cold.join(rest, ["h1", "h2"]).filter(_LATER).select(*_PART)
+    if not hot.num_rows:
+        return marked
+    names, kept = _digests(hot["h1"], hot["h2"]), hot["kept_doc_id"].combine_chunks()
+    keeps = kept.fill_null(0).to_numpy(zero_copy_only=False)
+    nobody = kept.is_null().to_numpy(zero_copy_only=False)
+
+    def work(batch: pa.RecordBatch):
+        at = pa.compute.index_in(_digests(batch.column("h1"), batch.column("h2")), names)
+        batch = batch.filter(at.is_valid())
+        at = at.drop_null().to_numpy()
+        doc = batch.column("doc_id")
+        missing, ids = doc.is_null().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy(zero_copy_only=False)
+        own = np.where(missing | nobody[at], missing & nobody[at], ids == keeps[at])
+        later = batch.column("repeat").to_numpy(zero_copy_only=False) | ~own
+        batch, at, missing, ids = batch.filter(pa.array(later)), at[later], missing[later], ids[later]
+        if not len(at):
+            return
+        start, end, text = (batch.column(c).to_numpy() for c in ("start", "end", "text_hash"))
+        opens = np.ones(len(at), dtype=bool)
+        opens[1:] = ((ids[1:] != ids[:-1]) | (missing[1:] != missing[:-1]) | (text[1:] != text[:-1]) | (keeps[at[1:]] != keeps[at[:-1]])
+                     | (nobody[at[1:]] != nobody[at[:-1]]) | (start[1:] > end[:-1]) | (start[1:] < start[:-1]))
+        first = np.flatnonzero(opens)
+        place = pa.array(first)
+        yield batch_of(
+            doc_id=batch.column("doc_id").take(place), text_hash=batch.column("text_hash").take(place), start=start[first],
+            end=np.maximum.reduceat(end, first), kept_doc_id=kept.take(pa.array(at[first])))
+
+    columns = {c: F.col(c) for c in ("doc_id", "text_hash", "h1", "h2", "start", "end", "repeat")}
+    return marked.unionByName(map_columns(
+        rows, columns, "doc_id long, text_hash long, start int, end int, kept_doc_id long", work))
+
+
+def _digests(h1, h2) -> pa.Array:
+    """Both halves as one value of 16 bytes."""
+    both = np.stack([h1.to_numpy(), h2.to_numpy()], axis=1)
+    return pa.Array.from_buffers(pa.binary(16), len(both), [None, pa.py_buffer(np.ascontiguousarray(both))])
 
 
 def _marked_by_seed(runs: DataFrame) -> DataFrame:
@@ -212,8 +256,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     `start` and `end` are code points of the original text; overlapping units are
     one span. The occurrence kept is that of the smallest doc_id and there the first;
     `kept_doc_id` is the smallest document that keeps a unit of the span. A text
-    that repeats a unit within itself keeps the first; a line of one word stays at
-    all its places in the document that keeps it.
+    that repeats a unit within itself keeps the first.
 
     Rows that share a doc_id count as one document and keep the same units; repeated
     rows give their spans once. Rows without a doc_id come after all others and
@@ -238,8 +281,10 @@ def without_passages(docs: DataFrame) -> DataFrame:
 
     `kept_spans` lists (start, end) in the original text of the parts that are
     left; they stand one after the other in `text`. A text that loses nothing
-    has one span, a null text none. Other columns stay as they are.
+    has one span, a null text none. Other columns stay as they are, but a column
+    `kept_spans` of `docs` gives way to this one.
     """
+    docs = docs.drop("kept_spans")
     spans = cut(repeated_passages(docs), "spans")
     per = cut(spans.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts")).select(

@@ -6,7 +6,8 @@ PLAIN = "one two three four five six seven eight nine ten eleven twelve thirteen
 
 # Columns that operators use for themselves or return.
 CLASHES = ["score", "kept", "start", "n", "node", "h1", "label", "text_hash", "component", "w", "lines", "bucket",
-           "budget", "epoch", "key", "payload", "site"]
+           "budget", "epoch", "key", "payload", "site", "n_lines", "n_removed", "kept_spans", "refers_to", "block", "pieces",
+           "ids", "sequence_id", "vector", "x"]
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),

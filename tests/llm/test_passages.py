@@ -95,9 +95,11 @@ def test_shared_runs_are_found_to_both_ends(spark):
 
 def test_edges(edge_docs, no_docs):
     rows = repeated_passages(edge_docs).collect()
-    assert {r.doc_id for r in rows} >= {2, 3, 9, None} and not {r.doc_id for r in rows} & {4, 5, 6, 7, 10, 11, 12}
+    assert {r.doc_id for r in rows} >= {2, 3, 9, None} and not {r.doc_id for r in rows} & {4, 5, 6, 7, 11, 12}
+    text = "été 你好 \U0001f600 naïve\n\nline\nline"
+    assert [(r.start, r.end, r.kept_doc_id) for r in rows if r.doc_id == 10] == [(len(text) - 4, len(text), 10)]
     clean = without_passages(edge_docs)
-    assert clean.columns == [*edge_docs.columns, "kept_spans"] and clean.count() == edge_docs.count()
+    assert clean.columns == [*[c for c in edge_docs.columns if c != "kept_spans"], "kept_spans"] and clean.count() == edge_docs.count()
     for r in clean.join(edge_docs.select("doc_id", F.col("text").alias("whole")).distinct(), "doc_id").collect():
         if r.whole is None:
             assert r.text is None and r.kept_spans is None
@@ -106,3 +108,34 @@ def test_edges(edge_docs, no_docs):
     kept = {r.doc_id: r.text for r in clean.collect() if r.doc_id}
     assert len(kept[2].split()) < 30 and len(kept[9].split()) < 40
     assert repeated_passages(no_docs).collect() == [] and without_passages(no_docs).collect() == []
+
+
+def test_a_copy_is_one_row_however_long(spark):
+    """Units of a large group are joined to spans where they stand, with and without other columns of the same text."""
+    rng = random.Random(9)
+    text = " ".join(words(rng, 400, "c"))
+    docs = [(i, text if i % 3 == 0 else " ".join(words(rng, 30, f"o{i}x"))) for i in range(300)] + [(None, text), (3, text)]
+    rows = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    copies = [i for i in range(300) if i % 3 == 0][1:] + [None]
+    assert sorted(((r.doc_id, r.start, r.end, r.kept_doc_id) for r in rows), key=repr) == sorted(
+        ((i, 0, len(text), 0) for i in copies), key=repr)
+
+
+def test_lines_of_any_length_are_units(spark):
+    """As brute force over lines: all but the first occurrence, one-word lines and long ones too."""
+    rng = random.Random(12)
+    pool = [" ".join(words(rng, n, "l")) for n in (1, 1, 2, 5, 19, 20, 21, 60)]
+    docs = {d: "\n".join(rng.choice(pool) if rng.random() < 0.5 else " ".join(words(rng, rng.randint(1, 8), f"u{d}x"))
+                         for _ in range(9)) for d in range(30)}
+    seen, expected = {}, {}
+    for d, text in docs.items():
+        at = 0
+        for line in text.split("\n"):
+            if line in seen:
+                expected.setdefault(d, set()).update(range(at, at + len(line)))
+            seen.setdefault(line, d)
+            at += len(line) + 1
+    found = {}
+    for r in repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, set()).update(k for k in range(r.start, r.end) if docs[r.doc_id][k] != "\n")
+    assert found == expected
