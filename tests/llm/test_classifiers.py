@@ -116,3 +116,13 @@ def test_toxicity_trains_on_6000_labelled_documents(spark):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
     rows = inspect.signature(toxicity.fit).parameters["rows"].default
     assert labelled_sample(docs, labels, "toxic", F.lit(True), rows).count() == 6_000
+
+
+def test_a_doc_id_of_many_rows_is_one_of_the_sample(spark):
+    docs = spark.range(3_000).select((F.col("id") % 30).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(docs.filter("doc_id = 3"))
+    labels = spark.range(30).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    rows = labelled_sample(docs, labels, "toxic", F.lit(True), 20).collect()
+    again = labelled_sample(docs.repartition(5), labels, "toxic", F.lit(True), 20).collect()
+    assert len(rows) == 20 and sorted(rows) == sorted(again)
+    assert labelled_sample(docs, labels, "toxic", F.lit(True), 20).columns == ["doc_id", "text", "__label"]
