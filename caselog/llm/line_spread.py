@@ -55,9 +55,10 @@ def without_boilerplate(docs: DataFrame, site: Column, min_sites: int = MIN_SITE
     n_lines counts the lines with a word. Other lines, and everything in the lines
     that stay, are left as they were. Null text stays null with no lines. Rows
     without a site show their lines on no site but lose boilerplate like others.
-    Repeated rows are returned as often as they occur. An empty table gives no
-    rows.
+    Repeated rows are returned as often as they occur. Columns n_lines and n_removed of
+    `docs` give way to these. An empty table gives no rows.
     """
+    docs = docs.drop("n_lines", "n_removed")
     found = boilerplate(docs, site, min_sites)
     total = found.agg(F.sum("n")).first()[0] or 0
     lines = _lines(docs.withColumn("__hash", F.xxhash64("text")), site, "doc_id", "__hash")

@@ -48,6 +48,14 @@ def test_lines_at_the_threshold(spark):
     assert line_spread.without_boilerplate(docs.limit(0), F.col("source")).collect() == []
 
 
+def test_boilerplate_of_awkward_documents(edge_docs):
+    """Columns of the same names give way; very long texts are worked through whole."""
+    clean = line_spread.without_boilerplate(edge_docs, F.col("source"), 2)
+    assert sorted(clean.columns) == sorted(edge_docs.columns) and clean.count() == edge_docs.count()
+    assert dict(clean.dtypes)["n_lines"] == "bigint"
+    assert {r.n_lines for r in clean.filter("doc_id in (8, 9)").collect()} == {1}
+
+
 def test_shortages_go_to_siblings_first(spark):
     """web/en/src0 is short: src4 takes over before de, and de before news."""
     rows = [(1, "a " * 10, "en", "src0"), (2, "a " * 500, "en", "src4"), (3, "a " * 500, "de", "src8"), (4, "a " * 500, "en", "src1")]
