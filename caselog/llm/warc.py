@@ -23,6 +23,8 @@ from caselog.session import cut, scratch_table
 LEAST_BYTES = 100          # a payload of fewer bytes is always a response
 FILE_BYTES = 1 << 28       # a file is closed at the record that reaches this
 SPAN_BYTES = 1 << 22       # records that begin in one span of a file are read by one task
+TASK_BYTES = 1 << 25       # about what one task reads
+MOST_TASKS = 10_000        # of a read
 
 # Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -145,7 +147,10 @@ def read_records(archive: Archive, selected: DataFrame | None = None) -> DataFra
     folder = archive.folder
     wanted = (archive.index if selected is None else selected).select(
         "file", "offset", "length", F.floor(F.col("offset") / SPAN_BYTES).alias("span"))
-    spread = wanted.repartition("file", "span").sortWithinPartitions("file", "offset")
+    # A stated number of tasks: the rows are few bytes each, what they name is not.
+    size = wanted.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = min(max(1, -(-size // TASK_BYTES)), MOST_TASKS)
+    spread = wanted.repartition(tasks, "file", "span").sortWithinPartitions("file", "offset")
 
     def run(batches):
         for batch in batches:

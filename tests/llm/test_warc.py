@@ -58,3 +58,19 @@ def test_edges(spark):
         (3, 0, "response", None), (4, 0, "response", None), (5, 5, "response", None), (6, 5, "response", None),
         (7, 120, "response", None), (8, 120, "revisit", 7), (9, 108, "response", None)], key=str)
     assert read_records(write_archive(pages.limit(0))).collect() == []
+
+
+def test_reads_take_a_stated_number_of_tasks(spark, testdata, monkeypatch):
+    """Adaptive execution does not merge them by the few bytes of the index."""
+    from caselog.llm import warc
+    archive = write_archive(spark.read.parquet(f"{testdata}/sf0.001/pages.parquet").repartition(4))
+    monkeypatch.setattr(warc, "TASK_BYTES", 1000)
+    read = read_records(archive)
+    size = archive.index.groupBy().sum("length").first()[0]
+    assert read.rdd.getNumPartitions() == -(-size // 1000) and read.count() == archive.index.count()
+
+
+def test_a_very_long_payload(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 3_000_000), (2, None, "x" * 3_000_000), (3, "v", None)], "page_id long, url string, html string")
+    rows = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in read_records(write_archive(pages)).collect()}
+    assert rows == {1: (3_000_000, "response", None), 2: (3_000_000, "revisit", 1), 3: (0, "response", None)}
