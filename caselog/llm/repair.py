@@ -29,21 +29,34 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     base = int(symbols.max()) + 1 if len(symbols) else 0
     last = np.zeros(len(symbols), dtype=bool)
     last[ends[ends > 0] - 1] = True
+    # Where a frequent pair may begin. Replacing makes no pair of old symbols more frequent,
+    # so a pair once found rare is not looked at again; only pairs with a new symbol come in.
+    live = ~last
+    live[-1:] = False
     rules: list[np.ndarray] = []
     top = base
-    while len(symbols) > 1:  # every round that finds a pair leaves fewer symbols
-        pair = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
+    while True:  # every round that finds a pair leaves fewer symbols
+        at = np.flatnonzero(live)
+        pair = symbols[at].astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= symbols[at + 1]
         drawer = _drawer(pair)
-        drawer[last[:-1]] = DRAWERS  # a pair across the end of a document
-        chosen = _frequent(pair, drawer)
+        full = np.bincount(drawer, minlength=DRAWERS)[drawer] >= LEAST_COUNT
+        live[at[~full]] = False
+        at, pair, drawer = at[full], pair[full], drawer[full]
+        chosen = _frequent(pair)
         if not len(chosen):
             break
-        at, rule = _matches(pair, drawer, chosen)
+        at, rule = _matches(at, pair, drawer, chosen)
         symbols[at] = rule.astype(np.uint32) + np.uint32(top)
+        last[at] = last[at + 1]
+        live[at] = True
+        live[at[at > 0] - 1] = True
+        live &= ~last
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
-        last[at] = last[at + 1]
-        symbols, last = symbols[keep], last[keep]
+        symbols, last, live = symbols[keep], last[keep], live[keep]
+        live[-1] = False
         rules.append(chosen)
         top += len(chosen)
     grammar = np.concatenate(rules) if rules else np.zeros(0, dtype=np.uint64)
@@ -56,32 +69,29 @@ def _drawer(pairs: np.ndarray) -> np.ndarray:
     return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
 
 
-def _frequent(pair: np.ndarray, drawer: np.ndarray) -> np.ndarray:
-    """The most frequent pairs, one per drawer. Drawers that hold too few pairs are passed over first."""
-    held = np.bincount(drawer, minlength=DRAWERS + 1)
-    held[DRAWERS] = 0
-    full = np.sort(pair[held[drawer] >= LEAST_COUNT])
+def _frequent(pair: np.ndarray) -> np.ndarray:
+    """The most frequent pairs, one per drawer."""
+    full = np.sort(pair)
     if not len(full):
         return full
     first = np.flatnonzero(np.append(True, full[1:] != full[:-1]))
     count = np.diff(np.append(first, len(full)))
-    value = full[first]
     often = count >= LEAST_COUNT
-    value, count = value[often], count[often]
+    value, count = full[first[often]], count[often]
     value = value[np.lexsort((value, -count))[:RULES_PER_ROUND]]
     # Of two pairs in one drawer the rarer waits for the next round.
     return value[np.sort(np.unique(_drawer(value), return_index=True)[1])]
 
 
-def _matches(pair: np.ndarray, drawer: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places to replace, none overlapping, and the number of the pair at each."""
-    number = np.full(DRAWERS + 1, -1, dtype=np.int32)
+def _matches(at: np.ndarray, pair: np.ndarray, drawer: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rising places `at` those to replace, none overlapping, and the number of the pair at each."""
+    number = np.full(DRAWERS, -1, dtype=np.int32)
     number[_drawer(chosen)] = np.arange(len(chosen))
     found = number[drawer]
-    at = np.flatnonzero(found >= 0)
-    rule = found[at]
-    hit = chosen[rule] == pair[at]
-    at, rule = at[hit], rule[hit]
+    some = np.flatnonzero(found >= 0)
+    rule = found[some]
+    hit = chosen[rule] == pair[some]
+    at, rule = at[some[hit]], rule[hit]
     # In a run of neighbouring matches every other one is taken, from the left.
     place = np.arange(len(at))
     opens = np.append(True, at[1:] != at[:-1] + 1) if len(at) else np.zeros(0, dtype=bool)

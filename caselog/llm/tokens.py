@@ -17,14 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselog.llm.pieces import Pieces
 from caselog.llm.repair import Shard, pack
 from caselog.llm.stores import own_file, read_ranges
 from caselog.llm.tables import batch_of, give_back
+from caselog.llm.units import byte_level, shared
 from caselog.session import cut, scratch_table
 
 SHARD_TOKENS = 1 << 21    # a shard is closed at the document that reaches this
-ENCODE_CHARS = 1 << 21    # texts encoded together
+ENCODE_BYTES = 1 << 21    # of texts encoded together
 MOST_TASKS = 10_000       # of a read; shards beyond share a task
 NO_ID = -(1 << 63)        # stands for a null doc_id in a file
 
@@ -39,20 +39,6 @@ class Store:
     index: DataFrame
 
 
-def _chunks(batch: pa.RecordBatch):
-    """Rows of a batch in runs of bounded text."""
-    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-    texts = batch.column("text")
-    begin = size = 0
-    for row, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
-        size += n
-        if size >= ENCODE_CHARS:
-            yield ids[begin:row + 1], texts.slice(begin, row + 1 - begin).to_pylist()
-            begin, size = row + 1, 0
-    if begin < len(ids):
-        yield ids[begin:], texts.slice(begin).to_pylist()
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> Store:
     """Encode every whole text, append `end_id`, and write the shards.
 
@@ -65,10 +51,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     folder = folder or scratch_table(spark, "tokens")
 
     def run(batches):
-        pieces = None
-        stream = name = None
-        ids: list[np.ndarray] = []
+        units = stream = name = None
+        names: list[np.ndarray] = []
         tokens: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         held = offset = number = 0
         part = TaskContext.get().partitionId()
 
@@ -76,33 +62,37 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
             nonlocal held, offset, number, stream, name
             if stream is None:
                 stream, name = own_file(folder, ".rpair")
-            counts = np.array([len(t) for t in tokens], dtype=np.int64)
-            data = pack(np.concatenate(ids), np.concatenate(tokens), counts)
+            count, doc_ids, ids = (np.concatenate(c) for c in (counts, names, tokens))
+            for part_of in (names, tokens, counts):
+                part_of.clear()
+            data = pack(doc_ids, ids, count)
             stream.write(data)
             row = batch_of(part=[part], shard=[number], file=[name], offset=[offset], length=[len(data)],
-                           n_docs=[len(counts)], n_tokens=[int(counts.sum())])
+                           n_docs=[len(count)], n_tokens=[int(count.sum())])
             offset, number, held = offset + len(data), number + 1, 0
-            ids.clear()
-            tokens.clear()
             return row
 
         rows = []
         for batch in batches:
-            pieces = pieces or Pieces.shared(tokenizer)
-            for doc_ids, texts in _chunks(batch):
-                for doc_id, data in zip(doc_ids, pieces.encode(texts), strict=True):
-                    found = np.append(np.frombuffer(data, dtype="<u4"), np.uint32(end_id))
-                    ids.append(np.array([doc_id], dtype=np.int64))
-                    tokens.append(found)
-                    held += len(found)
+            units = units or shared(byte_level, tokenizer, by_rank=False)
+            doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for first, found, bounds in units.encode(batch.column("text"), ENCODE_BYTES):
+                ids, count = np.insert(found, bounds[1:], end_id), np.diff(bounds) + 1
+                ends, row, at = np.cumsum(count), 0, 0
+                while row < len(count):
+                    # Up to the document that fills the shard, or as far as the block goes.
+                    last = min(int(np.searchsorted(ends, at + SHARD_TOKENS - held)) + 1, len(count))
+                    names.append(doc_ids[first + row:first + last].copy())
+                    tokens.append(ids[at:ends[last - 1]].copy())
+                    counts.append(count[row:last])
+                    held += len(tokens[-1])
+                    row, at = last, int(ends[last - 1])
                     if held >= SHARD_TOKENS:
                         rows.append(close())
         if held:
             rows.append(close())
         if stream is not None:
             stream.close()  # before the index rows leave the task
-        if pieces is not None and pieces.certain:
-            pieces.rest()
         give_back()
         yield from rows
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from codecs import charmap_decode
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ class Units:
     `tokens` lists each id's bytes. Without `certain`, every text is one unit.
     """
 
-    def __init__(self, together: Callable[[str], list[int]], alone: Callable[[str], list[int]], line: int,
+    def __init__(self, together: Callable[[str], list[int] | np.ndarray], alone: Callable[[str], list[int]], line: int,
                  tokens: Callable[[], list[bytes]], certain: bool, whole: str = WHOLE):
         self.together, self.alone, self.line, self.tokens = together, alone, line, tokens
         self.certain, self.whole = certain, whole
@@ -117,15 +118,16 @@ class Units:
         place += np.arange(len(place))
         self.names, self.ids, self.begin, self.size, self.age = names, ids[place], ends - size, size, age
 
-    def encode(self, column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def encode(self, column: pa.Array | pa.ChunkedArray,
+               limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, bounds) of runs of rows: row r has the ids `bounds[r]:bounds[r + 1]` of its run.
 
-        Null texts have no ids, nor have empty ones.
+        Null texts have no ids, nor have empty ones. A run has about `limit` bytes of text.
         """
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         alone = pc.fill_null(pc.match_substring_regex(column, self.whole), False).to_numpy(zero_copy_only=False)
-        for block in blocks(column, BLOCK_BYTES):
+        for block in blocks(column, limit):
             ends = block.end
             if not self.certain:
                 ends = ends[:0]
@@ -186,12 +188,88 @@ def _merger(model: dict, special: set[str]):
     return tiktoken.Encoding("merges", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
 
 
+# Fixed value: characters that the library is asked about; words with others are encoded as they stand.
+ASKED = 0x530  # Latin, Greek and Cyrillic letters
+
+
+def _kinds(tokenizer) -> np.ndarray:
+    """By character: 1, 2 or 3 if runs of letters, digits or signs go on over it; 0 where that is not certain.
+
+    The library itself is asked how it parts each character from its like. An apostrophe may open a part of its own.
+    """
+    kinds = np.zeros(ASKED + 1, dtype=np.uint8)
+    for kind, like in enumerate("a1#", start=1):
+        asked = [c for c in map(chr, range(0x21, ASKED)) if c != "'" and not c.isspace()]
+        parts = tokenizer.pre_tokenizer.pre_tokenize_str("\n".join(like + c + like for c in asked))
+        whole = {begin for _, (begin, end) in parts if end - begin == 3}
+        kinds[[ord(c) for k, c in enumerate(asked) if 4 * k in whole]] = kind
+    return kinds
+
+
+def _worded(tokenizer, built: dict, own: Callable[[str], list[int]], line: int):
+    """`together` of `Units` by the library's model alone, or None where a file asks for more.
+
+    Words are parted by kinds of characters, as the library does it, and written in the signs of the vocabulary, so the
+    library has neither to be asked for parts nor to keep track of places: it is given parts and merges them. Each
+    byte is a sign, so the lengths of the entries tell where a word ends. The other words are encoded as they stand.
+    """
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    model, signs = built["model"], {b: c for c, b in _byte_signs().items()}
+    if (model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix")
+            or model.get("end_of_word_suffix") or any(c not in model["vocab"] for c in signs.values())
+            or built["truncation"] or built["padding"] or not all(t["special"] for t in built["added_tokens"])):
+        return None
+    parted = Tokenizer(tokenizer.model)
+    parted.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+    kinds = _kinds(tokenizer)
+    written = "".join("\n" if b == 0x0A else signs[b] for b in range(256))
+    entry = np.zeros(max(model["vocab"].values()) + 1, dtype=np.int64)
+    entry[list(model["vocab"].values())] = [len(w) for w in model["vocab"]]
+
+    def together(text: str) -> np.ndarray:
+        signs = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        kind = kinds[np.minimum(signs, ASKED)]
+        begins = np.flatnonzero(signs == 0x0A)
+        blank = np.flatnonzero(signs == 0x20)
+        kind[blank] = kind[blank + 1]  # the blank before a word is of its first part
+        unsure = kind == 0
+        unsure[begins] = False
+        sure = ~np.logical_or.reduceat(unsure, begins)
+        run = np.diff(np.append(begins, len(signs)))
+        if not sure.all():
+            mine = np.repeat(sure, run)
+            others = np.array(own(signs[~mine].tobytes().decode("utf-32-le")), dtype="<u4")
+            signs, kind = signs[mine], kind[mine]
+        parts = np.flatnonzero((kind[1:] != kind[:-1]) & (signs[1:] != 0x0A) & (signs[:-1] != 0x0A)) + 1
+        data = np.insert(signs, parts, 0x0A).tobytes().decode("utf-32-le").encode()
+        [made] = parted.encode_batch_fast([charmap_decode(data, "strict", written)[0]], add_special_tokens=False)
+        ids = np.array(made.ids, dtype="<u4")
+        size = (signs < 0x80).astype(np.int64)  # of each character in bytes
+        size += (signs >= 0x80) * 2
+        size[signs == 0x0A] = 0
+        first = np.append(0, np.cumsum(size))[np.flatnonzero(signs == 0x0A)]
+        ends = np.append(0, np.cumsum(entry[ids]))
+        ids = np.insert(ids, np.searchsorted(ends, first), line)
+        if sure.all():
+            return ids
+        count = np.zeros(len(sure), dtype=np.int64)
+        for some, found in ((sure, ids), (~sure, others)):
+            count[some] = np.diff(np.append(np.flatnonzero(found == line), len(found)))
+        mine = np.repeat(sure, count)
+        whole = np.empty(len(mine), dtype="<u4")
+        whole[mine], whole[~mine] = ids, others
+        return whole
+
+    return together
+
+
 def byte_level(path: str, plain: bool = False, by_rank: bool = True) -> Units:
     """A tokenizer file of the tokenizers library, without special tokens added.
 
     Special tokens inside a text are ordinary text if `plain`; a text that holds one is
     else left to that library as a whole, and so is all of a file whose ids do not follow its merges.
-    Without `by_rank` every unit is encoded by the tokenizers library.
+    Without `by_rank` every unit is encoded by the tokenizers library, with its model.
     """
     from tokenizers import Tokenizer
 
@@ -212,14 +290,17 @@ def byte_level(path: str, plain: bool = False, by_rank: bool = True) -> Units:
         return own(text) if merger is None or (names is not None and names.search(text)) else merger.encode_ordinary(text)
 
     line = own("\n")
+    certain = certain and len(line) == 1
+    together = own if merger is None else merger.encode_ordinary
+    if certain and not by_rank:
+        together = _worded(tokenizer, built, own, line[0]) or own
 
     def tokens() -> list[bytes]:
         signs = _byte_signs()
         entries = [tokenizer.id_to_token(k) or "" for k in range(tokenizer.get_vocab_size())]
         return [e.encode() if e in special or cut.get("type") != "ByteLevel" else bytes(signs[c] for c in e) for e in entries]
 
-    return Units(own if merger is None else merger.encode_ordinary, alone, line[0], tokens, certain and len(line) == 1,
-                 f"{WHOLE}|{names.pattern}" if names else WHOLE)
+    return Units(together, alone, line[0], tokens, certain, f"{WHOLE}|{names.pattern}" if names else WHOLE)
 
 
 def word_pieces(path: str) -> Units:

@@ -52,6 +52,18 @@ def test_repair_goes_on_until_no_pair_is_frequent():
     assert all((repair.expand(part, grammar) == doc).all() for part, doc in zip(parts, docs, strict=True))
 
 
+def test_repair_looks_at_rare_pairs_once(monkeypatch):
+    """Rounds after the first see pairs that may still be frequent, not all that are left."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 50_000, 64)
+    docs = [np.concatenate([rng.integers(0, 50_000, 2000), passage]) for _ in range(30)]
+    seen, drawer = [], repair._drawer
+    monkeypatch.setattr(repair, "_drawer", lambda pairs: seen.append(len(pairs)) or drawer(pairs))
+    symbols, *_ = repair.compress(np.concatenate(docs).astype(np.uint32), np.cumsum([len(d) for d in docs]))
+    assert len(symbols) == 30 * 2001
+    assert len(seen) > 9 and sum(seen[1:]) < seen[0] / 2
+
+
 @settings(deadline=None, max_examples=150)
 @given(st.lists(st.lists(st.sampled_from([0, 1, 2, 3, 70_000]), min_size=1, max_size=60), max_size=12), st.integers(1, 8))
 def test_repair_round_trip(docs, times):

@@ -82,3 +82,15 @@ def test_null_and_empty():
     assert ids_of(made, [None, "", "a"])[:2] == [[], []]
     assert ids_of(made, []) == []
     assert np.concatenate([i for _, i, _ in made.encode(pa.array(["a b", None], pa.string()))]).dtype == np.uint32
+
+
+def test_words_parted_like_the_library():
+    """Without ranks the library's model is given parts; every asked character parts words as the library does."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    made = u.byte_level(tokenizer_path(), by_rank=False)
+    assert made.together.__name__ == "together"  # and not the library's whole encoding
+    signs = [c for c in map(chr, range(0x21, 0x600)) if not c.isspace()]
+    texts = [f"x a{c}a 1{c}1 #{c}# {c} a1{c}{c}b\n{c}s'{c}" for c in signs] + ["it's we'll o'clock 'tis ''s 1's #'s x\n's"]
+    assert ids_of(made, texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
