@@ -185,14 +185,18 @@ def encode_events_concurrent(spark, folder):
     """Every step of every case, shown by its width, sum and slot-weighted sum."""
     log = line_log(spark, folder)
     encoding = c.fit_cells(log, LINE_CATEGORIES, LINE_NUMBERS, True, True)
-    stacked = q.stacked_log(log, LINES)
-    rows = q.padded_stacked_cells(stacked, LINES, encoding, False)
+    stacked = q.stacked_log(log, LINES, columns=[*LINE_CATEGORIES, *LINE_NUMBERS])
+    rows = q.padded_stacked_cells(stacked, LINES, encoding, False, "blank")
     # A span fills the slots slot..slot + span - 1; slots count from 1 in the weighted sum.
     value = F.col("value").cast("float").cast("double")
     weight = F.col("span") * (2 * F.col("slot") + F.col("span") + 1) / 2
-    return rows.groupBy(F.col("case").alias("case_id"), "step").agg(
-        F.lit(encoding.width * stacked.most).cast("long").alias("width"),
-        F.round(F.sum(value * F.col("span")), 5).alias("total"), F.round(F.sum(value * weight), 5).alias("weighted"))
+    keys, width = [F.col("case").alias("case_id"), "step"], F.lit(encoding.width * stacked.most).cast("long").alias("width")
+    total, weighted = value * F.col("span"), value * weight
+    events = rows.filter(~F.col("blank")).groupBy(*keys).agg(
+        width, F.round(F.sum(total), 5).alias("total"), F.round(F.sum(weighted), 5).alias("weighted"))
+    # A padding step is one row and stays where it is.
+    return events.unionByName(rows.filter("blank").select(
+        *keys, width, F.round(total, 5).alias("total"), F.round(weighted, 5).alias("weighted")))
 
 
 @query("encode_events_concurrent_eos", with_(EV, concurrent_sql(

@@ -65,7 +65,7 @@ class Previous:
 
     def local(self, so_far) -> Column:
         value = F.struct(F.col(self.column).alias("v"))
-        return F.last(value).over(so_far.rowsBetween(-1, -1))
+        return F.lag(value).over(so_far.rowsBetween(-1, -1))
 
     def summary(self) -> Column:
         return F.max_by(F.struct(F.col(self.column).alias("v")), ROW)

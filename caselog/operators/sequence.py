@@ -189,21 +189,31 @@ class Stacked:
     longest: int
 
 
-def stacked_log(df: DataFrame, log: EventLog, profile: CaseProfile | None = None, limit: int = CASE_ROWS) -> Stacked:
-    """The log ordered once, simultaneous events in one step, with the sizes that padding follows from."""
-    events = cut(stacked_events(df, log, profile, limit), "stacked")
+def stacked_log(df: DataFrame, log: EventLog, profile: CaseProfile | None = None, limit: int = CASE_ROWS,
+                columns: list[str] | None = None) -> Stacked:
+    """The log ordered once, simultaneous events in one step, with the sizes that padding follows from.
+
+    Of the events all columns are stored, or the case, step, place and those of `columns`.
+    """
+    placed = stacked_events(df, log, profile, limit)
+    if columns is not None:
+        placed = placed.select(*dict.fromkeys([log.case, "step", "place", *columns]))
+    events = cut(placed, "stacked")
     steps = cut(events.groupBy(F.col(log.case).alias("case"), "step").agg(F.count(F.lit(1)).alias("places")), "steps")
-    lengths = cut(steps.groupBy("case").agg(F.count(F.lit(1)).alias("len")), "lengths")
+    # Events of a case lie together, so they are reduced before they meet; its steps are numbered without gaps.
+    lengths = cut(events.groupBy(F.col(log.case).alias("case")).agg((F.max("step") + 1).alias("len")), "lengths")
     most = steps.agg(F.max("places")).first()[0] or 1
     return Stacked(events, steps, lengths, most, lengths.agg(F.max("len")).first()[0] or 0)
 
 
-def padded_stacked_cells(stacked: Stacked, log: EventLog, encoding, eos: bool = True) -> DataFrame:
+def padded_stacked_cells(stacked: Stacked, log: EventLog, encoding, eos: bool = True, mark: str | None = None) -> DataFrame:
     """(case, step, slot, span, value): the padded stacked sequences in long form, for any number of events a step.
 
     `encoding` makes the cells of the events (`fit_cells`). Missing places of a step are one
     span of -1, a padding step is a single span, and the closing step, all 0, is a
     span of 0. Slots without a row are 0. No array as wide as a step is formed.
+    `mark` names one more column: true in padding and closing steps, of which this row is the
+    whole, false in steps of events. A filter on it leaves out the other kind's plan.
     """
     width, value = encoding.width, F.lit(PAD_NUMBER)
     keys = [log.case, "step", "place"]
@@ -216,11 +226,13 @@ def padded_stacked_cells(stacked: Stacked, log: EventLog, encoding, eos: bool =
     filled = stacked.lengths.withColumn("len", F.col("len") + int(eos))
     blank = pad_steps(filled, 0, stacked.longest + int(eos)).select(
         "case", "step", F.lit(0).cast("long").alias("slot"), whole, value.alias("value"))
-    rows = cells.unionByName(free).unionByName(blank)
     if eos:
-        rows = rows.unionByName(stacked.lengths.select(
+        blank = blank.unionByName(stacked.lengths.select(
             "case", F.col("len").alias("step"), F.lit(0).cast("long").alias("slot"), whole, F.lit(0.0).alias("value")))
-    return rows
+    events = cells.unionByName(free)
+    if mark is not None:
+        events, blank = events.withColumn(mark, F.lit(False)), blank.withColumn(mark, F.lit(True))
+    return events.unionByName(blank)
 
 
 def _side_by_side(events: DataFrame, log: EventLog, width: int, most: int, vec: Column | str) -> DataFrame:

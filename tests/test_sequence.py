@@ -146,3 +146,24 @@ def test_shapes_by_rule(spark):
     assert [tuple(r) for r in rows] == [("x", 2, 6, 4, True, 3, 7), ("y", 2, 6, 2, True, 3, 7)]
     rows = q.input_shapes({"x": q.Input(a, 4, True), "y": q.Input(a, 2)}).collect()
     assert {r["regular"] for r in rows} == {False}
+
+
+def test_padding_is_not_gathered(spark, capsys):
+    """Only steps of events meet by (case, step): padding steps, most of all rows here, are one row each and stay."""
+    from caselog.operators.encode import fit_cells
+
+    rows = [("long", i // 2, i, "a" if i % 3 else "b", float(i)) for i in range(60)]
+    rows += [(f"c{k}", 0, 0, "a", 1.0) for k in range(40)]
+    df = spark.createDataFrame(rows, "case_id string, t long, n long, kind string, amount double")
+    log = EventLog(case="case_id", activity="kind", order=("t", "n"), start="t")
+    stacked = q.stacked_log(df, log, columns=["kind", "amount"])
+    assert stacked.events.columns == ["case_id", "step", "place", "kind", "amount"]
+    encoding = fit_cells(df, ["kind"], ["amount"], True, True)
+    plain = q.padded_stacked_cells(stacked, log, encoding)
+    marked = q.padded_stacked_cells(stacked, log, encoding, mark="blank")
+    assert sorted(map(tuple, marked.drop("blank").collect())) == sorted(map(tuple, plain.collect()))
+    blank, events = marked.filter("blank").drop("blank"), marked.filter("not blank").drop("blank")
+    assert blank.count() == blank.select("case", "step").distinct().count() == 41 * 31 - 70
+    assert events.join(blank, ["case", "step"]).count() == 0
+    blank.explain()
+    assert "Exchange" not in capsys.readouterr().out
