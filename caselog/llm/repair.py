@@ -25,43 +25,47 @@ _HEAD = "<8sIIIIQ"  # magic, documents, rules, first nonterminal, symbols, token
 
 def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, document ends, rules, first nonterminal) of ids with document ends."""
-    symbols = ids.astype(np.uint32)
-    base = int(symbols.max()) + 1 if len(symbols) else 0
-    last = np.zeros(len(symbols), dtype=bool)
-    last[ends[ends > 0] - 1] = True
+    symbols, ends, n = ids.astype(np.uint64), ends[ends > 0], len(ids)
+    base = int(symbols.max()) + 1 if n else 0
+    # A replaced pair leaves its symbol at the left place; the right one is gone and stepped over. Place n stands
+    # for none, beyond either end of a document.
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    after[ends - 1], before[ends], before[0] = n, n, n
+    gone = np.zeros(n, dtype=bool)
     # Where a frequent pair may begin. Replacing makes no pair of old symbols more frequent,
     # so a pair once found rare is not looked at again; only pairs with a new symbol come in.
-    live = ~last
-    live[-1:] = False
+    live = after < n
     rules: list[np.ndarray] = []
     top = base
     while True:  # every round that finds a pair leaves fewer symbols
         at = np.flatnonzero(live)
-        pair = symbols[at].astype(np.uint64)
+        pair = symbols[at]
         pair <<= np.uint64(32)
-        pair |= symbols[at + 1]
+        pair |= symbols[after[at]]
         drawer = _drawer(pair)
-        full = np.bincount(drawer, minlength=DRAWERS)[drawer] >= LEAST_COUNT
-        live[at[~full]] = False
-        at, pair, drawer = at[full], pair[full], drawer[full]
+        wide = drawer >> 4 if len(drawer) < DRAWERS >> 4 else drawer  # few pairs are counted in fewer drawers
+        full = (np.bincount(wide) >= LEAST_COUNT)[wide]
+        live[at] = full
+        some = np.flatnonzero(full)
+        at, pair, drawer = at[some], pair[some], drawer[some]
         chosen = _frequent(pair)
         if not len(chosen):
             break
-        at, rule = _matches(at, pair, drawer, chosen)
-        symbols[at] = rule.astype(np.uint32) + np.uint32(top)
-        last[at] = last[at + 1]
-        live[at] = True
-        live[at[at > 0] - 1] = True
-        live &= ~last
-        keep = np.ones(len(symbols), dtype=bool)
-        keep[at + 1] = False
-        symbols, last, live = symbols[keep], last[keep], live[keep]
-        live[-1] = False
+        at, right, rule = _matches(at, after, pair, drawer, chosen)
+        symbols[at] = rule + top
+        next_at = after[right]
+        after[at], before[next_at] = next_at, at
+        gone[right] = True
+        live[right] = False
+        live[before[at]] = True
+        live[at] = next_at < n
+        live[n] = False
         rules.append(chosen)
         top += len(chosen)
+    left = ~gone
     grammar = np.concatenate(rules) if rules else np.zeros(0, dtype=np.uint64)
     table = np.stack([grammar >> np.uint64(32), grammar & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-    return symbols, np.flatnonzero(last) + 1, table, base
+    return symbols[left].astype(np.uint32), np.cumsum(left)[ends - 1], table, base
 
 
 def _drawer(pairs: np.ndarray) -> np.ndarray:
@@ -83,32 +87,37 @@ def _frequent(pair: np.ndarray) -> np.ndarray:
     return value[np.sort(np.unique(_drawer(value), return_index=True)[1])]
 
 
-def _matches(at: np.ndarray, pair: np.ndarray, drawer: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the rising places `at` those to replace, none overlapping, and the number of the pair at each."""
-    number = np.full(DRAWERS, -1, dtype=np.int32)
-    number[_drawer(chosen)] = np.arange(len(chosen))
+def _matches(at: np.ndarray, after: np.ndarray, pair: np.ndarray, drawer: np.ndarray,
+             chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rising places `at` those to replace, none overlapping, the places of their right symbols, and the pair's number."""
+    number = np.zeros(DRAWERS, dtype=np.int16)  # of RULES_PER_ROUND; 0: none
+    number[_drawer(chosen)] = np.arange(1, len(chosen) + 1)
     found = number[drawer]
-    some = np.flatnonzero(found >= 0)
-    rule = found[some]
-    hit = chosen[rule] == pair[some]
+    some = np.flatnonzero(found != 0)
+    rule = found[some].astype(np.int64) - 1
+    hit = np.flatnonzero(chosen[rule] == pair[some])
     at, rule = at[some[hit]], rule[hit]
+    right = after[at]
     # In a run of neighbouring matches every other one is taken, from the left.
     place = np.arange(len(at))
-    opens = np.append(True, at[1:] != at[:-1] + 1) if len(at) else np.zeros(0, dtype=bool)
-    start = np.maximum.accumulate(np.where(opens, place, 0))
-    take = (place - start) % 2 == 0
-    return at[take], rule[take]
+    opens = np.append(True, at[1:] != right[:-1]) if len(at) else np.zeros(0, dtype=bool)
+    start = np.maximum.accumulate(place * opens)
+    take = np.flatnonzero((place - start) & 1 == 0)
+    return at[take], right[take], rule[take]
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(flat ids, start, length) by symbol; symbols below `base` stand for themselves."""
-    left, right = rules[:, 0].tolist(), rules[:, 1].tolist()
-    flat: list[np.ndarray] = []
-    for a, b in zip(left, right, strict=True):  # a rule uses earlier symbols only
-        parts = [flat[s - base] if s >= base else np.array([s], dtype=np.uint32) for s in (a, b)]
-        flat.append(np.concatenate(parts))
-    size = np.concatenate([np.ones(base, dtype=np.int64), np.array([len(f) for f in flat], dtype=np.int64)])
-    ids = np.concatenate([np.arange(base, dtype=np.uint32), *flat])
+    flat, rule = np.arange(base, base + len(rules)), np.arange(len(rules))
+    while (deep := flat >= base).any():  # a rule uses earlier symbols only
+        runs = 1 + deep
+        at = np.cumsum(runs) - runs
+        found = np.repeat(flat, runs)
+        inner = flat[deep] - base
+        found[at[deep]], found[at[deep] + 1] = rules[inner, 0], rules[inner, 1]
+        flat, rule = found, np.repeat(rule, runs)
+    size = np.append(np.ones(base, dtype=np.int64), np.bincount(rule, minlength=len(rules)))
+    ids = np.append(np.arange(base, dtype=np.uint32), flat.astype(np.uint32))
     return ids, np.concatenate([[0], np.cumsum(size)[:-1]]), size
 
 

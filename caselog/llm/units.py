@@ -15,6 +15,7 @@ import json
 import re
 from codecs import charmap_decode
 from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from caselog.llm.arrays import _BLANK, blocks
 
 BLOCK_BYTES = 4 << 20     # texts worked on at once; a single longer text makes a longer block
 LINE_BYTES = 1 << 18      # new units encoded at once
+MERGE_BYTES = 2000        # of them given to the library's model at once; longer texts are merged more slowly
 MOST_UNITS = 400_000      # remembered; beyond, those that have not come up for longest are forgotten
 LONG_UNIT = 64            # bytes; longer ones are not remembered
 
@@ -42,13 +44,17 @@ def _bytes_of(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Units:
     """`together` gives the ids of a text that begins with a line break, whose id is `line`; `alone` those of any text.
 
-    `tokens` lists each id's bytes. Without `certain`, every text is one unit.
+    `tokens` lists each id's bytes. Without `certain`, every text is one unit. With `kinds` (of `_kinds`) a unit also
+    ends where an ASCII letter or digit and an ASCII sign meet, so a word is remembered once, whatever sign follows it.
     """
 
     def __init__(self, together: Callable[[str], list[int] | np.ndarray], alone: Callable[[str], list[int]], line: int,
-                 tokens: Callable[[], list[bytes]], certain: bool, whole: str = WHOLE):
+                 tokens: Callable[[], list[bytes]], certain: bool, whole: str = WHOLE, kinds: np.ndarray | None = None):
         self.together, self.alone, self.line, self.tokens = together, alone, line, tokens
-        self.certain, self.whole = certain, whole
+        self.certain, self.whole, self.sides = certain, whole, None
+        if kinds is not None:
+            self.sides = np.zeros(256, dtype=np.uint8)  # by byte: 1 a letter or digit, 2 a sign, 0 neither
+            self.sides[:0x80] = np.array([0, 1, 1, 2])[kinds[:0x80]]
         self.forget()
 
     def forget(self) -> None:
@@ -63,8 +69,10 @@ class Units:
         first = data[bounds[:-1]]
         # A single blank or line break and a word: between line breaks the ids are the unit's own.
         plain = (np.diff(blanks) == 1) & (np.diff(bounds) > 1) & ((first == 0x20) | (first == 0x0A)) & self.certain
+        if self.sides is not None:  # so are those of a part of a word
+            plain |= (np.diff(blanks) == 0) & self.certain
         plain &= ~pc.match_substring_regex(units, self.whole).to_numpy(zero_copy_only=False)
-        spaced = first[plain] == 0x20
+        spaced = first[plain] != 0x0A
         lines = pc.binary_join_element_wise(
             pc.if_else(pa.array(spaced), pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())),
             units.filter(pa.array(plain)), pa.scalar("", pa.large_string()))
@@ -93,7 +101,11 @@ class Units:
 
     def _look_up(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begin, size): unit k has `ids[begin[k]:begin[k] + size[k]]`; new ones are learnt and remembered."""
-        at = pc.fill_null(pc.index_in(units, self.names), -1).to_numpy()
+        # Names are looked up among the units, which are fewer: the side looked up in is hashed anew each time.
+        place = pc.fill_null(pc.index_in(self.names, units), -1).to_numpy()
+        held = np.flatnonzero(place >= 0)
+        at = np.full(len(units), -1, dtype=np.int64)
+        at[place[held]] = held
         new = at < 0
         fresh = units.filter(pa.array(new))
         more, count = self._learnt(fresh)
@@ -129,6 +141,9 @@ class Units:
         alone = pc.fill_null(pc.match_substring_regex(column, self.whole), False).to_numpy(zero_copy_only=False)
         for block in blocks(column, limit):
             ends = block.end
+            if self.sides is not None:
+                side = self.sides[block.data]
+                ends = np.append(ends, np.flatnonzero(side[1:] + side[:-1] == 3) + 1)
             if not self.certain:
                 ends = ends[:0]
             elif alone[block.first:block.first + block.rows].any():
@@ -206,26 +221,26 @@ def _kinds(tokenizer) -> np.ndarray:
     return kinds
 
 
-def _worded(tokenizer, built: dict, own: Callable[[str], list[int]], line: int):
+def _worded(tokenizer, built: dict, own: Callable[[str], list[int]], line: int, kinds: np.ndarray):
     """`together` of `Units` by the library's model alone, or None where a file asks for more.
 
     Words are parted by kinds of characters, as the library does it, and written in the signs of the vocabulary, so the
-    library has neither to be asked for parts nor to keep track of places: it is given parts and merges them. Each
-    byte is a sign, so the lengths of the entries tell where a word ends. The other words are encoded as they stand.
+    library has neither to be asked for parts nor to keep track of places: it is given parts and merges them. Between them
+    stands the sign of a byte that no text holds and no merge names, so nothing is merged over it, and its id tells where a
+    part begins. The other words are encoded as they stand.
     """
-    from tokenizers import Tokenizer, pre_tokenizers
+    from tokenizers import Tokenizer
 
     model, signs = built["model"], {b: c for c, b in _byte_signs().items()}
-    if (model.get("type") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix")
+    stop = signs[0xFF]  # in no UTF-8 text
+    if (model.get("type") != "BPE" or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix")
             or model.get("end_of_word_suffix") or any(c not in model["vocab"] for c in signs.values())
-            or built["truncation"] or built["padding"] or not all(t["special"] for t in built["added_tokens"])):
+            or any(stop in "".join(m) for m in model["merges"]) or built["truncation"] or built["padding"]
+            or not all(t["special"] for t in built["added_tokens"])):
         return None
     parted = Tokenizer(tokenizer.model)
-    parted.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-    kinds = _kinds(tokenizer)
-    written = "".join("\n" if b == 0x0A else signs[b] for b in range(256))
-    entry = np.zeros(max(model["vocab"].values()) + 1, dtype=np.int64)
-    entry[list(model["vocab"].values())] = [len(w) for w in model["vocab"]]
+    written = "".join(stop if b == 0x0A else signs[b] for b in range(256))
+    mark = model["vocab"][stop]
 
     def together(text: str) -> np.ndarray:
         signs = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
@@ -243,14 +258,16 @@ def _worded(tokenizer, built: dict, own: Callable[[str], list[int]], line: int):
             signs, kind = signs[mine], kind[mine]
         parts = np.flatnonzero((kind[1:] != kind[:-1]) & (signs[1:] != 0x0A) & (signs[:-1] != 0x0A)) + 1
         data = np.insert(signs, parts, 0x0A).tobytes().decode("utf-32-le").encode()
-        [made] = parted.encode_batch_fast([charmap_decode(data, "strict", written)[0]], add_special_tokens=False)
-        ids = np.array(made.ids, dtype="<u4")
-        size = (signs < 0x80).astype(np.int64)  # of each character in bytes
-        size += (signs >= 0x80) * 2
-        size[signs == 0x0A] = 0
-        first = np.append(0, np.cumsum(size))[np.flatnonzero(signs == 0x0A)]
-        ends = np.append(0, np.cumsum(entry[ids]))
-        ids = np.insert(ids, np.searchsorted(ends, first), line)
+        lines = np.flatnonzero(signs == 0x0A)
+        opens = np.insert(np.ones(len(lines), dtype=bool), np.searchsorted(lines, parts), False)
+        stops = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 0x0A)
+        cuts = np.unique(stops[np.searchsorted(stops, np.arange(0, len(data) and stops[-1] + 1, MERGE_BYTES))]).tolist()
+        text = charmap_decode(data, "strict", written)[0]
+        made = [parted.encode_batch_fast([text[a:b]], add_special_tokens=False)[0].ids for a, b in pairwise([*cuts, len(text)])]
+        ids = np.array(list(chain.from_iterable(made)), dtype="<u4")
+        at = np.flatnonzero(ids == mark)
+        ids[at] = line
+        ids = np.delete(ids, at[~opens])
         if sure.all():
             return ids
         count = np.zeros(len(sure), dtype=np.int64)
@@ -291,16 +308,17 @@ def byte_level(path: str, plain: bool = False, by_rank: bool = True) -> Units:
 
     line = own("\n")
     certain = certain and len(line) == 1
-    together = own if merger is None else merger.encode_ordinary
+    together, kinds = own if merger is None else merger.encode_ordinary, None
     if certain and not by_rank:
-        together = _worded(tokenizer, built, own, line[0]) or own
+        kinds = _kinds(tokenizer)
+        together = _worded(tokenizer, built, own, line[0], kinds) or own
 
     def tokens() -> list[bytes]:
         signs = _byte_signs()
         entries = [tokenizer.id_to_token(k) or "" for k in range(tokenizer.get_vocab_size())]
         return [e.encode() if e in special or cut.get("type") != "ByteLevel" else bytes(signs[c] for c in e) for e in entries]
 
-    return Units(together, alone, line[0], tokens, certain, f"{WHOLE}|{names.pattern}" if names else WHOLE)
+    return Units(together, alone, line[0], tokens, certain, f"{WHOLE}|{names.pattern}" if names else WHOLE, kinds)
 
 
 def word_pieces(path: str) -> Units:

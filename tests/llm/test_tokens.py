@@ -64,6 +64,20 @@ def test_repair_looks_at_rare_pairs_once(monkeypatch):
     assert len(seen) > 9 and sum(seen[1:]) < seen[0] / 2
 
 
+def test_rules_are_expanded_together(monkeypatch):
+    """Not rule by rule: arrays are joined a few times, however many rules there are."""
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 90, 4000) for _ in range(12)]
+    rules, base = repair.compress(np.concatenate(docs).astype(np.uint32), np.cumsum([len(d) for d in docs]))[2:]
+    joins, join = [], np.concatenate
+    monkeypatch.setattr(repair.np, "concatenate", lambda *a, **k: joins.append(1) or join(*a, **k))
+    ids, start, size = repair.expansions(rules, base)
+    assert len(rules) > 1000 > 9 * len(joins)
+    for k, (a, b) in enumerate(rules.tolist()):
+        parts = [ids[start[s]:start[s] + size[s]].tolist() for s in (base + k, a, b)]
+        assert parts[0] == parts[1] + parts[2]
+
+
 @settings(deadline=None, max_examples=150)
 @given(st.lists(st.lists(st.sampled_from([0, 1, 2, 3, 70_000]), min_size=1, max_size=60), max_size=12), st.integers(1, 8))
 def test_repair_round_trip(docs, times):

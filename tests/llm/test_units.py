@@ -94,3 +94,24 @@ def test_words_parted_like_the_library():
     signs = [c for c in map(chr, range(0x21, 0x600)) if not c.isspace()]
     texts = [f"x a{c}a 1{c}1 #{c}# {c} a1{c}{c}b\n{c}s'{c}" for c in signs] + ["it's we'll o'clock 'tis ''s 1's #'s x\n's"]
     assert ids_of(made, texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_remembered_once_whatever_sign_follows():
+    from tokenizers import Tokenizer
+
+    made = u.byte_level(tokenizer_path(), by_rank=False)
+    signs = [",", ".", "!", "?", ";", ":", "###", "$$$", "&&&", ")", '"', "-x", "'s", "'", "#'s", ""]
+    texts = ["A " + " ".join(f"thatnd{s}" for s in signs) + "\n(thatnd) é, 12, a1.5b\n\n x  ,y"]
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    assert ids_of(made, texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert made.names.to_pylist().count(" thatnd") == 1
+    assert sorted(n for n in made.names.to_pylist() if n.startswith(" thatnd")) == [" thatnd", " thatnd'", " thatnd's"]
+
+
+def test_model_gets_words_in_short_runs(monkeypatch):
+    """However the runs are cut, the ids are those of the whole text."""
+    texts = [" ".join(f"w{k}x, été{k} naïve; o'clock \U0001f600." for k in range(300))] + ["", "\n", "'", "'tis ''s", "\U0001f600"]
+    expected = ids_of(u.byte_level(tokenizer_path()), texts)
+    for size in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(u, "MERGE_BYTES", size)
+        assert ids_of(u.byte_level(tokenizer_path(), by_rank=False), texts) == expected
