@@ -118,9 +118,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = cut(filled.groupBy("d1", "d2", "n_shingles", "bands").agg(
         F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
     members = cut(classes.select("node", F.explode("bands").alias("bucket")), "members")
-    found = components(_links(docs, members, size, percent))
-
-    alone = sent_if_small(cut(found, "components"), 48)
+    alone = sent_if_small(_found(docs, members, size, percent), 48)
     label = classes.select("d1", "d2", "copies", "node").join(alone, "node", "left").select(
         "d1", "d2", "copies", F.coalesce("component", "node").alias("component"))
     return _labelled(rows, cut(label, "labels"))
@@ -145,21 +143,33 @@ def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
         "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
-def _links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that connect every component."""
+def _found(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component), stored: every linked node with the smallest node it can reach."""
     buckets = cut(members.groupBy("bucket").agg(
         F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     stars = cut(with_group(members, buckets, ["bucket"], members.count()).filter("node <> a").select(
         "a", F.col("node").alias("b")).distinct(), "stars")
     tested = _confirmed(docs, stars, size, percent)
-    links = tested.filter("linked").select("a", "b")
-    inside, rare = _around_hubs(tested, cut(components(links), "found"))
+    found = cut(components(tested.filter("linked").select("a", "b")), "found")
+    inside, rare = _around_hubs(tested, found)
     central = _confirmed(docs, _central_pairs(inside, tested), size, percent)
-    links = links.unionByName(central.filter("linked").select("a", "b"))
+    found = _extended(found, central)
     known = tested.select("a", "b").unionByName(central.select("a", "b"))
-    missed = _missed_pairs(inside, rare, cut(components(links), "found"), known, percent)
-    late = _confirmed(docs, missed, size, percent)
-    return links.unionByName(late.filter("linked").select("a", "b"))
+    missed = _missed_pairs(inside, rare, found, known, percent)
+    return _extended(found, _confirmed(docs, missed, size, percent))
+
+
+def _extended(found: DataFrame, checked: DataFrame) -> DataFrame:
+    """The stored components `found` with the linked pairs of `checked` added.
+
+    A node tied to its component reaches what its links reached, so the links
+    that are already in are not gone through again.
+    """
+    links = checked.filter("linked").select("a", "b")
+    if not links.count():
+        return found
+    ties = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return cut(components(ties.unionByName(links)), "found")
 
 
 def _around_hubs(tested: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20  # a side is sent to all executors only if its rows are counted to stay below this
 
 BATCH_ROWS = 1000            # worked on at once in Python
+TASK_ROWS = 20_000           # narrow rows that a task takes at least, where a step is fitted to its rows
 HOT_SHARE = 1000  # a group of over this share of all rows is not gathered by its key
 
 
@@ -25,6 +26,14 @@ def sent_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of at most `rows` narrow rows, in no more tasks than they fill.
+
+    Partitions are only joined, never split: a long table keeps its own number.
+    """
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
     """`rows` joined to the stored facts of their group, which hold its row count `n`.
 

@@ -215,18 +215,23 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
 
     def work(batch: pa.RecordBatch):
         for first, n, bound, pair in word_rows(batch.column("text")):
-            rows = pa.ListArray.from_arrays(pa.array((bound * TABLES).astype(np.int32)), pa.array(pair.T.ravel()))
+            rows = pa.ListArray.from_arrays(pa.array((bound * TABLES).astype(np.int32)),
+                                            pa.array(pair.T.ravel().astype(np.int16)))  # below ROWS
             yield batch_of(**{c: batch.column(c).slice(first, n) for c in ("doc_id", "label", "lang")}, rows=rows)
 
     lang = F.col("lang").cast("string") if "lang" in sample.columns else F.lit(None).cast("string")
     found = map_columns(sample, {"text": F.coalesce("text", F.lit("")), "doc_id": F.col("doc_id").cast("long"),
                                  "label": F.col("__label"), "lang": lang},
-                        "doc_id long, label int, lang string, rows array<int>", work).toArrow().sort_by("doc_id")
-    marks = np.array(found.column("label").to_pylist(), dtype=np.int64)
-    texts = [np.asarray(r.values).reshape(-1, TABLES).T for r in found.column("rows")]
+                        "doc_id long, label int, lang string, rows array<short>", work).toArrow()
+    # The words stay where they came; only their order is sorted.
+    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
+    marks = found.column("label").to_numpy()[order].astype(np.int64)
+    rows_of = [np.asarray(r.values).reshape(-1, TABLES).T for r in found.column("rows")]
+    texts = [rows_of[i] for i in order]
     mine = np.arange(len(marks)) % CALIBRATION != 0
-    langs = found.column("lang").to_pylist()
-    del found
+    spoken = found.column("lang").to_pylist()
+    langs = [spoken[i] for i in order]
+    del found, rows_of
     net = train([t for t, m in zip(texts, mine, strict=True) if m], marks[mine])
     rest = [i for i in range(len(marks)) if not mine[i]]
     if rest:

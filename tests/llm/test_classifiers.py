@@ -126,3 +126,19 @@ def test_a_doc_id_of_many_rows_is_one_of_the_sample(spark):
     again = labelled_sample(docs.repartition(5), labels, "toxic", F.lit(True), 20).collect()
     assert len(rows) == 20 and sorted(rows) == sorted(again)
     assert labelled_sample(docs, labels, "toxic", F.lit(True), 20).columns == ["doc_id", "text", "__label"]
+
+
+def test_words_of_the_sample_come_to_the_driver_in_two_bytes(spark, monkeypatch):
+    """The network gets each text's table rows in order of doc_id, as short integers."""
+    rows = [(i, " ".join(f"w{i * j}" for j in range(i % 7))) for i in range(40)]
+    docs = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5)
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    given, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, marks: (given.append((list(texts), marks)), train(texts, marks))[1])
+    toxicity.fit(docs, labels, F.lit(True))
+    (texts, marks), = given
+    mine = [r for r in rows if r[0] % toxicity.CALIBRATION]
+    assert marks.tolist() == [i % 2 for i, _ in mine] and {t.dtype for t in texts} == {np.dtype(np.int16)}
+    for text, (_, words) in zip(texts, mine, strict=True):
+        (_, _, _, pair), = toxicity.word_rows(pa.array([words]))
+        assert pair.tolist() == text.tolist()

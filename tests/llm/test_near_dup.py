@@ -3,6 +3,8 @@ import re
 
 import pytest
 
+from caselog.llm import components as rounds
+from caselog.llm import near_dup
 from caselog.llm.components import components
 from caselog.llm.near_dup import near_duplicates, without_near_duplicates
 
@@ -97,3 +99,29 @@ def test_components(spark):
     assert all(found[n] == 100 for n in range(100, 200)) and all(found[n] == 300 for n in range(300, 341))
     assert 5 not in found
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_components_of_few_links_take_few_tasks(spark, monkeypatch, sent):
+    """Each task costs the driver memory: rounds over a short table don't take one per shuffle partition."""
+    links = [(100, n) for n in range(101, 200)] + [(n, n + 1) for n in range(300, 340)] + [(7, 7), (None, 3)]
+    tasks, cut = [], rounds.cut
+    monkeypatch.setattr(rounds, "SENT_ROWS", sent)  # joined with and without sending the smallest neighbours
+    monkeypatch.setattr(rounds, "cut", lambda df, name: (tasks.append(df.rdd.getNumPartitions()), cut(df, name))[1])
+    found = dict(components(spark.createDataFrame(links, "a long, b long").coalesce(1)).collect())
+    assert found == {n: 100 if n < 300 else 300 for n in (*range(100, 200), *range(300, 341))}
+    assert len(tasks) > 2 and set(tasks[1:]) == {1}
+
+
+def test_links_are_gone_through_once(spark, monkeypatch):
+    """Without new links the components that are known stay; new ones are joined to them, not to all links again."""
+    calls = []
+    monkeypatch.setattr(near_dup, "components", lambda links: (calls.append(links.count()), components(links))[1])
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(base[1:]), " ".join(f"v{i}" for i in range(60))]
+    found = result(near_duplicates(spark.createDataFrame([*enumerate(texts, 1)], "doc_id long, text string")))
+    assert found == brute_force([*enumerate(texts, 1)], 5) and len(calls) == 1
+    known = components(spark.createDataFrame([(1, n) for n in range(2, 30)] + [(50, 51)], "a long, b long"))
+    checked = spark.createDataFrame([(29, 51, True), (1, 90, False), (60, 61, True)], "a long, b long, linked boolean")
+    more = dict(near_dup._extended(known, checked).collect())
+    assert more == dict.fromkeys((*range(1, 30), 50, 51), 1) | {60: 60, 61: 60} and calls[1] == 28 + 1 + 2
