@@ -20,12 +20,13 @@ MAGIC = b"RPAIR003"
 RULES_PER_ROUND = 3072  # what is left over waits for the next round
 LEAST_COUNT = 8       # of a pair that is replaced
 DRAWERS = 1 << 20
+TOGETHER = 1 << 18    # places, pairs or ids whose wide arrays are made together; what is kept of them is narrow
 _HEAD = "<8sIIIIQ"  # magic, documents, rules, first nonterminal, symbols, tokens
 
 
 def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(symbols, document ends, rules, first nonterminal) of ids with document ends."""
-    symbols, ends, n = ids.astype(np.uint64), ends[ends > 0], len(ids)
+    symbols, ends, n = ids.astype(np.uint32), ends[ends > 0], len(ids)
     base = int(symbols.max()) + 1 if n else 0
     # A replaced pair leaves its symbol at the left place; the right one is gone and stepped over. Place n stands
     # for none, beyond either end of a document.
@@ -38,21 +39,19 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     rules: list[np.ndarray] = []
     top = base
     while True:  # every round that finds a pair leaves fewer symbols
-        at = np.flatnonzero(live)
-        pair = symbols[at]
-        pair <<= np.uint64(32)
-        pair |= symbols[after[at]]
-        drawer = _drawer(pair)
-        wide = drawer >> 4 if len(drawer) < DRAWERS >> 4 else drawer  # few pairs are counted in fewer drawers
-        full = (np.bincount(wide) >= LEAST_COUNT)[wide]
+        at = _places(live)
+        pair, drawer = _pairs(symbols, after, at)
+        full = _often(drawer >> 4 if len(drawer) < DRAWERS >> 4 else drawer)  # few pairs are counted in fewer drawers
         live[at] = full
-        some = np.flatnonzero(full)
-        at, pair, drawer = at[some], pair[some], drawer[some]
+        at = at[full]
+        pair = pair[full]  # each frees its longer one
+        drawer = drawer[full]
         chosen = _frequent(pair)
         if not len(chosen):
             break
         at, right, rule = _matches(at, after, pair, drawer, chosen)
-        symbols[at] = rule + top
+        del pair, drawer
+        symbols[at] = rule.astype(np.uint32) + np.uint32(top)
         next_at = after[right]
         after[at], before[next_at] = next_at, at
         gone[right] = True
@@ -65,7 +64,36 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     left = ~gone
     grammar = np.concatenate(rules) if rules else np.zeros(0, dtype=np.uint64)
     table = np.stack([grammar >> np.uint64(32), grammar & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-    return symbols[left].astype(np.uint32), np.cumsum(left)[ends - 1], table, base
+    place = np.cumsum(left, dtype=np.int32)
+    return symbols[left], place[ends - 1].astype(np.int64), table, base
+
+
+def _places(live: np.ndarray) -> np.ndarray:
+    """The places that are live."""
+    return np.concatenate([(np.flatnonzero(live[k:k + TOGETHER]) + k).astype(np.int32) for k in range(0, len(live), TOGETHER)])
+
+
+def _pairs(symbols: np.ndarray, after: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that begin at the places `at`, and their drawers."""
+    pair, drawer = np.empty(len(at), dtype=np.uint64), np.empty(len(at), dtype=np.int32)
+    for k in range(0, len(at), TOGETHER):
+        some = at[k:k + TOGETHER]
+        made = symbols[some].astype(np.uint64)
+        made <<= np.uint64(32)
+        made |= symbols[after[some]]
+        pair[k:k + TOGETHER], drawer[k:k + TOGETHER] = made, _drawer(made)
+    return pair, drawer
+
+
+def _often(drawer: np.ndarray) -> np.ndarray:
+    """Whether each drawer comes up often enough to hold a frequent pair."""
+    if not len(drawer):
+        return np.zeros(0, dtype=bool)
+    count = np.zeros(int(drawer.max()) + 1, dtype=np.int32)
+    for k in range(0, len(drawer), TOGETHER):
+        some = np.bincount(drawer[k:k + TOGETHER])
+        count[:len(some)] += some.astype(np.int32)
+    return (count >= LEAST_COUNT)[drawer]
 
 
 def _drawer(pairs: np.ndarray) -> np.ndarray:
@@ -92,14 +120,18 @@ def _matches(at: np.ndarray, after: np.ndarray, pair: np.ndarray, drawer: np.nda
     """Of the rising places `at` those to replace, none overlapping, the places of their right symbols, and the pair's number."""
     number = np.zeros(DRAWERS, dtype=np.int16)  # of RULES_PER_ROUND; 0: none
     number[_drawer(chosen)] = np.arange(1, len(chosen) + 1)
-    found = number[drawer]
-    some = np.flatnonzero(found != 0)
-    rule = found[some].astype(np.int64) - 1
-    hit = np.flatnonzero(chosen[rule] == pair[some])
-    at, rule = at[some[hit]], rule[hit]
+    hits, rules = [], []
+    for k in range(0, len(at), TOGETHER):
+        found = number[drawer[k:k + TOGETHER]]
+        some = np.flatnonzero(found != 0)
+        rule = found[some] - 1
+        hit = chosen[rule] == pair[k:k + TOGETHER][some]
+        hits.append(at[k:k + TOGETHER][some[hit]])
+        rules.append(rule[hit])
+    at, rule = np.concatenate(hits), np.concatenate(rules)
     right = after[at]
     # In a run of neighbouring matches every other one is taken, from the left.
-    place = np.arange(len(at))
+    place = np.arange(len(at), dtype=np.int32)
     opens = np.append(True, at[1:] != right[:-1]) if len(at) else np.zeros(0, dtype=bool)
     start = np.maximum.accumulate(place * opens)
     take = np.flatnonzero((place - start) & 1 == 0)
@@ -130,10 +162,15 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 def expand(symbols: np.ndarray, grammar: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     ids, start, size = grammar
-    runs = size[symbols]
-    ends = np.cumsum(runs)
-    total = int(ends[-1]) if len(ends) else 0
-    return ids[np.arange(total) + np.repeat(start[symbols] - (ends - runs), runs)]
+    found = [ids[:0]]
+    for k in range(0, len(symbols), TOGETHER):
+        some = symbols[k:k + TOGETHER]
+        runs = size[some]
+        ends = np.cumsum(runs)
+        place = np.repeat(start[some] - (ends - runs), runs)
+        place += np.arange(len(place))
+        found.append(ids[place])
+    return np.concatenate(found)
 
 
 def pack(doc_ids: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:

@@ -24,7 +24,7 @@ from caselog.llm.units import byte_level, shared
 from caselog.session import cut, scratch_table
 
 SHARD_TOKENS = 1 << 21    # a shard is closed at the document that reaches this
-ENCODE_BYTES = 1 << 21    # of texts encoded together
+ENCODE_BYTES = 1 << 20    # of texts encoded together
 MOST_TASKS = 10_000       # of a read; shards beyond share a task
 NO_ID = -(1 << 63)        # stands for a null doc_id in a file
 
@@ -65,8 +65,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
             count, doc_ids, ids = (np.concatenate(c) for c in (counts, names, tokens))
             for part_of in (names, tokens, counts):
                 part_of.clear()
+            give_back()  # what encoding has let go of is not held beside the grammar's arrays, nor those beside the next texts
             data = pack(doc_ids, ids, count)
             stream.write(data)
+            give_back()
             row = batch_of(part=[part], shard=[number], file=[name], offset=[offset], length=[len(data)],
                            n_docs=[len(count)], n_tokens=[int(count.sum())])
             offset, number, held = offset + len(data), number + 1, 0
@@ -120,10 +122,10 @@ def read_tokens(store: Store, with_ids: bool = False) -> DataFrame:
             for row in batch.to_pylist():
                 data, = read_ranges(folder, row["file"], [(row["offset"], row["length"])])
                 shard = Shard(data)
-                ids = shard.all().astype("<u4")
+                ids = shard.all().astype("<u4", copy=False)
                 counts = shard.counts.astype(np.int64)
                 ends = np.cumsum(counts)
-                raw = memoryview(ids.tobytes())
+                raw = ids.view(np.uint8).data
                 crc = [zlib.crc32(raw[4 * (e - c):4 * e]) for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
                 found = {
                     "doc_id": pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID),

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -78,6 +79,36 @@ def test_rules_are_expanded_together(monkeypatch):
         assert parts[0] == parts[1] + parts[2]
 
 
+def test_a_shard_is_packed_and_read_in_narrow_arrays():
+    """A grammar takes a bounded number of bytes an id beside the ids, and its pieces join to the same shard."""
+    rng = np.random.default_rng(6)
+    words = [rng.integers(0, 50_000, 8) for _ in range(3000)]
+    ids = np.concatenate([words[k] for k in rng.zipf(1.3, 1 << 17) % 3000]).astype(np.uint32)
+    counts = np.full(len(ids) // 1024, 1024)
+    tracemalloc.start()
+    try:
+        repair.compress(ids, np.cumsum(counts))
+        assert tracemalloc.get_traced_memory()[1] < 80 * len(ids)
+        shard = repair.Shard(repair.pack(np.arange(len(counts)), ids, counts))
+    finally:
+        tracemalloc.stop()
+    assert (shard.all() == ids).all()
+    assert (shard.document(1000) == ids[1000 * 1024:1001 * 1024]).all()
+
+
+def test_pieces_give_the_same_grammar(monkeypatch):
+    """However few places are looked at together, the rules and symbols are those of all at once."""
+    rng = np.random.default_rng(7)
+    docs = [rng.integers(0, 60, n) for n in rng.integers(1, 900, 60)]
+    ids, ends = np.concatenate(docs).astype(np.uint32), np.cumsum([len(d) for d in docs])
+    whole = repair.compress(ids, ends)
+    data = repair.pack(np.arange(len(docs)), ids, np.array([len(d) for d in docs]))
+    monkeypatch.setattr(repair, "TOGETHER", 37)
+    parts = repair.compress(ids, ends)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
+    assert repair.Shard(data).all().tolist() == ids.tolist()
+
+
 @settings(deadline=None, max_examples=150)
 @given(st.lists(st.lists(st.sampled_from([0, 1, 2, 3, 70_000]), min_size=1, max_size=60), max_size=12), st.integers(1, 8))
 def test_repair_round_trip(docs, times):
