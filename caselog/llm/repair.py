@@ -49,8 +49,11 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         chosen = _frequent(pair)
         if not len(chosen):
             break
-        at, right, rule = _matches(at, after, pair, drawer, chosen)
+        at, rule = _matches(at, pair, drawer, chosen)
         del pair, drawer
+        right = after[at]
+        take = _apart(at, right)
+        at, right, rule = at[take], right[take], rule[take]
         symbols[at] = rule.astype(np.uint32) + np.uint32(top)
         next_at = after[right]
         after[at], before[next_at] = next_at, at
@@ -115,9 +118,8 @@ def _frequent(pair: np.ndarray) -> np.ndarray:
     return value[np.sort(np.unique(_drawer(value), return_index=True)[1])]
 
 
-def _matches(at: np.ndarray, after: np.ndarray, pair: np.ndarray, drawer: np.ndarray,
-             chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the rising places `at` those to replace, none overlapping, the places of their right symbols, and the pair's number."""
+def _matches(at: np.ndarray, pair: np.ndarray, drawer: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rising places `at` those where a chosen pair begins, and the pair's number."""
     number = np.zeros(DRAWERS, dtype=np.int16)  # of RULES_PER_ROUND; 0: none
     number[_drawer(chosen)] = np.arange(1, len(chosen) + 1)
     hits, rules = [], []
@@ -128,14 +130,16 @@ def _matches(at: np.ndarray, after: np.ndarray, pair: np.ndarray, drawer: np.nda
         hit = chosen[rule] == pair[k:k + TOGETHER][some]
         hits.append(at[k:k + TOGETHER][some[hit]])
         rules.append(rule[hit])
-    at, rule = np.concatenate(hits), np.concatenate(rules)
-    right = after[at]
-    # In a run of neighbouring matches every other one is taken, from the left.
+    return np.concatenate(hits), np.concatenate(rules)
+
+
+def _apart(at: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which matches to replace, none overlapping: in a run of neighbouring ones every other one, from the left."""
     place = np.arange(len(at), dtype=np.int32)
     opens = np.append(True, at[1:] != right[:-1]) if len(at) else np.zeros(0, dtype=bool)
-    start = np.maximum.accumulate(place * opens)
-    take = np.flatnonzero((place - start) & 1 == 0)
-    return at[take], right[take], rule[take]
+    place -= np.maximum.accumulate(place * opens)
+    place &= 1
+    return place == 0
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
